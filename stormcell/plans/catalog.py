@@ -128,3 +128,8 @@ _FLAGSHIP_SQL = O.norm(
       " min(ts) AS first_ts, max(ts) AS last_ts FROM features GROUP BY 1",
     "split:s rows:i storm_rate:d mean_newell:d first_ts:t last_ts:t")
 register("flagship_split_summary", _FLAGSHIP_SQL)(flagship)
+
+
+# further registrations live next to their subject
+from . import catalog_eval  # noqa: E402,F401
+from . import catalog_series  # noqa: E402,F401
