@@ -76,30 +76,34 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     """Exact, linearly interpolated quantiles (as ``percentile`` / numpy), distributed.
 
     Returns one row per key with columns ``<col>_q<i>`` for the i-th probability.
-    Each column is reduced to (value, count) first; ranks come from
-    ``running_totals``; only the rows that hold the wanted ranks survive.
+    All columns go through one plan: rows are unpivoted to (column, value), reduced
+    to (column, value, count) — so a hot value is one row —, ranked with
+    ``running_totals`` keyed by column, and only the rows holding the wanted ranks
+    survive before the pivot back to one row per key.
     """
     keys = list(keys)
-    out = None
-    for c in cols:
-        counts = (df.where(F.col(c).isNotNull()).groupBy(*keys, F.col(c).cast("double").alias("_v"))
-                  .agg(F.count(F.lit(1)).alias("_n")))
-        rt = running_totals(counts, keys, "_v", ["_n"], n_buckets)
-        aggs = []
-        for i, p in enumerate(probs):
-            pos = (F.col("_total__n") - 1) * F.lit(float(p))
-            lo, hi = F.floor(pos), F.ceil(pos)
-            hold_lo = (F.col("_before__n") <= lo) & (lo < F.col("_before__n") + F.col("_n"))
-            hold_hi = (F.col("_before__n") <= hi) & (hi < F.col("_before__n") + F.col("_n"))
-            aggs += [F.max(F.when(hold_lo, F.col("_v"))).alias(f"_lo{i}"),
-                     F.max(F.when(hold_hi, F.col("_v"))).alias(f"_hi{i}"),
-                     F.max(pos - lo).alias(f"_fr{i}")]
-        picked = rt.groupBy(*keys).agg(*aggs)
-        res = picked.select(*keys, *[
-            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}")).alias(f"{c}_q{i}")
-            for i in range(len(probs))])
-        out = res if out is None else (out.join(res, on=keys, how="full") if keys else _zip_rows(out, res))
-    return out
+    cols = list(cols)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols]))
+    long = df.select(*keys, cells.alias("_x")).select(*keys, "_x._c", "_x._v").where(F.col("_v").isNotNull())
+    counts = long.groupBy(*keys, "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    rt = running_totals(counts, [*keys, "_c"], "_v", ["_n"], n_buckets)
+    aggs = []
+    for i, p in enumerate(probs):
+        pos = (F.col("_total__n") - 1) * F.lit(float(p))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        hold_lo = (F.col("_before__n") <= lo) & (lo < F.col("_before__n") + F.col("_n"))
+        hold_hi = (F.col("_before__n") <= hi) & (hi < F.col("_before__n") + F.col("_n"))
+        aggs += [F.max(F.when(hold_lo, F.col("_v"))).alias(f"_lo{i}"),
+                 F.max(F.when(hold_hi, F.col("_v"))).alias(f"_hi{i}"),
+                 F.max(pos - lo).alias(f"_fr{i}")]
+    picked = rt.where(F.col("_before__n") <= F.col("_total__n")).groupBy(*keys, "_c").agg(*aggs)
+    per_col = picked.select(*keys, "_c", *[
+        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}")).alias(f"q{i}")
+        for i in range(len(probs))])
+    wide = per_col.groupBy(*keys).pivot("_c", cols).agg(*[F.first(f"q{i}").alias(f"q{i}") for i in range(len(probs))])
+    if len(probs) == 1:  # pivot names a single aggregate by the pivot value alone
+        wide = wide.select(*keys, *[F.col(f"`{c}`").alias(f"{c}_q0") for c in cols])
+    return wide
 
 
 def _zip_rows(a: DataFrame, b: DataFrame) -> DataFrame:

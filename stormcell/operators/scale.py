@@ -10,6 +10,7 @@ from .labels import EXCLUDED_FROM_FEATURES, TARGET, feature_columns
 from .quality import fill_all
 from .running import attach_stats, exact_quantiles
 from .series import Series
+from ..session import cut_lineage
 
 QUARTILES = (0.25, 0.5, 0.75)
 DEFAULT_WEIGHT_CAP = 10.0
@@ -51,13 +52,17 @@ def with_weights(df: DataFrame, weights: DataFrame, y: str, name: str = "weight"
 
 
 def prepare(df: DataFrame, s: Series, split: str = "split", target: str = TARGET,
-            exclude: Sequence[str] = EXCLUDED_FROM_FEATURES, cap: float | None = None):
+            exclude: Sequence[str] = EXCLUDED_FROM_FEATURES, cap: float | None = None, checkpoint: bool = True):
     """Per split forward/backward/zero fill, robust scaling fit on train, class weights.
 
+    The filled table is checkpointed into the shared checkpoint folder (lineage cut,
+    survives executor loss) because statistics, fits and scoring all read it.
     Returns (prepared DataFrame, feature list, scaler statistics, class weights).
     """
     feats = feature_columns(df, exclude, non_features=(*s.keys, *s.order, split))
     filled = fill_all(df, s.with_keys(split), feats)
+    if checkpoint:
+        filled = cut_lineage(filled)
     stats = fit_robust(filled.where(F.col(split) == "train"), feats)
     scaled = apply_robust(filled, stats, feats)
     weights = class_weights(scaled.where(F.col(split) == "train"), target, cap)
