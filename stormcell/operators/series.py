@@ -11,9 +11,9 @@ into fixed-size blocks of ``block_rows`` rows:
    adds the rest.  No task ever sees more than one bucket of one key.
 2. ``window_apply`` (bounded frames: lag, lead, rolling) copies the last
    ``before`` rows of each block into the next block and the first ``after``
-   rows into the previous one, evaluates the windows per (key, block) and
-   keeps only each block's own rows.  Exact as long as the frame reach is
-   at most ``block_rows``.
+   rows into the previous one (several blocks when the reach exceeds a
+   block), evaluates the windows per (key, block) and keeps only each
+   block's own rows.  Exact for any frame reach.
 3. ``with_neighbours`` (unbounded frames: last/next non-NULL value, used by
    interpolation and full forward/backward fill) summarises each block by
    its first and last non-NULL (position, value), carries those across
@@ -94,19 +94,15 @@ def ensure_positions(df: DataFrame, s: Series) -> DataFrame:
 
 
 def _explode_blocks(dfp: DataFrame, s: Series, before: int, after: int) -> DataFrame:
-    b = int(s.block_rows)
-    if before > b or after > b:
-        raise ValueError(f"window reach ({before}, {after}) exceeds block_rows={b}")
-    blk = F.floor(F.col(POS) / F.lit(b))
-    off = F.col(POS) - blk * F.lit(b)
-    cands = [F.struct(blk.alias("b"), F.lit(True).alias("own"))]
-    if before > 0:
-        cands.append(F.when(off >= b - before, F.struct((blk + 1).alias("b"), F.lit(False).alias("own"))))
-    if after > 0:
-        cands.append(F.when((off < after) & (blk > 0), F.struct((blk - 1).alias("b"), F.lit(False).alias("own"))))
-    copies = F.filter(F.array(*cands), lambda x: x.isNotNull()) if len(cands) > 1 else F.array(*cands)
-    return (dfp.withColumn("_copy", F.explode(copies))
-            .withColumn("_blk", F.col("_copy.b")).withColumn("_own", F.col("_copy.own")).drop("_copy"))
+    """Copy each row into every block whose frames can reach it: blocks
+    floor((pos - after) / B) .. floor((pos + before) / B); ``_own`` marks its own block."""
+    b = F.lit(int(s.block_rows))
+    pos = F.col(POS)
+    own = F.floor(pos / b)
+    lo = F.greatest(F.floor((pos - F.lit(int(after))) / b), F.lit(0).cast("long"))
+    hi = F.floor((pos + F.lit(int(before))) / b)
+    return (dfp.withColumn("_blk", F.explode(F.sequence(lo, hi)))
+            .withColumn("_own", F.col("_blk") == own))
 
 
 def window_apply(df: DataFrame, s: Series, builder: Callable[[Window], Mapping[str, Column]],

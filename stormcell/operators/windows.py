@@ -94,7 +94,7 @@ def sequences(df: DataFrame, s: Series, cols: Sequence[str], label: str, length:
     missing value are skipped when ``check_missing``."""
     feats = F.array(*[F.col(c).cast("double") for c in cols])
     incomplete = sum((F.col(c).isNull().cast("int") for c in cols), F.lit(0))
-    frame_cols = list(dict.fromkeys([*s.keys, ts, *cols, label]))
+    frame_cols = list(dict.fromkeys([*s.keys, *s.order, ts, *cols, label]))
     d = ensure_positions(df.select(*frame_cols, *([POS] if POS in df.columns else [])), s)
 
     def build(w):
