@@ -14,7 +14,7 @@ from typing import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .series import key_window
+from .series import key_window, reuse
 
 DEFAULT_BUCKETS = 64
 
@@ -53,6 +53,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order_col: str, sum_cols:
     sum_cols = list(sum_cols)
     nb = n_buckets or _bucket_count(df.sparkSession)
     probs = [i / nb for i in range(1, nb)]
+    df = reuse(df)
     cuts = df.groupBy(*keys).agg(F.percentile_approx(order_col, probs, 10000).alias("_cuts"))
     d = attach_stats(df, cuts, keys)
     d = d.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order_col)))).drop("_cuts")

@@ -30,6 +30,7 @@ from dataclasses import dataclass, replace
 from typing import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import StorageLevel
 from pyspark.sql import types as T
 
 POS = "_pos"
@@ -58,6 +59,15 @@ def as_series(keys: Iterable[str] = (), order: Iterable[str] = ("ts",), **kw) ->
     return Series(keys=tuple(keys), order=tuple(order), **kw)
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Persist a frame that feeds several branches of one plan (a self-join of statistics
+    back onto rows), so its upstream runs once.  Memory and disk; lost blocks are
+    recomputed from lineage after an executor loss."""
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        return df
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def key_window(keys: Iterable[str]):
     keys = list(keys)
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -79,7 +89,7 @@ def with_positions(df: DataFrame, s: Series, pos_col: str = POS) -> DataFrame:
         w = key_window(s.keys).orderBy(*s.order)
         return df.withColumn(pos_col, F.row_number().over(w) - 1)
     tb = "_tb"
-    d = df.withColumn(tb, _bucket_expr(df, s))
+    d = reuse(df.withColumn(tb, _bucket_expr(df, s)))
     counts = d.groupBy(*s.keys, tb).agg(F.count(F.lit(1)).alias("_tb_n"))
     w_off = key_window(s.keys).orderBy(tb).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*s.keys, tb, F.coalesce(F.sum("_tb_n").over(w_off), F.lit(0)).alias("_tb_off"))
@@ -142,7 +152,7 @@ def with_neighbours(df: DataFrame, s: Series, cols: Iterable[str], prev: bool =
         return out if keep_pos else out.drop(POS)
 
     b = int(s.block_rows)
-    d = dfp.withColumn("_blk", F.floor(F.col(POS) / F.lit(b)))
+    d = reuse(dfp.withColumn("_blk", F.floor(F.col(POS) / F.lit(b))))
     # 1. per block: last and first non-NULL (position, value) of every column
     aggs = []
     for c in cols:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.running import attach_stats
+from ..operators.series import reuse
 
 EVENT_TYPES = ["click", "view", "error", "purchase", "signup"]
 # Fixed values of the test panel: (offset j, gap g) masks, spike and repeat rules
@@ -82,6 +83,7 @@ def raw_panel(events: DataFrame, keyed: bool = False) -> DataFrame:
         t: F.when(F.pmod(F.col("n") + F.lit(MASK_STEP * j), F.lit(MASK_MOD)) < g, F.lit(None).cast("double"))
         .otherwise(F.col(t) * spike)
         for t, (j, g) in MASKS.items()})
+    base = reuse(base)  # feeds both the rows and their repeats
     first = base.withColumn("seq", F.lit(0))
     repeat = (base.where(F.pmod(F.col("n"), F.lit(REPEAT_MOD)) == 0)
               .withColumns({t: F.col(t) + F.lit(1.0) for t in EVENT_TYPES}).withColumn("seq", F.lit(1)))
