@@ -449,3 +449,32 @@ def _catalog_sql() -> str:
 def q_catalog(spark, sf_dir):
     """Feature catalogue of the feature table by name rules."""
     return normalize(FE.feature_catalog(features(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ text ingest over Spark-written text
+from ..sources import text as TX  # noqa: E402
+from ..streaming.streams import scratch  # noqa: E402
+
+MISSING_CODE = "99999.9"
+
+
+def _sentinel_sql(c: str) -> str:
+    codes = ", ".join(num(v) for v in TX.SENTINELS)
+    return f"CASE WHEN {c} IN ({codes}) THEN NULL ELSE {c} END AS {c}"
+
+
+@register("s1_s7_text_ingest", O.norm(
+    P() + "SELECT ts, \"Year\", \"Day\", \"Hour\", " + ", ".join(_sentinel_sql(c) for c in TX.RAW_NAMES[3:])
+    + " FROM panel WHERE seq = 0",
+    "ts:t Year:i Day:i Hour:i " + " ".join(f"{c}:d" for c in TX.RAW_NAMES[3:])))
+def q_text_ingest(spark, sf_dir):
+    """The raw series written by Spark as whitespace text (missing -> sentinel code,
+    repeated hours with a corrupt field), read back: parse, reject, sentinels, time parts, timestamp."""
+    r = raw(spark, sf_dir)
+    hour = F.when(F.col("seq") == 1, F.lit("n/a")).otherwise(F.col("Hour").cast("string"))
+    fields = [F.col("Year").cast("string"), F.col("Day").cast("string"), hour]
+    fields += [F.coalesce(F.col(c).cast("string"), F.lit(MISSING_CODE)) for c in TX.RAW_NAMES[3:]]
+    path = scratch(spark, "text")
+    r.select(F.concat_ws("   ", *fields).alias("value")).write.text(path)
+    rows, _rejects = TX.ingest(spark, path)
+    return normalize(rows.select("ts", *TX.RAW_NAMES))
