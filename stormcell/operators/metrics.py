@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import safe_div, zero_div
 from .running import attach_stats, exact_quantiles, running_totals
+from .series import reuse
 
 F1_EPS = 1e-10
 TARGET_P = 0.70
@@ -152,7 +153,7 @@ def choose_thresholds(curve: DataFrame, by: Sequence[str] = (), min_p: float = T
     """Max F1; best F1 with P >= min_p and R >= min_r (else the closest point,
     achievable = false); R >= min_r with max precision; P >= min_p with max recall.
     Ties go to the lowest threshold.  The end point of the curve is never chosen."""
-    c = curve.where(F.col("threshold").isNotNull())
+    c = reuse(curve.where(F.col("threshold").isNotNull()))  # five strategies read one curve
     thr = F.col("threshold")
     best_f1 = _top1(c, by, F.struct(-F.col("f1"), thr), "max_f1")
     both = c.where((F.col("precision") >= min_p) & (F.col("recall") >= min_r))

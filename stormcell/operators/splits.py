@@ -24,6 +24,21 @@ def year_split(ts="ts", train_last: int = TRAIN_LAST_YEAR, val_last: int = VAL_L
     return F.when(y <= train_last, "train").when(y <= val_last, "validation").otherwise("test")
 
 
+def split_range(name: str, ts: str = "ts", train_last: int = TRAIN_LAST_YEAR, val_last: int = VAL_LAST_YEAR,
+                typ: str = "timestamp_ntz") -> Column:
+    """The rows of one year split as a range on the time column, so the filter reaches the
+    Parquet scan (a test on ``year(ts)`` cannot be pushed down)."""
+    t = F.col(ts)
+    lo = {"train": None, "validation": train_last + 1, "test": val_last + 1}[name]
+    hi = {"train": train_last + 1, "validation": val_last + 1, "test": None}[name]
+    cond = F.lit(True)
+    if lo is not None:
+        cond = cond & (t >= F.lit(f"{lo}-01-01 00:00:00").cast(typ))
+    if hi is not None:
+        cond = cond & (t < F.lit(f"{hi}-01-01 00:00:00").cast(typ))
+    return cond
+
+
 def time_split(df: DataFrame, ts: str = "ts", train_last: int = TRAIN_LAST_YEAR, val_last: int = VAL_LAST_YEAR,
                name: str = "split") -> DataFrame:
     """T1."""

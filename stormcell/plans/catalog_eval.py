@@ -10,6 +10,7 @@ from ..operators import alerts as A
 from ..operators import metrics as M
 from ..operators import models as MD
 from ..operators import scale as N
+from ..operators import splits as T
 from . import fixtures as FX
 from . import oracle as O
 from .catalog import register
@@ -421,7 +422,7 @@ def _robust_sql() -> str:
 def q_robust(spark, sf_dir):
     """Robust scaling fit on the train years (exact quartiles), applied to all rows."""
     li = FX.table(spark, sf_dir, "lineitem")
-    stats = N.fit_robust(li.where(F.year("l_shipdate") <= 1998), SCALE_COLS)
+    stats = N.fit_robust(li.where(T.split_range("train", "l_shipdate", 1998, 1999)), SCALE_COLS)
     out = N.apply_robust(li, stats, SCALE_COLS)
     return normalize(out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *SCALE_COLS))
 
