@@ -83,17 +83,27 @@ def _bucket_expr(df: DataFrame, s: Series) -> Column:
     return F.lit(0)
 
 
+def _tie_break(df: DataFrame) -> Column:
+    """Deterministic last sort key: a hash of the row's columns.  Rows that tie on the
+    order columns still get the same positions when a lost partition is recomputed
+    (rows equal in every column are interchangeable)."""
+    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return F.xxhash64(*cols)
+
+
 def with_positions(df: DataFrame, s: Series, pos_col: str = POS) -> DataFrame:
-    """Add the 0-based row position inside each key, in ``s.order``."""
+    """Add the 0-based row position inside each key, in ``s.order`` (ties broken
+    deterministically)."""
+    order = [*s.order, _tie_break(df)]
     if s.method == "plain":
-        w = key_window(s.keys).orderBy(*s.order)
+        w = key_window(s.keys).orderBy(*order)
         return df.withColumn(pos_col, F.row_number().over(w) - 1)
     tb = "_tb"
     d = reuse(df.withColumn(tb, _bucket_expr(df, s)))
     counts = d.groupBy(*s.keys, tb).agg(F.count(F.lit(1)).alias("_tb_n"))
     w_off = key_window(s.keys).orderBy(tb).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*s.keys, tb, F.coalesce(F.sum("_tb_n").over(w_off), F.lit(0)).alias("_tb_off"))
-    w_rn = Window.partitionBy(*s.keys, tb).orderBy(*s.order)
+    w_rn = Window.partitionBy(*s.keys, tb).orderBy(*order)
     d = d.withColumn("_tb_rn", F.row_number().over(w_rn))
     d = d.join(offsets, on=[*s.keys, tb], how="inner")
     return d.withColumn(pos_col, F.col("_tb_off") + F.col("_tb_rn") - 1).drop(tb, "_tb_rn", "_tb_off")
