@@ -63,26 +63,42 @@ def r6(c) -> Column:
     )
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def r6_sql(x: str) -> str:
+    """SQL text of ``r6`` (one expression string: cheap to build for wide tables)."""
+    b = repr(ROUND_OFFSET)
+    x = f"CAST({x} AS DOUBLE)"
+    return (f"CASE WHEN abs({x}) < 1e6D THEN floor({x} * 1e6D + {b}D) / 1e6D "
+            f"WHEN abs({x}) < 1e15D THEN CAST(floor({x} + {b}D) AS DOUBLE) ELSE {x} END")
+
+
 def normalize(df: DataFrame) -> DataFrame:
-    """Comparable output: doubles rounded by ``r6``, integers and booleans as BIGINT,
-    timestamps as 'yyyy-MM-dd HH:mm:ss' text."""
+    """Comparable output: doubles quantised by ``r6``, integers and booleans as BIGINT,
+    timestamps as 'yyyy-MM-dd HH:mm:ss' text.  Built as one ``selectExpr``."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        t = f.dataType
+        c, t = _q(f.name), f.dataType
         if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            out.append(r6(c).alias(f.name))
+            out.append(f"{r6_sql(c)} AS {c}")
         elif isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            out.append(c.cast("bigint").alias(f.name))
+            out.append(f"CAST({c} AS BIGINT) AS {c}")
         elif isinstance(t, T.BooleanType):
-            out.append(c.cast("int").cast("bigint").alias(f.name))
+            out.append(f"CAST(CAST({c} AS INT) AS BIGINT) AS {c}")
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-            out.append(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(f.name))
+            out.append(f"date_format({c}, 'yyyy-MM-dd HH:mm:ss') AS {c}")
         elif isinstance(t, T.DateType):
-            out.append(F.date_format(c, "yyyy-MM-dd").alias(f.name))
+            out.append(f"date_format({c}, 'yyyy-MM-dd') AS {c}")
         else:
-            out.append(c.alias(f.name))
-    return df.select(*out)
+            out.append(c)
+    return df.selectExpr(*out)
+
+
+def finite_or_null_sql(name: str) -> str:
+    c = _q(name)
+    return f"CASE WHEN isnan({c}) OR abs({c}) = double('inf') THEN NULL ELSE {c} END AS {c}"
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:

@@ -7,7 +7,7 @@ from typing import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import finite_or_null, floating_columns, numeric_columns, safe_div
+from ..functions.columns import finite_or_null_sql, floating_columns, numeric_columns, safe_div
 from .series import POS, Series, ensure_positions, window_apply, with_neighbours
 
 # Physical limits per channel (inclusive ranges), fill rules and cleaning limits
@@ -217,8 +217,8 @@ def completeness(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def inf_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """C14: +-inf (and NaN) to NULL in floating columns."""
-    cols = list(cols) if cols is not None else floating_columns(df)
-    return df.withColumns({c: finite_or_null(c) for c in cols})
+    cols = set(cols) if cols is not None else set(floating_columns(df))
+    return df.selectExpr(*[finite_or_null_sql(c) if c in cols else f"`{c}`" for c in df.columns])
 
 
 def high_missing(df: DataFrame, fraction: float = HIGH_MISSING_FRACTION, cols: Sequence[str] | None = None) -> DataFrame:
