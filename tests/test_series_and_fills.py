@@ -127,3 +127,18 @@ def test_clean_drops_multi_flag_and_keeps_first_duplicate(spark):
     out = Q.clean(df, s).orderBy("ts").toPandas()
     assert out["ts"].tolist() == [0, 1]
     assert out["IMF_Bz"].tolist() == [5.0, 5.0]
+
+
+def test_hot_key_spans_many_blocks_and_matches_plain(spark):
+    rows = [(0, i, float(i % 7)) for i in range(1500)] + [(k, i, float(i)) for k in range(1, 6) for i in range(20)]
+    df = spark.createDataFrame(rows, "k long, i long, v double")
+    blocked = Series(keys=("k",), order=("i",), block_rows=100, bucket_width=50)
+    plain = Series(keys=("k",), order=("i",), method="plain")
+    a = WN.rolling(WN.lags(df, blocked, ["v"], [1, 24]), blocked, ["v"], [24]).orderBy("k", "i").toPandas()
+    b = WN.rolling(WN.lags(df, plain, ["v"], [1, 24]), plain, ["v"], [24]).orderBy("k", "i").toPandas()
+    pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12, atol=1e-12)
+    pos = with_positions(df, blocked)
+    blocks = pos.where(F.col("k") == 0).select(F.floor(F.col("_pos") / 100).alias("b")).distinct().count()
+    assert blocks == 15
+    filled = Q.fill_all(df.withColumn("v", F.when(F.col("i") % 5 == 0, F.col("v"))), blocked, ["v"])
+    assert filled.where(F.col("v").isNull()).count() == 0
