@@ -373,7 +373,7 @@ def q_blends(spark, sf_dir):
 
 
 def _trials():
-    return MD.trial_weights(20, 3, 7)
+    return MD.trial_weights(MD.SEARCH_TRIALS, 3, 7)
 
 
 def _search_sql() -> str:
@@ -390,7 +390,7 @@ def _search_sql() -> str:
 
 @register("m7_weight_search", _search_sql())
 def q_search(spark, sf_dir):
-    """M7: validation F1 at 0.5 of 20 seeded weight trials, one job."""
+    """M7: validation F1 at 0.5 of 100 seeded weight trials, one job."""
     val = sv(spark, sf_dir).where(F.col("split") == "validation")
     return normalize(MD.search_weights(val, ["p1", "p2", "p3"], Y, _trials()))
 
