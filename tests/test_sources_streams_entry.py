@@ -88,3 +88,30 @@ def test_entry_contract(spark):
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
     assert len(q) >= 60
+
+
+def test_hourly_means_watermark_drops_late_rows(spark):
+    base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    src = os.path.join(base, "src")
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+    def put(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, name))
+        time.sleep(1.1)
+
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1, 0, 30)
+    put("a", [(1, t0, 1, "click", 10.0, "{}"), (2, t0 + dt.timedelta(hours=5), 1, "click", 20.0, "{}")])
+    # Spark filters late input with the watermark of the previous batch: one more batch first
+    put("a2", [(6, t0 + dt.timedelta(hours=5, minutes=10), 1, "click", 20.0, "{}")])
+    # late by 5 hours (beyond the 2 hour limit): dropped; late by 1 hour relative to the max: kept
+    put("b", [(3, t0, 1, "click", 1000.0, "{}"), (4, t0 + dt.timedelta(hours=4), 1, "click", 30.0, "{}")])
+    put("c", [(5, t0 + dt.timedelta(hours=12), 1, "click", 40.0, "{}")])
+    ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true") \
+        .parquet(src)
+    out, ck = os.path.join(base, "out"), os.path.join(base, "ck")
+    X.run_available(X.hourly_means(ev, "2 hours"), out, ck)
+    got = {str(r["hour"]): (r["mean_value"], r["events"]) for r in spark.read.parquet(out).collect()}
+    assert got["2024-01-01 00:00:00"] == (10.0, 1)      # the late 1000.0 never reaches the closed window
+    assert got["2024-01-01 04:00:00"] == (30.0, 1)
+    assert got["2024-01-01 05:00:00"] == (20.0, 2)
