@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import col
 from .running import attach_stats, exact_quantiles
-from .series import POS, Series, ensure_positions, window_apply
+from .series import POS, Series, ensure_positions, reuse, window_apply
 
 # Lag and rolling layout of the engineered feature table
 LAG_COLUMNS = ["IMF_Bz", "IMF_Magnitude", "Flow_Speed", "Flow_Pressure", "Newell_Coupling"]
@@ -16,6 +16,7 @@ LAG_STEPS = [1, 3, 6, 12, 24]
 ROLLING_COLUMNS = ["IMF_Bz", "Flow_Speed", "Dst_index", "Newell_Coupling"]
 ROLLING_WINDOWS = [3, 6, 12, 24]
 LEAD_STEPS = 6
+_MEMBER = "struct<pos:bigint,f:array<double>,bad:int>"   # one row of a sequence window
 
 
 # ------------------------------------------------------------------ builders (Column factories)
@@ -91,22 +92,34 @@ def sequences(df: DataFrame, s: Series, cols: Sequence[str], label: str, length:
               check_missing: bool = True, ts: str = "ts") -> DataFrame:
     """For every ``stride``-th row i from ``length`` on, the ``length`` rows before i
     (ARRAY<ARRAY<DOUBLE>>, oldest first) with the label of row i; windows that contain a
-    missing value are skipped when ``check_missing``."""
+    missing value are skipped when ``check_missing``.
+
+    Each row is sent only to the (at most ceil(length/stride)) target windows that contain
+    it, the target row adds its label and time, and one ``groupBy(key, target)`` assembles
+    each window: work and shuffle equal the output size, and a group never exceeds
+    ``length + 1`` rows however large a key is.
+    """
+    frame_cols = list(dict.fromkeys([*s.keys, *s.order, ts, *cols, label]))
+    d = reuse(ensure_positions(df.select(*frame_cols, *([POS] if POS in df.columns else [])), s))
+    p = F.col(POS)
     feats = F.array(*[F.col(c).cast("double") for c in cols])
     incomplete = sum((F.col(c).isNull().cast("int") for c in cols), F.lit(0))
-    frame_cols = list(dict.fromkeys([*s.keys, *s.order, ts, *cols, label]))
-    d = ensure_positions(df.select(*frame_cols, *([POS] if POS in df.columns else [])), s)
-
-    def build(w):
-        fr = w.rowsBetween(-length, -1)
-        return {"sequence": F.collect_list(feats).over(fr),
-                "_bad": F.sum(F.when(incomplete > 0, 1).otherwise(0)).over(fr)}
-
-    d = window_apply(d, s, build, before=length, keep_pos=True)
-    cond = (F.col(POS) >= length) & (F.pmod(F.col(POS) - length, F.lit(stride)) == 0)
+    targets = F.filter(F.sequence(p + 1, p + length), lambda i: F.pmod(i - length, F.lit(stride)) == 0)
+    member = F.struct(p.alias("pos"), feats.alias("f"), F.when(incomplete > 0, 1).otherwise(0).alias("bad"))
+    members = d.select(*s.keys, F.explode(targets).alias("_t"), member.alias("_m"),
+                       F.lit(None).cast(d.schema[label].dataType).alias("_label"),
+                       F.lit(None).cast(d.schema[ts].dataType).alias("_ts"), F.lit(0).alias("_self"))
+    selfs = d.where((p >= length) & (F.pmod(p - length, F.lit(stride)) == 0)).select(
+        *s.keys, p.alias("_t"), F.lit(None).cast(_MEMBER).alias("_m"), F.col(label).alias("_label"),
+        F.col(ts).alias("_ts"), F.lit(1).alias("_self"))
+    g = members.unionByName(selfs).groupBy(*s.keys, "_t").agg(
+        F.array_sort(F.collect_list("_m")).alias("_ms"), F.sum("_m.bad").alias("_bad"),
+        F.max("_self").alias("_has"), F.max("_label").alias("label"), F.max("_ts").alias(ts))
+    cond = (F.col("_has") == 1)
     if check_missing:
         cond = cond & (F.col("_bad") == 0)
-    return d.where(cond).select(*s.keys, ts, F.col(POS).alias("position"), "sequence", F.col(label).alias("label"))
+    return g.where(cond).select(*s.keys, ts, F.col("_t").alias("position"),
+                                F.transform("_ms", lambda x: x["f"]).alias("sequence"), "label")
 
 
 def sequences_with_fallback(df: DataFrame, s: Series, cols: Sequence[str], label: str, length: int,
