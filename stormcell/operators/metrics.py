@@ -143,6 +143,7 @@ def pr_curve(df: DataFrame, y: str, p: str, by: Sequence[str] = (), end_point: b
 
 def _top1(curve: DataFrame, by: Sequence[str], order: Column, name: str, achievable=None) -> DataFrame:
     pick = curve.groupBy(*by).agg(F.min_by(F.struct("threshold", "precision", "recall", "f1"), order).alias("_t"))
+    pick = pick.where(F.col("_t").isNotNull())  # a global aggregate over no candidates yields one NULL row
     out = pick.select(*by, F.lit(name).alias("strategy"), "_t.*")
     return out.withColumn("achievable", F.lit(achievable).cast("boolean") if achievable is not None
                           else F.lit(None).cast("boolean"))

@@ -144,3 +144,25 @@ def test_weight_search_matches_python(spark):
             fp += hit and y == 0
             fn += (not hit) and y == 1
         assert got[i] == pytest.approx(2 * tp / (2 * tp + fp + fn) if tp + fp + fn else 0.0)
+
+
+def test_target_fallback_to_closest_point(spark):
+    # precision never reaches 0.7 together with recall 0.7: the closest point is reported
+    rows = [(i, 1 if i % 2 else 0, float(i % 10) / 10) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, y int, p double")
+    curve = M.pr_curve(df, "y", "p")
+    out = M.choose_thresholds(curve).toPandas().set_index("strategy")
+    assert out.loc["target", "achievable"] == False  # noqa: E712
+    pts = curve.where(F.col("threshold").isNotNull()).toPandas()
+    dist = (pts["precision"] - 0.7).abs() + (pts["recall"] - 0.7).abs()
+    best = pts[dist == dist.min()]["threshold"].min()
+    assert out.loc["target", "threshold"] == best
+
+
+def test_model_table_gains(spark):
+    df, rows = _scored(spark, 300, 12, ties=False)
+    df = df.withColumn("q", 1 - F.col("p"))
+    tab = M.model_table(df, "y", ["p", "q"], "p").toPandas().set_index("model")
+    assert tab.loc["p", "auc_gain"] == 0.0
+    assert tab.loc["q", "auc"] == pytest.approx(1 - tab.loc["p", "auc"], abs=1e-12)
+    assert tab.loc["q", "auc_gain"] == pytest.approx(tab.loc["q", "auc"] - tab.loc["p", "auc"], abs=1e-12)
