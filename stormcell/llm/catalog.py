@@ -6,7 +6,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, passages
+from . import (fingerprints, mixing, ngram_join, packing, passages, quality_classifier, quality_rules, token_counts, toxicity,
+               url_filter)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +75,57 @@ FROM d LEFT JOIN kept AS k ON d.doc_id = k.doc_id
 def q_passages(spark, sf_dir):
     """Operator 10: words covered by a 50-word window that a document with a smaller doc_id has too."""
     return passages.passage_digest(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    """The public byte-level BPE vocabulary of the queries."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op1_token_counts")
+def q_token_counts(spark, sf_dir):
+    """Operator 1: token counts of all documents before and after edits, re-encoding only what the edits touch."""
+    return token_counts.edited_counts(table(spark, sf_dir, "documents"), tokenizer_path(), token_counts.middle_edits)
+
+
+@register("op2_best_fit_packing")
+def q_packing(spark, sf_dir):
+    """Operator 2: all documents packed into sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register("op3_toxicity")
+def q_toxicity(spark, sf_dir):
+    """Operator 3: toxicity scores of all documents."""
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op4_quality_classifier")
+def q_quality(spark, sf_dir):
+    """Operator 4: quality scores of all documents."""
+    return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op6_temperature_mixing")
+def q_mixing(spark, sf_dir):
+    """Operator 6: every document with its epochs and places in the mixed order; all sources are seen once at least."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_epoch", "mix_block", "mix_place")
+
+
+@register("op7_fingerprints")
+def q_fingerprints(spark, sf_dir):
+    """Operator 7: fingerprints of all documents and of their edited texts."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@register("op8_quality_rules")
+def q_rules(spark, sf_dir):
+    """Operator 8: rule statistics and the forest's verdict on all documents."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op9_url_filter")
+def q_urls(spark, sf_dir):
+    """Operator 9: verdict on every page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))

@@ -24,6 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    from pathlib import Path
+    from tempfile import mkdtemp
+    from zipfile import ZipFile
+    package = Path(__file__).parents[1]
+    path = Path(mkdtemp()) / f"{package.name}-{sc.applicationId}.zip"
+    with ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(path))
+    _SHIPPED.add(sc.applicationId)
+
+
 def words_of(data: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes: ``bytes.split`` cuts at exactly these six bytes."""
     return data.split() if data else []
@@ -121,6 +141,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
                     yield out
                 else:
                     yield from out
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -141,6 +162,7 @@ def binary(a: np.ndarray) -> bytes:
 
 def text_bytes(docs: DataFrame) -> DataFrame:
     """(doc_id, text as bytes) of a documents table; whatever else it holds is not read."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 

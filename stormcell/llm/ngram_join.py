@@ -5,14 +5,16 @@ A document's set holds its distinct word shingles (as 64-bit hashes).  Two docum
 
 1. ``document_sets``: size and digest of every set; equal sets are one class, its least doc_id stands for it.
 2. ``shared_sets``: how many sets hold each shingle.  Shingles travel as packed arrays per (batch, hash bucket):
-   6 bytes each, no row per shingle.  A bucket answers each document with its shingles that others hold too and
-   their frequency class; documents are put together again per group of documents.  The global order is
+   6 bytes each, no row per shingle.  A bucket counts each distinct set once (copies are told by 64 bits of the set's
+   digest) and answers its least doc_id with the shingles that other sets hold too and their frequency class;
+   documents are put together again per group of documents.  The global order is
    (frequency class, hash), rare first.  A set whose shared shingles are fewer than ``percent`` of it can link
    with nothing and goes; what stays is exact, no link is lost.
 3. ``_lists``: two linked sets have a shingle in common among the first ``s - ceil(t n) + 1`` shared ones (prefix
    filter).  Shingles held by the same sets are one list.
-4. Stars: each list compares its members with three pivots (the least id and two by hash).  Components of these links
-   merge large groups of near copies without looking at all their pairs.
+4. Stars: each list compares its members with a pivot, the least id; lists that then still lie in several components do
+   so with other pivots (by hash), until that finds nothing new.  Components of these links merge large groups of near
+   copies without looking at all their pairs.
 5. Rest: lists whose other members still lie in several components compare the members outside the list's
    largest component with all members.  Pairs within a component are skipped: they change no component.
 6. Comparisons (``trie_links``) run in groups of bounded size: the members of a block are stored as a
@@ -39,7 +41,7 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 BYTES_PER_BUCKET = 12_000_000   # of text; decides only how finely the work is dealt
 BLOCK_SETS = 512                # sets in one trie
-PIVOT_SALTS = (11, 29)
+STAR_ROUNDS = 8                 # at most; what is then open is compared in full
 
 
 def shingles(data: bytes | None, k: int = SHINGLE_WORDS) -> np.ndarray:
@@ -67,7 +69,7 @@ def document_sets(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     return map_batches(text_bytes(docs), sets, schema, text="text")
 
 
-def _deal(ids: np.ndarray, sets: list[np.ndarray], bits: int):
+def _deal(ids: np.ndarray, names: np.ndarray, sets: list[np.ndarray], bits: int):
     """Packed shingles of a batch, one row per hash bucket, in document order."""
     sizes = np.array([len(s) for s in sets])
     tokens = np.concatenate(sets)
@@ -80,8 +82,8 @@ def _deal(ids: np.ndarray, sets: list[np.ndarray], bits: int):
     for lo, hi in zip(starts, np.r_[starts[1:], len(bucket)]):
         first = np.flatnonzero(np.r_[True, owner[lo + 1:hi] != owner[lo:hi - 1]])
         t = tokens[lo:hi]
-        rows.append((int(bucket[lo]), binary(ids[owner[lo:hi][first]]),
-                     binary(np.diff(np.r_[first, hi - lo]).astype(np.int32)),
+        at = owner[lo:hi][first]
+        rows.append((int(bucket[lo]), binary(ids[at]), binary(names[at]), binary(np.diff(np.r_[first, hi - lo]).astype(np.int32)),
                      binary((t & U64(0xFFFFFFFF)).astype(np.uint32)),
                      binary(((t >> U64(32)) & U64(0xFFFF)).astype(np.uint16))))
     return rows
@@ -107,10 +109,11 @@ def shared_sets(docs: DataFrame, sets: DataFrame, k: int = SHINGLE_WORDS, percen
                     best[key] = (i, s)
         if best:
             ids, arrays = zip(*best.values())
-            rows = _deal(np.array(ids, np.int64), list(arrays), bits)
+            names = np.frombuffer(b"".join(k[:8] for k in best), U64)
+            rows = _deal(np.array(ids, np.int64), names, list(arrays), bits)
             yield to_batch(packed, zip(*rows))
 
-    packed = "bucket int, docs binary, counts binary, lo binary, hi binary"
+    packed = "bucket int, docs binary, names binary, counts binary, lo binary, hi binary"
     dealt = map_batches(text_bytes(docs), deal, packed, text="text")
 
     def answer(key, pdf):
@@ -119,6 +122,12 @@ def shared_sets(docs: DataFrame, sets: DataFrame, k: int = SHINGLE_WORDS, percen
         tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["lo"]]).astype(U64)
         tokens |= np.concatenate([np.frombuffer(x, np.uint16) for x in pdf["hi"]]).astype(U64) << U64(32)
         tokens |= U64(int(key[0])) << U64(64 - bits)
+        names = np.concatenate([np.frombuffer(x, U64) for x in pdf["names"]])
+        order = np.lexsort((ids, names))  # copies of a set: the least doc_id answers for them
+        one = np.zeros(len(ids), bool)
+        one[order[np.r_[True, np.diff(names[order]) != 0]]] = True
+        tokens = tokens[np.repeat(one, counts)]
+        ids, counts = ids[one], counts[one]
         _, inverse, df = np.unique(tokens, return_inverse=True, return_counts=True)
         df = df[inverse]
         keep = df > 1
@@ -180,7 +189,7 @@ def _prefix(n: int, s: int, percent: int) -> int:
 
 
 def _lists(kept: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(list, doc) memberships and (list, pivots): one list per group of prefix shingles that the same sets hold."""
+    """(list, doc) memberships and (list, pivot): one list per group of prefix shingles that the same sets hold."""
     def prefixes(b):
         ids, toks = [], []
         for i, n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -190,10 +199,9 @@ def _lists(kept: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             ids.append(np.full(len(p), i, np.int64))
         return to_batch("tok long, doc long", (np.concatenate(toks), np.concatenate(ids)))
     pairs = map_batches(kept, prefixes, "tok long, doc long")
-    pivots = F.array(F.min("doc"), *[F.min_by("doc", F.xxhash64("doc", F.lit(s))) for s in PIVOT_SALTS])
     held = pairs.groupBy("tok").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"),
-                                    F.bit_xor(F.xxhash64("doc", F.lit(7))).alias("y"), pivots.alias("pivots")).where("n > 1")
-    lists = held.groupBy("n", "x", "y", "pivots").agg(F.min("tok").alias("tok")).select("tok", "pivots")
+                                    F.bit_xor(F.xxhash64("doc", F.lit(7))).alias("y"), F.min("doc").alias("pivot")).where("n > 1")
+    lists = held.groupBy("n", "x", "y", "pivot").agg(F.min("tok").alias("tok")).select("tok", "pivot")
     lists = cut(lists)
     return cut(pairs.join(lists.select("tok"), "tok")), lists
 
@@ -298,29 +306,68 @@ def _salted(members: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return members.join(blocks, key).withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")), blocks
 
 
-def _star_links(kept, members, lists, percent):
-    pairs = (members.join(lists, "tok").select("doc", F.explode("pivots").alias("key")).where("doc <> key").distinct())
-    stored, blocks = _salted(pairs, "key")
-    probes = blocks.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    keyed = (stored.select("key", "salt", "doc", F.lit(0).alias("role"), F.col("doc").alias("comp"))
-             .union(probes.select("key", "salt", F.col("key").alias("doc"), F.lit(1), F.col("key"))))
-    return trie_links(kept, keyed, percent)
+def _components_of(members: DataFrame, comps: DataFrame | None, doc: str, out: str) -> DataFrame:
+    """Members with the component so far of the document in column ``doc``."""
+    if comps is None:
+        return members.withColumn(out, F.col(doc))
+    c = comps.select(F.col("node").alias(doc), F.col("component").alias("__c"))
+    return members.join(c, doc, "left").withColumn(out, F.coalesce("__c", doc)).drop("__c")
 
 
-def _rest_links(kept, members, lists, comps, percent):
-    m = (members.join(lists, "tok").where(~F.array_contains("pivots", F.col("doc"))).select("tok", "doc")
-         .join(comps.withColumnRenamed("node", "doc"), "doc", "left")
-         .withColumn("comp", F.coalesce("component", "doc")).drop("component"))
+def _unsettled(members, lists, comps):
+    """Members of the lists (the first pivot excepted: it was compared with all) that still lie in two components or
+    more, with their component, the list's largest one and its number of components."""
+    m = _components_of(members.join(lists, "tok").where("doc <> pivot"), comps, "doc", "comp")
     sizes = m.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"),
-                                    F.count(F.lit(1)).alias("comps")).where("comps > 1").select("tok", "main")
-    m = cut(m.join(main, "tok").withColumnRenamed("tok", "key"))
+    main = (sizes.groupBy("tok").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
+            .where("comps > 1").select("tok", "main"))
+    return cut(m.drop("pivot").join(main, "tok"))
+
+
+def _star_links(kept, pairs, percent):
+    """Compare ``doc`` with ``key`` of each pair (components ``comp`` and ``other``) where lengths allow a link."""
+    size = kept.select(F.col("doc_id").alias("doc"), "n")
+    pairs = (pairs.where("doc <> key and comp <> other").distinct()
+             .join(size, "doc").join(size.select(F.col("doc").alias("key"), F.col("n").alias("m")), "key")
+             .where(F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")).drop("n", "m"))
+    stored, _ = _salted(cut(pairs), "key")
+    probes = stored.select("key", "salt", "other").distinct()
+    keyed = (stored.select("key", "salt", "doc", F.lit(0).alias("role"), "comp")
+             .union(probes.select("key", "salt", F.col("key").alias("doc"), F.lit(1), F.col("other"))))
+    return cut(trie_links(kept, keyed, percent))
+
+
+def _rest_links(kept, open_, percent):
+    """Compare the members of unsettled lists outside the lists' largest component with all members.  Lists with one
+    largest component are joined, so a set travels once for all of them."""
+    m = cut(open_.select(F.col("main").alias("key"), "doc", "comp").distinct())
     stored, blocks = _salted(m, "key")
-    probes = (m.where("comp <> main").join(blocks, "key")
+    probes = (m.where("comp <> key").join(blocks, "key")
               .select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "doc",
                       F.lit(1).alias("role"), "comp"))
     keyed = stored.select("key", "salt", "doc", F.lit(0).alias("role"), "comp").union(probes)
-    return trie_links(kept, keyed, percent)
+    return cut(trie_links(kept, keyed, percent))
+
+
+def _all_links(kept: DataFrame, percent: int) -> DataFrame:
+    """Links that give the components of the kept sets."""
+    members, lists = _lists(kept, percent)
+    pairs = members.join(lists, "tok").select("doc", F.col("pivot").alias("key"), F.col("doc").alias("comp"),
+                                              F.col("pivot").alias("other"))
+    links = _star_links(kept, pairs, percent)
+    for turn in range(1, STAR_ROUNDS + 1):
+        release(kept.sparkSession)
+        open_ = _unsettled(members, lists, components(links, "a", "b"))
+        if open_.isEmpty():
+            break
+        pivots = open_.groupBy("tok").agg(F.min_by(F.struct("doc", "comp"), F.xxhash64("doc", F.lit(turn))).alias("p"))
+        pairs = open_.join(pivots, "tok").select("doc", F.col("p.doc").alias("key"), "comp", F.col("p.comp").alias("other"))
+        new = _star_links(kept, pairs, percent) if turn < STAR_ROUNDS else None
+        if new is None or new.isEmpty():
+            links = links.union(_rest_links(kept, open_, percent))
+            break
+        links = links.union(new)
+    return links
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -330,14 +377,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = P
     release(spark)
     kept = cut(shared_sets(docs, sets, k, percent))
     release(spark)
-    members, lists = _lists(kept, percent)
-    release(spark)
-    star = cut(_star_links(kept, members, lists, percent))
-    release(spark)
-    comps = components(star, "a", "b")
-    rest = cut(_rest_links(kept, members, lists, comps, percent))
-    release(spark)
-    comps = components(star.union(rest), "a", "b")
+    comps = components(_all_links(kept, percent), "a", "b")
     known = sets.where("doc_id is not null")
     classes = (known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
                .join(comps.withColumnRenamed("node", "rep"), "rep", "left")
