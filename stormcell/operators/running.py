@@ -105,12 +105,3 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     if len(probs) == 1:  # pivot names a single aggregate by the pivot value alone
         wide = wide.select(*keys, *[F.col(f"`{c}`").alias(f"{c}_q0") for c in cols])
     return wide
-
-
-def _zip_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Put two one-row frames side by side (statistics only)."""
-    row = b.collect()
-    if not row:
-        return a.withColumns({f.name: F.lit(None).cast(f.dataType) for f in b.schema.fields})
-    vals = row[0].asDict()
-    return a.withColumns({f.name: F.lit(vals[f.name]).cast(f.dataType) for f in b.schema.fields})

@@ -26,6 +26,7 @@ tests assert both layouts agree.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from typing import Callable, Iterable, Mapping
 
@@ -59,13 +60,33 @@ def as_series(keys: Iterable[str] = (), order: Iterable[str] = ("ts",), **kw) ->
     return Series(keys=tuple(keys), order=tuple(order), **kw)
 
 
+_REUSED: list[DataFrame] = []
+
+
+def release_reused(keep: int = 0) -> None:
+    """Unpersist the frames that ``reuse`` has persisted (all but the first ``keep``); call it when a result is written."""
+    while len(_REUSED) > keep:
+        _REUSED.pop().unpersist()
+
+
+@contextmanager
+def reuse_scope():
+    """Frames persisted inside the block are released at its end."""
+    keep = len(_REUSED)
+    try:
+        yield
+    finally:
+        release_reused(keep)
+
+
 def reuse(df: DataFrame) -> DataFrame:
     """Persist a frame that feeds several branches of one plan (a self-join of statistics
     back onto rows), so its upstream runs once.  Memory and disk; lost blocks are
     recomputed from lineage after an executor loss."""
     if df.storageLevel.useMemory or df.storageLevel.useDisk:
         return df
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    _REUSED.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
 
 
 def key_window(keys: Iterable[str]):
@@ -80,7 +101,7 @@ def _bucket_expr(df: DataFrame, s: Series) -> Column:
         return F.date_trunc(s.bucket, F.col(first))
     if isinstance(dt, T.NumericType):
         return F.floor(F.col(first) / F.lit(float(s.bucket_width)))
-    return F.lit(0)
+    raise TypeError(f"order column {first!r} is neither a time nor a number: rows of a key could not be numbered in parallel")
 
 
 def _tie_break(df: DataFrame) -> Column:
@@ -99,7 +120,8 @@ def with_positions(df: DataFrame, s: Series, pos_col: str = POS) -> DataFrame:
         w = key_window(s.keys).orderBy(*order)
         return df.withColumn(pos_col, F.row_number().over(w) - 1)
     tb = "_tb"
-    d = reuse(df.withColumn(tb, _bucket_expr(df, s)))
+    # an input of one partition would satisfy every later partitionBy, so rows are dealt by bucket explicitly
+    d = reuse(df.withColumn(tb, _bucket_expr(df, s)).repartition(*s.keys, tb))
     counts = d.groupBy(*s.keys, tb).agg(F.count(F.lit(1)).alias("_tb_n"))
     w_off = key_window(s.keys).orderBy(tb).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*s.keys, tb, F.coalesce(F.sum("_tb_n").over(w_off), F.lit(0)).alias("_tb_off"))

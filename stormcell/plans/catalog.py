@@ -20,9 +20,7 @@ from . import oracle as O
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-# Small blocks so that the checks at small scale cross many block edges;
-# the library default (Series.block_rows) is 2^20 rows.
-DEMO_BLOCK_ROWS = 128
+DEMO_BLOCK_ROWS = Series.block_rows   # the library default; tests cover block edges with small blocks
 
 
 def register(name: str, sql: str | None = None):

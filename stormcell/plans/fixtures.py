@@ -76,7 +76,7 @@ def raw_panel(events: DataFrame, keyed: bool = False) -> DataFrame:
         base = attach_stats(cells, h0.select("h0"))  # one scalar, added as a literal
     else:
         spine = h0.select(F.explode(F.sequence("h0", "h1", F.expr("interval 1 hour"))).alias("hour"), "h0")
-        base = spine.join(cells, on="hour", how="left")
+        base = spine.repartition("hour").join(cells, on="hour", how="left")
     base = base.withColumn("n", F.timestamp_diff("HOUR", F.col("h0"), F.col("hour"))).drop("h0", "h1")
     spike = F.when(F.pmod(F.col("n"), F.lit(SPIKE_MOD)) == SPIKE_AT, F.lit(SPIKE_FACTOR)).otherwise(F.lit(1.0))
     base = base.withColumns({

@@ -34,13 +34,16 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting always wins; a folder of our own is set only where
-    the session has none (local tests).
+    the session has none: with a local master a folder under /tmp, otherwise the call fails
+    (a machine-local folder would be lost with its machine).
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and not sc.master.startswith("local") and not (fallback or os.environ.get("STORMCELL_CHECKPOINT_DIR")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not conf_dir:
         conf_dir = fallback or os.environ.get("STORMCELL_CHECKPOINT_DIR") or "/tmp/stormcell-checkpoints"
     sc.setCheckpointDir(conf_dir)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import alerts as AL
 from ..operators.quality import RANGE_LIMITS, flag_ranges
-from ..operators.series import Series, window_apply
+from ..operators.series import Series, reuse_scope, window_apply
 from ..session import ensure_checkpoint_dir
 
 EVENTS_SCHEMA = T.StructType([
@@ -52,6 +52,21 @@ def hourly_means(events: DataFrame, delay: str = "2 hours", ts: str = "ts") -> D
             .select(F.col("w.start").alias("hour"), "event_type", "mean_value", "events"))
 
 
+def open_windows(events: DataFrame, emitted: DataFrame, delay_hours: int = 2, ts: str = "ts") -> DataFrame:
+    """X1, end of a finished input: the hours that the append stream has not emitted because the watermark never passed
+    them.  Only events near the end are read again."""
+    last = events.agg(F.max(ts).alias("t")).first()["t"]
+    if last is None:
+        return emitted.limit(0)
+    from datetime import timedelta
+    late = events.where(F.col(ts) >= F.lit(last - timedelta(hours=delay_hours + 2)))
+    rest = (late.groupBy(F.date_trunc("hour", ts).alias("hour"), "event_type")
+            .agg(F.avg("value").alias("mean_value"), F.count(F.lit(1)).alias("events")))
+    rest = rest.where(F.col("hour") >= F.date_trunc("hour", F.lit(last - timedelta(hours=delay_hours))))
+    rest = rest.withColumn("hour", F.col("hour").cast(emitted.schema["hour"].dataType))
+    return rest.join(emitted.select("hour", "event_type"), ["hour", "event_type"], "left_anti")
+
+
 def score_stream(scored: DataFrame, p: str, profile: str = "PRIMARY") -> DataFrame:
     """Stateless alert rules applied to a streaming (or static) frame."""
     t = AL.THRESHOLD_PROFILES[profile]
@@ -73,7 +88,10 @@ def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append"
 
 def stream_lag_features(stream: DataFrame, s: Series, cols: Sequence[str], lags: Sequence[int],
                         means: Sequence[int], out: str, state: str, checkpoint: str) -> None:
-    """Lag and rolling-mean features per key across micro-batches (tail-table state)."""
+    """Lag and rolling-mean features per key across micro-batches (tail-table state).
+
+    Rows are expected in time order across batches: a row that comes in a later batch than newer rows of its key gets
+    the neighbours known when it comes, and features written before are not corrected."""
     tail = max(max(lags, default=0), max(means, default=1) - 1)
     spark = stream.sparkSession
 
@@ -84,17 +102,15 @@ def stream_lag_features(stream: DataFrame, s: Series, cols: Sequence[str], lags:
 
     def batch(df: DataFrame, epoch: int) -> None:
         new = df.withColumn("_new", F.lit(True))
-        prev_path = f"{state}/epoch={epoch - 1}"
-        try:
-            prev = spark.read.parquet(prev_path).withColumn("_new", F.lit(False))
-            both = prev.unionByName(new)
-        except Exception:  # first epoch: no tail yet
-            both = new
-        feats = window_apply(both, s, build, before=tail)
-        feats.where(F.col("_new")).drop("_new").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        w = Window.partitionBy(*s.keys).orderBy(*[F.col(c).desc() for c in s.order])
-        kept = both.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= tail).drop("_r", "_new")
-        kept.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+        both = new
+        if epoch > 0:  # a tail that cannot be read must stop the stream, not restart it without state
+            both = spark.read.parquet(f"{state}/epoch={epoch - 1}").withColumn("_new", F.lit(False)).unionByName(new)
+        with reuse_scope():
+            feats = window_apply(both, s, build, before=tail)
+            feats.where(F.col("_new")).drop("_new").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+            w = Window.partitionBy(*s.keys).orderBy(*[F.col(c).desc() for c in s.order])
+            kept = both.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= tail).drop("_r", "_new")
+            kept.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
 
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
