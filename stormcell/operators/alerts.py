@@ -51,12 +51,13 @@ def predict_batch(df: DataFrame, p: str, keys: Sequence[str] = (), profile: str
 
 
 def alert_distribution(df: DataFrame, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """A10: count and percent of the six levels, zeros included.  The level dimension is a
-    generated six-element array per group, left-joined with the counts."""
-    counts = df.groupBy(*by, AL.alert_level(p).alias("alert_level")).agg(F.count(F.lit(1)).alias("count"))
-    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
-    dims = groups.select(*by, "_total", F.explode(F.array(*[F.lit(x) for x in AL.ALL_LEVELS])).alias("alert_level"))
-    j = dims.join(counts, on=[*by, "alert_level"], how="left")
+    """A10: count and percent of the six levels, zeros included.  One pass: the counts of a
+    group are gathered into a map of at most six levels and read out level by level."""
+    counts = df.where(F.col(p).isNotNull()).groupBy(*by, AL.alert_level(p).alias("alert_level")).agg(F.count(F.lit(1)).alias("count"))
+    groups = counts.groupBy(*by).agg(F.sum("count").alias("_total"),
+                                     F.map_from_entries(F.collect_list(F.struct("alert_level", "count"))).alias("_n"))
+    dims = groups.select(*by, "_total", "_n", F.explode(F.array(*[F.lit(x) for x in AL.ALL_LEVELS])).alias("alert_level"))
+    j = dims.withColumn("count", F.try_element_at("_n", F.col("alert_level")))
     return j.select(*by, "alert_level", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
                     (safe_div(F.coalesce(F.col("count"), F.lit(0)), "_total") * 100.0).alias("percent"))
 

@@ -13,7 +13,7 @@ from .windows import diff_column, lead_column
 # Columns the production label is derived from or that look ahead
 TARGET = "Storm"
 EXCLUDED_FROM_FEATURES = ["Storm", "Moderate_Storm", "Kp_actual", "Kp_index"]
-LEAKAGE_COLUMNS = ["Storm", "Moderate_Storm", "Kp_actual", "Kp_index", "Dst_index",
+LEAKAGE_COLUMNS = ["Storm", "Moderate_Storm", "Kp_actual", "Kp_index", "Dst_index", "Dst_Rate",
                    "Storm_Binary", "Storm_Intensity", "Storm_Onset", "Storm_6h_Ahead"]
 
 

@@ -6,7 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from .labels import EXCLUDED_FROM_FEATURES, TARGET, feature_columns
+from .labels import EXCLUDED_FROM_FEATURES, TARGET, assert_no_leakage, feature_columns
 from .quality import fill_all
 from .running import attach_stats, exact_quantiles
 from .series import Series
@@ -47,12 +47,13 @@ def class_weights(df: DataFrame, y: str, cap: float | None = None, by: Sequence[
 
 
 def with_weights(df: DataFrame, weights: DataFrame, y: str, name: str = "weight") -> DataFrame:
-    """Row weights from a class-weight table (at most a few rows: joined by class)."""
-    return df.join(F.broadcast(weights.select(F.col("class").alias(y), F.col("weight").alias(name))), on=y, how="left")
+    """Row weights from a class-weight table, joined by class (Spark broadcasts it by its measured size)."""
+    return df.join((weights.select(F.col("class").alias(y), F.col("weight").alias(name))), on=y, how="left")
 
 
 def prepare(df: DataFrame, s: Series, split: str = "split", target: str = TARGET,
-            exclude: Sequence[str] = EXCLUDED_FROM_FEATURES, cap: float | None = None, checkpoint: bool = True):
+            exclude: Sequence[str] = EXCLUDED_FROM_FEATURES, cap: float | None = None, checkpoint: bool = True,
+            allow: Sequence[str] = ("Dst_index",)):
     """Per split forward/backward/zero fill, robust scaling fit on train, class weights.
 
     The filled table is checkpointed into the shared checkpoint folder (lineage cut,
@@ -60,6 +61,7 @@ def prepare(df: DataFrame, s: Series, split: str = "split", target: str = TARGET
     Returns (prepared DataFrame, feature list, scaler statistics, class weights).
     """
     feats = feature_columns(df, exclude, non_features=(*s.keys, *s.order, split))
+    assert_no_leakage(feats, allow=allow)  # L7; Dst_index is a model input of the reference all the same
     filled = fill_all(df, s.with_keys(split), feats)
     if checkpoint:
         filled = cut_lineage(filled)

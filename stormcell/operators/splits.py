@@ -95,7 +95,8 @@ def event_rates(df: DataFrame, c: str, limits: Sequence[float] = (4.0, 5.0), by:
 def sample_key(key: str, seed: int, method: str = "xxhash64") -> Column:
     """Deterministic pseudo-random order key of a row."""
     if method == "mult":
-        return F.pmod((F.col(key).cast("long") + F.lit(int(seed))) * F.lit(SAMPLE_MULTIPLIER), F.lit(HASH_MOD))
+        small = F.pmod(F.col(key).cast("long"), F.lit(1 << 31))  # the product stays within 64 bits
+        return F.pmod((small + F.lit(int(seed))) * F.lit(SAMPLE_MULTIPLIER), F.lit(HASH_MOD))
     return F.xxhash64(F.col(key), F.lit(int(seed)))
 
 

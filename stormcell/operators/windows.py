@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Mapping, Sequence
+from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -123,13 +123,14 @@ def sequences(df: DataFrame, s: Series, cols: Sequence[str], label: str, length:
 
 
 def sequences_with_fallback(df: DataFrame, s: Series, cols: Sequence[str], label: str, length: int,
-                            stride: int = 3, fallback: int = 50, ts: str = "ts") -> DataFrame:
-    """W7; when it yields nothing, the first ``fallback`` windows without the missing check."""
+                            stride: int = 3, fallback: int | None = None, ts: str = "ts") -> DataFrame:
+    """W7; when it yields nothing, all windows without the missing check (``fallback``: only the first so many,
+    where the caller asks for that)."""
     seq = sequences(df, s, cols, label, length, stride, True, ts)
     if seq.limit(1).count() > 0:
         return seq
     raw = sequences(df, s, cols, label, length, 1, False, ts)
-    return raw.where(F.col("position") < length + fallback)
+    return raw if fallback is None else raw.where(F.col("position") < length + fallback)
 
 
 def safe_sequences(df: DataFrame, s: Series, cols: Sequence[str], label: str, split_ts, length: int,
@@ -146,16 +147,11 @@ def sequence_backfill(df: DataFrame, s: Series, score: str, length: int = 72, he
     """Per series, rows from ``length`` on keep ``score`` (missing -> ``default``);
     the first ``length`` rows get the mean of the first ``head`` such scores."""
     d = ensure_positions(df, s)
-    first = F.when((F.col(POS) >= length) & (F.col(POS) < length + head), F.col(score))
+    first = F.when((F.col(POS) >= length) & (F.col(POS) < length + head),
+                   F.coalesce(F.col(score).cast("double"), F.lit(float(default))))
     init = d.groupBy(*s.keys).agg(F.avg(first).alias("_init"))
     d = attach_stats(d, init, s.keys)
     val = (F.when(F.col(POS) < length, F.coalesce(F.col("_init"), F.lit(float(default))))
            .otherwise(F.coalesce(F.col(score).cast("double"), F.lit(float(default)))))
     d = d.withColumn(name, val).drop("_init")
     return d if POS in df.columns else d.drop(POS)
-
-
-def window_bundle(df: DataFrame, s: Series, builders: Mapping[str, object], before: int, after: int = 0) -> DataFrame:
-    """Several window columns in one pass (one sort/one exchange)."""
-    return window_apply(df, s, lambda w: {k: (v(w) if callable(v) else v) for k, v in builders.items()},
-                        before=before, after=after, keep_pos=POS in df.columns)

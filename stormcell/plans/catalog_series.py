@@ -403,7 +403,7 @@ def q_rolling_median(spark, sf_dir):
     P(f"b AS (SELECT ts, {SPLIT_SQL} AS split, Newell_Coupling_mean_24h AS sc, row_number() OVER "
       f"(PARTITION BY {SPLIT_SQL} ORDER BY ts) - 1 AS pos FROM features)", feats=True)
     + "SELECT ts, split, CASE WHEN pos < 72 THEN coalesce(i.init, 0.5) ELSE coalesce(sc, 0.5) END AS sequence_score "
-      "FROM b LEFT JOIN (SELECT split, avg(sc) AS init FROM b WHERE pos >= 72 AND pos < 82 GROUP BY split) i "
+      "FROM b LEFT JOIN (SELECT split, avg(coalesce(sc, 0.5)) AS init FROM b WHERE pos >= 72 AND pos < 82 GROUP BY split) i "
       "USING (split)", "ts:t split:s sequence_score:d"))
 def q_backfill(spark, sf_dir):
     """Per split, first 72 rows get the mean of the next 10 scores."""
@@ -428,29 +428,13 @@ def q_profile(spark, sf_dir):
 def q_union(spark, sf_dir):
     """Per-year parts tagged, bag union, fixed column subset, dropped columns."""
     li = FX.table(spark, sf_dir, "lineitem").withColumn("ship_year", F.year("l_shipdate"))
-    parts = [SRC.tag(li.where(F.col("ship_year") == y), "ship_year", y) for y in range(1995, 2002)]
+    years = [r["ship_year"] for r in li.select("ship_year").distinct().collect()]  # one row per year (and NULL)
+    parts = [SRC.tag(li.where(F.col("ship_year").eqNullSafe(F.lit(y))), "ship_year", F.lit(y).cast("int")) for y in years]
     u = SRC.union_all(parts)
     u = SRC.drop_if_present(u, ["l_comment", "l_tax", "l_discount"])
     return normalize(u.select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "ship_year"))
 
 
-def _catalog_sql() -> str:
-    names = ", ".join(f"('{c}')" for c in FEATURE_COLS)
-    parts = []
-    for cat, mode, subs in FE.CATEGORY_RULES:
-        cond = " OR ".join(f"contains(feature, '{x}')" for x in subs)
-        cond = f"NOT ({cond})" if mode == "exclude" else f"({cond})"
-        parts.append(f"SELECT '{cat}' AS category, feature FROM n WHERE {cond}")
-    return O.norm(f"WITH n AS (SELECT * FROM (VALUES {names}) AS t(feature)) " + " UNION ALL ".join(parts),
-                  "category:s feature:s")
-
-
-@register("s18_feature_catalog", _catalog_sql())
-def q_catalog(spark, sf_dir):
-    """Feature catalogue of the feature table by name rules."""
-    return normalize(FE.feature_catalog(features(spark, sf_dir)))
-
-
 # ------------------------------------------------------------------ text ingest over Spark-written text
 from ..sources import text as TX  # noqa: E402
 from ..streaming.streams import scratch  # noqa: E402

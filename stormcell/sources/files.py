@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 
@@ -16,7 +16,7 @@ def read_tagged(spark: SparkSession, paths: Sequence[str], tag_col: str, tags: S
 
 def tag(df: DataFrame, tag_col: str, value) -> DataFrame:
     """Constant tag column."""
-    return df.withColumn(tag_col, F.lit(value))
+    return df.withColumn(tag_col, value if isinstance(value, Column) else F.lit(value))
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:

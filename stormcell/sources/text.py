@@ -19,6 +19,9 @@ SENTINELS = [999.9, 9999.9, 99999.9]
 TIME_PARTS = ["Year", "Day", "Hour"]
 
 
+NARROW_TYPES = {"Year": "smallint", "Day": "smallint", "Hour": "tinyint"}
+
+
 def read_whitespace(spark: SparkSession, path: str, names: Sequence[str] = RAW_NAMES,
                     types: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """S1 + S7: (rows, rejects).  A line is rejected when it has too few fields or a field
@@ -75,7 +78,7 @@ def to_ts(year="Year", doy="Day", hour="Hour") -> Column:
 
 def ingest(spark: SparkSession, path: str, names: Sequence[str] = RAW_NAMES) -> tuple[DataFrame, DataFrame]:
     """S1-S7 composed: parse, sentinels -> NULL, drop rows without time parts, narrow, timestamp."""
-    rows, rejects = read_whitespace(spark, path, names)
+    rows, rejects = read_whitespace(spark, path, names, NARROW_TYPES)  # a part out of its type's range is a reject
     d = drop_missing_time(null_sentinels(rows))
     d = narrow_time_parts(d)
     return d.withColumn("ts", to_ts()), rejects
