@@ -106,39 +106,36 @@ def compile_automaton(phrases: list[tuple]) -> ahocorasick.Automaton:
 
 def _locate(segs: list[tuple], window: int, phrase: int):
     """Windows of the shard's segments that hold a phrase of their own anchor, as located by the automaton:
-    arrays (anchor number, window hash, segment number, word offset)."""
-    number: dict[bytes, int] = {}
-    coded, words = [], []
-    phrases: dict[tuple, int] = {}
-    anchors: dict[int, int] = {}
-    owner: list[set[int]] = []
-    for anchor, doc, start, at, seg in segs:
-        w = seg.split(b" ")
-        ids = [number.setdefault(x, len(number)) for x in w]
-        words.append(w)
-        coded.append(tuple(ids))
-        k = phrases.setdefault(tuple(ids[at:at + phrase]), len(phrases))
-        if k == len(owner):
-            owner.append(set())
-        owner[k].add(anchors.setdefault(anchor, len(anchors)))
+    arrays (anchor, window hash, segment number, word offset).
+
+    The segments are streamed as one sequence of word numbers with a 0 between them, which no phrase holds."""
+    number: dict[bytes, int] = {b" ": 0}
+    ids, start, phrases = [], [], {}
+    for anchor, doc, _, at, seg in segs:
+        start.append(len(ids))
+        ids += [number.setdefault(x, len(number)) for x in seg.split(b" ")]
+        first = start[-1] + at
+        phrases.setdefault(tuple(ids[first:first + phrase]), anchor)  # a phrase's hash is its anchor
+        ids.append(0)
     automaton = compile_automaton(list(phrases))
-    out = [[], [], [], []]
-    for k, (ids, w) in enumerate(zip(coded, words)):
-        mine = anchors[segs[k][0]]
-        n = len(ids) - window + 1
-        hit = np.zeros(n + 1, np.int64)
-        for end, which in automaton.iter(ids):
-            if mine in owner[which]:
-                q = end - phrase + 1
-                lo, hi = max(0, q + phrase - window), min(n, q + 1)
-                if lo < hi:
-                    hit[lo] += 1
-                    hit[hi] -= 1
-        offsets = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
-        h = ngram_hashes(word_hashes(w), window)[offsets]
-        for c, x in zip(out, (np.full(len(offsets), mine), h, np.full(len(offsets), k), offsets)):
-            c.append(x)
-    return [np.concatenate(c) for c in out]
+    hits = np.array(list(automaton.iter(tuple(ids))), np.int64).reshape(-1, 2)
+    start = np.array(start)
+    size = np.diff(np.r_[start, len(ids)]) - 1
+    anchor = np.array([s[0] for s in segs], np.int64)
+    q = hits[:, 0] - phrase + 1
+    k = np.searchsorted(start, q, side="right") - 1
+    mine = np.array(list(phrases.values()), np.int64)[hits[:, 1]] == anchor[k]
+    q, k = q[mine], k[mine]
+    lo = np.maximum(start[k], q + phrase - window)
+    hi = np.minimum(start[k] + size[k] - window + 1, q + 1)
+    edge = np.zeros(len(ids) + 1, np.int64)
+    some = lo < hi
+    np.add.at(edge, lo[some], 1)
+    np.add.at(edge, hi[some], -1)
+    at = np.flatnonzero(np.cumsum(edge) > 0)
+    h = ngram_hashes(word_hashes(list(number))[np.array(ids)], window)[at]
+    k = np.searchsorted(start, at, side="right") - 1
+    return anchor[k], h, k, at - start[k]
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, window: int):
