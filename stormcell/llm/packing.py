@@ -26,42 +26,72 @@ from .common import cut, map_batches, release, text_bytes, to_batch
 CAPACITY = 2048
 END_ID = 0
 PIECES_PER_BLOCK = 200_000   # expected pieces per ranking block over all lengths
-_CACHE_ENTRIES = 300_000
+_KNOWN_PARTS = 150_000
+_KNOWN_PRE_TOKENS = 250_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def _byte_letters() -> list[str]:
+    """The letter that a byte-level BPE writes for each byte: printable Latin-1 stands for itself, the others follow
+    from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, through a byte-level BPE of the tokenizers library.
 
-    A byte-level pre-token never crosses a space that a non-space follows, so such texts are cut at spaces and the ids of
-    each part are kept (bounded); other texts are encoded whole.
+    A byte-level pre-token never crosses a space that a non-space follows, so such texts are cut at spaces; the ids of
+    the parts and of their pre-tokens are kept (bounded).  Other texts are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import re
 
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.letters = dict(enumerate(_byte_letters()))
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.known: dict[str, bytes] = {}
+        self.pre_tokens: dict[str, bytes] = {}
         self.uneven = re.compile(r" (?=\s)| \Z")
+        self.unusual = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u024f]")  # letter classes may differ between libraries
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def part(self, text: str) -> bytes:
+        """Ids of a short text by its pre-tokens."""
+        if self.unusual.search(text):
+            return self.raw(text)
+        out = []
+        for w in self.split(text):
+            ids = self.pre_tokens.get(w)
+            if ids is None:
+                if len(self.pre_tokens) > _KNOWN_PRE_TOKENS:
+                    self.pre_tokens.clear()
+                found = self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(self.letters))
+                ids = self.pre_tokens[w] = np.array([t.id for t in found], "<u4").tobytes()
+            out.append(ids)
+        return b"".join(out)
+
     def __call__(self, text: str) -> bytes:
         if not text or self.uneven.search(text):
             return self.raw(text) if text else b""
         known = self.known
-        if len(known) > _CACHE_ENTRIES:
+        if len(known) > _KNOWN_PARTS:
             known.clear()
         head, *parts = text.split(" ")
         out = [self.raw(head)] if head else []
         for p in parts:
             ids = known.get(p)
             if ids is None:
-                ids = known[p] = self.raw(" " + p)
+                ids = known[p] = self.part(" " + p)
             out.append(ids)
         return b"".join(out)
 
@@ -119,8 +149,7 @@ def best_two_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
                 floor = np.maximum.accumulate(np.where(free > 0, index, 0))
         if len(bin_) > 1 and gap:
             small, room = bin_[-1], bin_[-1] + gap
-            a = np.flatnonzero(free[:room] > 0)
-            a = a[2 * a >= room - a.max()] if len(a) else a  # the larger of the two
+            a = np.flatnonzero(free[:room] > 0)  # the larger of the two
             b = floor[np.minimum(room - a, a)]
             alone = (b == a) & (free[a] < 2)
             b = np.where(alone, floor[np.maximum(b - 1, 0)], b)
