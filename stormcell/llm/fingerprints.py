@@ -29,7 +29,7 @@ from .common import U64, groups, map_batches, mix, ngram_hashes, release, text_b
 
 BITS = 128
 RADIUS = 7
-BYTES_PER_RANGE = 24_000_000
+BYTES_PER_RANGE = 6_000_000
 
 
 def fingerprint(data: bytes | None) -> bytes:
