@@ -41,7 +41,7 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 BYTES_PER_BUCKET = 12_000_000   # of text; decides only how finely the work is dealt
 BLOCK_SETS = 512                # sets in one trie
-STAR_ROUNDS = 8                 # at most; what is then open is compared in full
+STAR_ROUNDS = 3                 # at most; what is then open is compared in full
 
 
 def shingles(data: bytes | None, k: int = SHINGLE_WORDS) -> np.ndarray:
@@ -188,8 +188,8 @@ def _prefix(n: int, s: int, percent: int) -> int:
     return s - -(-percent * n // 100) + 1
 
 
-def _lists(kept: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(list, doc) memberships and (list, pivot): one list per group of prefix shingles that the same sets hold."""
+def _lists(kept: DataFrame, percent: int) -> DataFrame:
+    """(tok, pivot, doc) of every member but the pivot: one list per group of prefix shingles that the same sets hold."""
     def prefixes(b):
         ids, toks = [], []
         for i, n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -202,8 +202,7 @@ def _lists(kept: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     held = pairs.groupBy("tok").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"),
                                     F.bit_xor(F.xxhash64("doc", F.lit(7))).alias("y"), F.min("doc").alias("pivot")).where("n > 1")
     lists = held.groupBy("n", "x", "y", "pivot").agg(F.min("tok").alias("tok")).select("tok", "pivot")
-    lists = cut(lists)
-    return cut(pairs.join(lists.select("tok"), "tok")), lists
+    return cut(pairs.join(cut(lists), "tok").where("doc <> pivot"))
 
 
 class _Node:
@@ -314,14 +313,13 @@ def _components_of(members: DataFrame, comps: DataFrame | None, doc: str, out: s
     return members.join(c, doc, "left").withColumn(out, F.coalesce("__c", doc)).drop("__c")
 
 
-def _unsettled(members, lists, comps):
-    """Members of the lists (the first pivot excepted: it was compared with all) that still lie in two components or
-    more, with their component, the list's largest one and its number of components."""
-    m = _components_of(members.join(lists, "tok").where("doc <> pivot"), comps, "doc", "comp")
+def _unsettled(members, comps):
+    """Members of lists that still lie in two components or more, with their component and the list's largest one."""
+    m = _components_of(members.select("tok", "doc"), comps, "doc", "comp")
     sizes = m.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = (sizes.groupBy("tok").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
             .where("comps > 1").select("tok", "main"))
-    return cut(m.drop("pivot").join(main, "tok"))
+    return cut(m.join(main, "tok"))
 
 
 def _star_links(kept, pairs, percent):
@@ -351,13 +349,12 @@ def _rest_links(kept, open_, percent):
 
 def _all_links(kept: DataFrame, percent: int) -> DataFrame:
     """Links that give the components of the kept sets."""
-    members, lists = _lists(kept, percent)
-    pairs = members.join(lists, "tok").select("doc", F.col("pivot").alias("key"), F.col("doc").alias("comp"),
-                                              F.col("pivot").alias("other"))
+    open_ = _lists(kept, percent)  # every member but the list's pivot
+    pairs = open_.select("doc", F.col("pivot").alias("key"), F.col("doc").alias("comp"), F.col("pivot").alias("other"))
     links = _star_links(kept, pairs, percent)
     for turn in range(1, STAR_ROUNDS + 1):
         release(kept.sparkSession)
-        open_ = _unsettled(members, lists, components(links, "a", "b"))
+        open_ = _unsettled(open_, components(links, "a", "b"))
         if open_.isEmpty():
             break
         pivots = open_.groupBy("tok").agg(F.min_by(F.struct("doc", "comp"), F.xxhash64("doc", F.lit(turn))).alias("p"))
