@@ -42,7 +42,6 @@ _WORD = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"(?<![a-z])[a-z]++[0134@$*]++[a-z]+")
 _UNMASK = str.maketrans("0134@$", "oieaas")
 _PATTERN_VOTERS = 3
-_KNOWN_PARTS, _KNOWN_LENGTH = 200_000, 40
 _NUMBER = HashedNumbers()
 
 
@@ -57,31 +56,18 @@ class Voters:
             for w in words:
                 self.of[w] = self.of.get(w, 0) | 1 << k
         self.size = len(self.sets) + _PATTERN_VOTERS
-        self.known: dict[str, tuple[list[str], bool]] = {}
-
-    def _look(self, part: str) -> tuple[list[str], bool]:
-        """Words of a part of a text between spaces, and whether it holds a masked word of a lexicon; kept, bounded."""
-        found = _WORD.findall(part), any(w.translate(_UNMASK) in self.of for w in _MASKED.findall(part))
-        if len(part) <= _KNOWN_LENGTH:
-            if len(self.known) >= _KNOWN_PARTS:
-                self.known.clear()
-            self.known[part] = found
-        return found
 
     def votes(self, data: bytes | None) -> tuple[int, set[str]]:
         raw = (data or b"").decode("utf-8", "replace")
         text = raw.lower()
-        distinct, masked = set(), False
-        for part in set(text.split()):  # neither words nor masked words hold a space: distinct parts are enough
-            words, bad = self.known.get(part) or self._look(part)
-            distinct.update(words)
-            masked |= bad
+        parts = " ".join(set(text.split()))  # neither words nor masked words hold a space: distinct parts are enough
+        distinct = set(_WORD.findall(parts))
         hit = distinct & self.of.keys()
         v = 0
         for w in hit:
             v |= self.of[w]
         base = len(self.sets)
-        if masked:
+        if any(w.translate(_UNMASK) in self.of for w in _MASKED.findall(parts)):
             v |= 1 << base
         words = _WORD.findall(text) if hit and not {"you", "your"}.isdisjoint(distinct) else []
         if any(w in self.of and not {"you", "your"}.isdisjoint(words[max(0, k - 3):k + 4]) for k, w in enumerate(words)):
