@@ -39,7 +39,9 @@ def decide_profiles(df: DataFrame, p: str, profiles: Sequence[str] = tuple(AL.TH
 def predict_batch(df: DataFrame, p: str, keys: Sequence[str] = (), profile: str = "PRIMARY",
                   detail: bool = False, ts: str | None = None) -> DataFrame:
     """storm_probability, alert_level, prediction text, confidence (+ keys).
-    ``detail`` adds time, probability rounded half-even to 4 places, threshold and version (A9)."""
+    ``detail`` adds time, probability rounded half-even to 4 places, threshold and version (A9).
+    Missing columns are named before any job runs (A1)."""
+    require_columns(df, [p, *keys, *([ts] if detail and ts else [])])
     t = AL.THRESHOLD_PROFILES[profile]
     cols = [*keys, F.col(p).cast("double").alias("storm_probability"), AL.alert_level(p).alias("alert_level"),
             AL.storm_text(AL.decide(p, t)).alias("prediction"), AL.confidence(p, t).alias("confidence")]

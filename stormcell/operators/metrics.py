@@ -77,11 +77,17 @@ def auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
                                        F.first("P") * F.first("N")).alias("auc"))
 
 
-def roc_curve(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """One point per distinct score (threshold = score): fpr, tpr."""
+def roc_curve(df: DataFrame, y: str, p: str, by: Sequence[str] = (), start_point: bool = True) -> DataFrame:
+    """One point per distinct score (threshold = score): fpr, tpr; plus the start point (0, 0), where nothing is
+    called positive (no threshold)."""
     c = _curve_base(df, y, p, by)
-    return c.select(*by, F.col("score").alias("threshold"), safe_div("fp", "N").alias("fpr"),
-                    safe_div("tp", "P").alias("tpr"))
+    curve = c.select(*by, F.col("score").alias("threshold"), safe_div("fp", "N").alias("fpr"),
+                     safe_div("tp", "P").alias("tpr"))
+    if start_point:
+        starts = c.groupBy(*by).agg(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"),
+                                    F.lit(0.0).alias("tpr"))
+        curve = curve.unionByName(starts)
+    return curve
 
 
 def average_precision(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:

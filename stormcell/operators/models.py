@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import safe_div, zero_div
+from . import metrics as M
+from .alerts import require_columns
 from .quality import nan_to_num
 from .series import Series
 from .windows import rolling_fill_median
@@ -23,6 +25,7 @@ from .windows import rolling_fill_median
 GBT_DEFAULTS = {"stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "maxIter": 1000,
                 "maxDepth": 7, "seed": 42}
 MEMBERS = {"model_precision": 30, "model_recall": 10, "model_balanced": 20}
+PATIENCE = 50
 SEARCH_TRIALS = 100
 SEARCH_THRESHOLD = 0.5
 
@@ -44,15 +47,52 @@ def fit_gbt(train: DataFrame, features: Sequence[str], label: str, weight: str |
     return Pipeline(stages=[assembler(features), gbt]).fit(train)
 
 
+def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
+    """(rounds to keep, whether ``patience`` rounds without gain follow): the first point at which training would stop."""
+    best = 0
+    for i, x in enumerate(losses):
+        if x < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def fit_gbt_patient(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, weight: str | None = None,
+                    patience: int = PATIENCE, **params) -> PipelineModel:
+    """M1 with early stopping: training ends after ``patience`` rounds without a lower validation log-loss, and the best
+    round is kept.  A boosted model's first n trees are those of a fit of n rounds with the same seed, so fits of
+    2, 4, 8 ... times ``patience`` rounds are judged round by round until the stop is seen (or ``maxIter`` is reached), and
+    one fit of the best number of rounds is the result."""
+    p = {**GBT_DEFAULTS, **params}
+    most = p.pop("maxIter")
+    held = assembler(features).transform(val).select("features", F.col(label).cast("double").alias(label))
+    rounds = min(most, 2 * patience)
+    while True:
+        model = fit_gbt(train, features, label, weight, maxIter=rounds, **p)
+        keep, stopped = best_round(model.stages[-1].evaluateEachIteration(held), patience)
+        if stopped or rounds == most:
+            return model if keep == rounds else fit_gbt(train, features, label, weight, maxIter=keep, **p)
+        rounds = min(most, 2 * rounds)
+
+
 def fit_members(train: DataFrame, features: Sequence[str], label: str, members: Mapping[str, int] = MEMBERS,
-                **params) -> dict[str, PipelineModel]:
-    """M2: the three members differ in minimum rows per leaf; the input is cached once."""
+                val: DataFrame | None = None, weight: str | None = None, **params) -> dict[str, PipelineModel]:
+    """M2: the three members differ in minimum rows per leaf; with ``val`` each stops early with patience.  The input is
+    cached while they are fitted."""
     train = train.cache()
-    return {name: fit_gbt(train, features, label, minInstancesPerNode=m, **params) for name, m in members.items()}
+    try:
+        if val is None:
+            return {k: fit_gbt(train, features, label, weight, minInstancesPerNode=m, **params) for k, m in members.items()}
+        return {k: fit_gbt_patient(train, val, features, label, weight, minInstancesPerNode=m, **params)
+                for k, m in members.items()}
+    finally:
+        train.unpersist()
 
 
 def score(df: DataFrame, model: PipelineModel, name: str = "p") -> DataFrame:
-    """A2: probability of the positive class as a double column."""
+    """A2: probability of the positive class as a double column; missing inputs are named before any job runs (A1)."""
+    require_columns(df, model.stages[0].getInputCols())
     out = model.transform(df)
     return out.withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability",
                                                                         "prediction")
@@ -118,6 +158,25 @@ def search_weights(val: DataFrame, cols: Sequence[str], y: str, trials: Sequence
     return g.join(F.broadcast(tw), on="trial")  # trials table: len(trials) rows
 
 
+def blend_flow(df: DataFrame, cols: Sequence[str], y: str, split: str, trials: Sequence[Sequence[float]],
+               t: float = SEARCH_THRESHOLD, name: str = "blend") -> tuple[DataFrame, dict]:
+    """M7, M3, M4, E12, E1 and E2 in one flow: the trial with the best F1 on the validation split (ties: the first) is
+    normalised and applied, its threshold with the best F1 chosen on the validation split, and every split scored
+    at that threshold.  Returns (rates per split with the threshold, the weights); the driver sees one trial and one
+    threshold."""
+    val = df.where(F.col(split) == "validation")
+    best = search_weights(val, cols, y, trials, t).orderBy(F.desc("f1"), "trial").first()
+    if best is None:
+        raise ValueError("the validation split has no rows")
+    weights = normalise({c: best[f"w{j}"] for j, c in enumerate(cols)})
+    scored = df.withColumn(name, F.floor(blend_expr(weights) * 1e6 + 0.5) / 1e6)  # scores of 6 decimals
+    curve = M.pr_curve(scored.where(F.col(split) == "validation"), y, name).where("threshold is not null")
+    cut = curve.orderBy(F.desc("f1"), "threshold").first()["threshold"]
+    called = scored.withColumn("called", (F.col(name) >= F.lit(cut)).cast("int"))
+    rates = M.confusion(called, y, "called", [split]).withColumns({"trial": F.lit(best["trial"]), "threshold": F.lit(cut)})
+    return rates, weights
+
+
 def search_params(train: DataFrame, val: DataFrame, features: Sequence[str], label: str,
                   grid: Sequence[Mapping[str, object]]) -> DataFrame:
     """M8: fit every parameter set on train, AUC on validation; one row per set."""

@@ -234,13 +234,15 @@ def missing_table(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     return long.withColumn("percent", safe_div("missing", "rows") * 100.0)
 
 
-def fill_all(df: DataFrame, s: Series, cols: Sequence[str], default: float = 0.0) -> DataFrame:
-    """Forward fill, then backward fill, then a constant, per series (unbounded)."""
+def fill_all(df: DataFrame, s: Series, cols: Sequence[str], default: float = 0.0, backward: bool = True) -> DataFrame:
+    """Forward fill, then backward fill, then a constant, per series (unbounded).  The backward fill looks ahead
+    in time; ``backward=False`` leaves it out."""
     cols = _present(df, cols)
     keep = POS in df.columns
     d = with_neighbours(df, s, cols, keep_pos=True)
-    d = d.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_prev_{c}")["v"], F.col(f"_next_{c}")["v"],
-                                     F.lit(float(default))) for c in cols})
+    d = d.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_prev_{c}")["v"],
+                                     *([F.col(f"_next_{c}")["v"]] if backward else []), F.lit(float(default)))
+                       for c in cols})
     d = d.drop(*[f"_prev_{c}" for c in cols], *[f"_next_{c}" for c in cols])
     return d if keep else d.drop(POS)
 

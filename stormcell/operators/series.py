@@ -52,6 +52,24 @@ class Series:
         return replace(self, keys=tuple(self.keys) + tuple(k for k in extra if k not in self.keys))
 
 
+def hourly_spine(df: DataFrame, keys: Iterable[str] = (), ts: str = "ts") -> DataFrame:
+    """Every hour of a series from its first to its last: rows of missing hours hold the keys and the hour only, so that
+    lags, rolling windows and fills, which count rows, count hours.  ``ts`` becomes the hour of the row; rows without a
+    time are left out.  Hours are made per (key, day), so that one long series is dealt over tasks."""
+    keys = list(keys)
+    df = df.where(F.col(ts).isNotNull()).withColumn(ts, F.date_trunc("hour", ts))
+    ends = df.groupBy(*keys).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last")).where("_first is not null")
+    days = ends.select(*keys, "_first", "_last", F.explode(F.sequence(
+        F.date_trunc("day", "_first"), F.date_trunc("day", "_last"), F.expr("interval 1 day"))).alias("_day"))
+    hours = days.repartition(*keys, "_day").select(*keys, F.explode(F.sequence(
+        F.greatest("_first", "_day"), F.least("_last", F.col("_day") + F.expr("interval 23 hours")),
+        F.expr("interval 1 hour"))).alias("_hour"))
+    rows = df.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys] + [F.col("_hour") == F.col(ts)]
+    joined = hours.join(rows, same, "left").withColumn(ts, F.col("_hour"))
+    return joined.select(*df.columns)
+
+
 def as_series(keys: Iterable[str] = (), order: Iterable[str] = ("ts",), **kw) -> Series:
     if isinstance(keys, str):
         keys = (keys,)

@@ -98,9 +98,10 @@ def q_auc(spark, sf_dir):
 
 
 @register("e4_roc_curve", O.norm(W(CURVE) + ' SELECT split, score AS threshold, CAST(fp AS DOUBLE) / "N" AS fpr, '
-                                 'CAST(tp AS DOUBLE) / "P" AS tpr FROM cb', "split:s threshold:d fpr:d tpr:d"))
+                                 'CAST(tp AS DOUBLE) / "P" AS tpr FROM cb UNION ALL SELECT DISTINCT split, NULL, 0.0, 0.0 '
+                                 'FROM cb', "split:s threshold:d fpr:d tpr:d"))
 def q_roc(spark, sf_dir):
-    """E4 per split."""
+    """E4 per split, start point included."""
     return normalize(M.roc_curve(sv(spark, sf_dir), Y, P, BY))
 
 
@@ -395,6 +396,37 @@ def q_search(spark, sf_dir):
     return normalize(MD.search_weights(val, ["p1", "p2", "p3"], Y, _trials()))
 
 
+def _flow_sql() -> str:
+    vals = ", ".join(f"({i}, {num(a)}, {num(b)}, {num(c)})" for i, (a, b, c) in enumerate(_trials()))
+    mix = "(w0 * p1 + w1 * p2 + w2 * p3) / (w0 + w1 + w2)"
+    f1 = zdiv("2.0 * tp", "2.0 * tp + fp + fn")
+    return O.norm(W(
+        f"tr AS (SELECT trial, w0, w1, w2, count(*) FILTER (WHERE y2 = 1 AND {mix} >= 0.5) AS tp, "
+        f"count(*) FILTER (WHERE y2 = 0 AND {mix} >= 0.5) AS fp, count(*) FILTER (WHERE y2 = 1 AND NOT {mix} >= 0.5) AS fn "
+        f"FROM sv, (VALUES {vals}) AS t(trial, w0, w1, w2) WHERE split = 'validation' GROUP BY trial, w0, w1, w2)",
+        f"best AS (SELECT * FROM tr ORDER BY {f1} DESC, trial LIMIT 1)",
+        "bl AS (SELECT split, y2, trial, " + O.rnd("w0 / (w0 + w1 + w2) * p1 + w1 / (w0 + w1 + w2) * p2 + "
+                                                   "w2 / (w0 + w1 + w2) * p3", 6) + " AS s FROM sv CROSS JOIN best)",
+        "cs AS (SELECT s, count(*) FILTER (WHERE y2 = 1) AS pos, count(*) FILTER (WHERE y2 = 0) AS neg FROM bl "
+        "WHERE split = 'validation' GROUP BY s)",
+        "cu AS (SELECT s, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(neg) OVER (ORDER BY s DESC) AS fp, "
+        "sum(pos) OVER () AS allpos FROM cs)",
+        f"cf AS (SELECT s, {zdiv('tp', 'tp + fp')} AS pr, {zdiv('tp', 'allpos')} AS rc FROM cu)",
+        f"th AS (SELECT s AS threshold FROM cf ORDER BY {zdiv('2.0 * pr * rc', 'pr + rc')} DESC, s LIMIT 1)")
+        + " SELECT split, trial, threshold, count(*) FILTER (WHERE y2 = 0 AND s < threshold) AS tn, "
+          "count(*) FILTER (WHERE y2 = 0 AND s >= threshold) AS fp, count(*) FILTER (WHERE y2 = 1 AND s < threshold) AS fn, "
+          "count(*) FILTER (WHERE y2 = 1 AND s >= threshold) AS tp FROM bl CROSS JOIN th GROUP BY split, trial, threshold",
+        "split:s trial:i threshold:d tn:i fp:i fn:i tp:i")
+
+
+@register("m7_blend_flow", _flow_sql())
+def q_blend_flow(spark, sf_dir):
+    """Weights searched on validation, applied, threshold chosen on validation, all splits scored."""
+    d = sv(spark, sf_dir).select("p1", "p2", "p3", Y, "split")
+    return normalize(MD.blend_flow(d, ["p1", "p2", "p3"], Y, "split", _trials())[0]
+                     .select("split", "trial", "threshold", "tn", "fp", "fn", "tp"))
+
+
 @register("m13_row_mean", O.norm(
     W() + " SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, "
           "coalesce((0.0 + p1 + p2 + p3 + blend + y2) / 5.0, 0.0) AS row_mean FROM sv",

@@ -10,7 +10,7 @@ from ..operators import labels as LB
 from ..operators import models as MD
 from ..operators import quality as Q
 from ..operators import scale as N
-from ..operators.series import Series
+from ..operators.series import Series, reuse
 from ..streaming import streams as X
 from . import fixtures as FX
 from . import oracle as O
@@ -41,12 +41,12 @@ def q_prepare(spark, sf_dir):
 
 @register("m1_m2_m4_gbt_blend")
 def q_gbt(spark, sf_dir):
-    """M1 + M2 + M4 + A2: three boosted-tree members (early stopping on the validation split),
+    """M1 + M2 + M4 + A2: three weighted boosted-tree members (50 rounds of patience on the validation split),
     blended scores on all rows."""
     scaled, feats, weights = prepared(spark, sf_dir)
-    data = N.with_weights(scaled, weights, "Storm").cache()
-    fit_rows = data.where(F.col("split") != "test").withColumn("is_val", F.col("split") == "validation")
-    members = MD.fit_members(fit_rows, feats, "Storm", validation="is_val")
+    data = reuse(N.with_weights(scaled, weights, "Storm"))
+    train, val = (data.where(F.col("split") == x) for x in ("train", "validation"))
+    members = MD.fit_members(train, feats, "Storm", val=val, weight="weight")
     out = data
     for name, m in members.items():
         out = MD.score(out, m, name)

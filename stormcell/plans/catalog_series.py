@@ -11,7 +11,7 @@ from ..operators import labels as LB
 from ..operators import quality as Q
 from ..operators import splits as T
 from ..operators import windows as WN
-from ..operators.series import Series
+from ..operators.series import Series, hourly_spine, window_apply
 from ..sources import files as SRC
 from . import fixtures as FX
 from . import oracle as O
@@ -178,6 +178,35 @@ def q_fill_all(spark, sf_dir):
     return normalize(Q.fill_all(f, s, FILL_COLS))
 
 
+@register("c16_fill_forward", O.norm(
+    P(f"sp AS (SELECT ts, {SPLIT_SQL} AS split, {', '.join(FILL_COLS)} FROM features)", feats=True)
+    + "SELECT ts, split, " + ", ".join(
+        f"coalesce({c}, last_value({c} IGNORE NULLS) OVER (PARTITION BY split ORDER BY ts ROWS BETWEEN UNBOUNDED "
+        f"PRECEDING AND 1 PRECEDING), 0.0) AS {c}" for c in FILL_COLS) + " FROM sp",
+    "ts:t split:s " + " ".join(f"{c}:d" for c in FILL_COLS)))
+def q_fill_forward(spark, sf_dir):
+    """C16 without the backward fill, which looks ahead in time."""
+    f = features(spark, sf_dir).select("ts", FX.panel_split().alias("split"), *FILL_COLS)
+    s = Series(keys=("split",), order=("ts",), block_rows=DEMO_BLOCK_ROWS)
+    return normalize(Q.fill_all(f, s, FILL_COLS, backward=False))
+
+
+@register("w1_hourly_spine_users", O.norm(
+    "WITH c AS (SELECT user_id, date_trunc('hour', ts) AS ts, count(*) AS events, max(value) AS top FROM events "
+    "GROUP BY ALL), e AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM c GROUP BY user_id), "
+    "h AS (SELECT user_id, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM e), "
+    "j AS (SELECT h.user_id, h.ts, coalesce(c.events, 0) AS events, c.top FROM h LEFT JOIN c ON h.user_id = c.user_id AND h.ts = c.ts) "
+    "SELECT *, lag(top, 3) OVER (PARTITION BY user_id ORDER BY ts) AS top_lag_3h FROM j",
+    "user_id:i ts:t events:i top:d top_lag_3h:d"))
+def q_spine(spark, sf_dir):
+    """W1 over hours, not rows: missing hours of every user are put in before the lag."""
+    cells = (FX.table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("ts"))
+             .agg(F.count(F.lit(1)).alias("events"), F.max("value").alias("top")))
+    s = Series(keys=("user_id",), order=("ts",), block_rows=DEMO_BLOCK_ROWS)
+    hours = hourly_spine(cells, ["user_id"]).fillna(0, ["events"])
+    return normalize(window_apply(hours, s, lambda w: {"top_lag_3h": F.lag("top", 3).over(w)}, before=3))
+
+
 @register("c17_feature_consistency", O.norm(
     P(feats=True) + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS missing, "
