@@ -41,12 +41,12 @@ def q_prepare(spark, sf_dir):
 
 @register("m1_m2_m4_gbt_blend")
 def q_gbt(spark, sf_dir):
-    """M1 + M2 + M4 + A2: three weighted boosted-tree members (50 rounds of patience on the validation split),
+    """M1 + M2 + M4 + A2: three weighted boosted-tree members (Spark's own early stopping on the validation split),
     blended scores on all rows."""
     scaled, feats, weights = prepared(spark, sf_dir)
     data = reuse(N.with_weights(scaled, weights, "Storm"))
-    train, val = (data.where(F.col("split") == x) for x in ("train", "validation"))
-    members = MD.fit_members(train, feats, "Storm", val=val, weight="weight")
+    fit_rows = data.where(F.col("split") != "test").withColumn("is_val", F.col("split") == "validation")
+    members = MD.fit_members(fit_rows, feats, "Storm", weight="weight", validation="is_val")
     out = data
     for name, m in members.items():
         out = MD.score(out, m, name)
