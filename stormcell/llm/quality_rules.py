@@ -131,8 +131,18 @@ def path_score(x: np.ndarray, trees, size: int) -> np.ndarray:
 
 def fit_forest(stats: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = 7) -> tuple[list, int]:
     """Trees over a hash sample of all rows that pass the base rules."""
-    rows = (stats.where(~base_failed()).select("doc_id", *FOREST).orderBy(F.xxhash64("doc_id", F.lit(seed)), *FOREST)
-            .limit(trees * sample).toPandas())
+    place, need = F.xxhash64("doc_id", F.lit(seed)), trees * sample
+    rows = stats.where(~base_failed()).select("doc_id", *FOREST)
+    total = rows.count()
+    # every task sends its first ``need`` rows: cut by hash beforehand, so that they are few in all
+    share = 2 * need / max(1, total)
+    while share < 1:
+        low = rows.where(place < F.lit(int((share - 0.5) * 2 ** 64)))
+        if low.count() >= need:
+            rows = low
+            break
+        share *= 2
+    rows = rows.orderBy(place, *FOREST).limit(need).toPandas()
     rng = np.random.default_rng(seed)
     x = rng.permutation(rows[FOREST].to_numpy())
     if not len(x):
