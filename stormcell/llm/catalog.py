@@ -115,8 +115,8 @@ def q_mixing(spark, sf_dir):
 
 @register("op7_fingerprints")
 def q_fingerprints(spark, sf_dir):
-    """Operator 7: fingerprints of all documents and of their edited texts."""
-    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    """Operator 7: fingerprints of all documents and of their edited texts, and the near copies of every 50th doc_id."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"), fingerprints.NEAR_RADIUS)
 
 
 @register("op8_quality_rules")

@@ -121,6 +121,36 @@ def test_fingerprints(docs, rows, empty, odd, monkeypatch):
     assert fingerprints.fingerprints(odd).count() == 4
 
 
+def test_near_copies_are_within_the_radius(spark, tmp_path):
+    from stormcell.llm import catalog
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    shingles = lambda w: {tuple(w[j:j + 5]) for j in range(len(w) - 4)}
+    texts, true = [text(300) for _ in range(400)], Counter()
+    for q in range(0, 400, 50):
+        for k in range(60):
+            copy = list(texts[q])
+            if k % 2:  # one block
+                at = rng.randrange(250)
+                copy[at:at + 36] = text(36)
+            else:      # scattered words
+                for j in rng.sample(range(300), 8):
+                    copy[j] = rng.choice(words)
+            a, b = shingles(texts[q]), shingles(copy)
+            assert 0.75 <= len(a & b) / len(a | b) < 0.95
+            texts.append(copy)
+            true[q] += 1
+    spark.createDataFrame([(i if i < 400 else i * 50 + 1, " ".join(t)) for i, t in enumerate(texts)],
+                          "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in catalog.QUERIES["op7_fingerprints"](spark, str(tmp_path)).collect()}
+    found = {q: got[q]["n_within_radius"] - 1 for q in true}
+    assert all(found[q] <= true[q] for q in true)
+    assert sum(found.values()) >= 0.95 * sum(true.values())
+    bits = {i: int(r["fingerprint"], 16) for i, r in got.items()}
+    assert all(found[q] == sum((bits[q] ^ b).bit_count() <= fingerprints.NEAR_RADIUS for b in bits.values()) - 1 for q in true)
+
+
 def test_urls(spark):
     urls = ["http://a.example.org/en/2", "http://A.Example.ORG/es/1?x#y", "https://example.org/en/17", "http://x.com/fr/1",
             "http://x.com/de/1", "http://x.com/en", "http://org", "http://org/", "nothing", None, "", "ftp://h?q", "x://b.com#f",
