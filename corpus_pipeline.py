@@ -26,7 +26,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once at least; documents of small sources again, as their source's budget asks."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, mixing.bpe_tokens(spark, tokenizer_path())).select(*docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

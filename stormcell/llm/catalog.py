@@ -110,7 +110,8 @@ def q_quality(spark, sf_dir):
 @register("op6_temperature_mixing")
 def q_mixing(spark, sf_dir):
     """Operator 6: every document with its epochs and places in the mixed order; all sources are seen once at least."""
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_epoch", "mix_block", "mix_place")
+    tokens = mixing.bpe_tokens(spark, tokenizer_path())
+    return mixing.mix(table(spark, sf_dir, "documents"), tokens).select("doc_id", "source", "mix_epoch", "mix_block", "mix_place")
 
 
 @register("op7_fingerprints")

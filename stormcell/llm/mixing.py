@@ -4,6 +4,11 @@ A source with token share ``s`` gets the weight ``s ** alpha`` (normalised).  ``
 alike) and 1 (as they are) to the least repetition limit or target entropy asked for.  The token budget is the least that
 shows every source at least once (or a given one); a source's budget is its weight of it.
 
+``mix`` takes the tokens of a row as a column.  The query and the pipeline pass ``bpe_tokens``: ids that the pipeline's
+tokenizer makes of the text, as ``packing`` writes them, without the closing id.  They are counted in one map pass that
+leaves a long per row.  Without a column, ``word_count`` (runs of non-blank characters) stands in: it is no measure of
+scripts without spaces, minified or encoded text.
+
 Realisation: an epoch of a source is a permutation of its rows, made of blocks: a row's block and its place inside follow
 from a hash of (doc_id, epoch).  Whole epochs take every row; the last, partial one takes blocks in order and cuts the last
 block at the row where the budget is met.  So a source is never sorted in one task: tokens are summed per block,
@@ -17,9 +22,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.functions import pandas_udf
 
-from .common import cut
+from .common import cut, ship
 
 BLOCK_TOKENS = 200_000
 STEPS = 4      # sections of the search, each with POINTS candidates
@@ -31,6 +37,20 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def bpe_tokens(spark: SparkSession, tokenizer: str, text: str = "text") -> Column:
+    """Token ids of the text under a byte-level BPE file; null text: none."""
+    ship(spark)
+
+    @pandas_udf("long")
+    def count(texts):
+        import pandas as pd
+
+        from .packing import id_counts
+        counts = id_counts(tokenizer)
+        return pd.Series([counts.of((x or b"").decode("utf-8", "replace")) for x in texts], dtype="int64")
+    return count(F.col(text).cast("binary"))
+
+
 def _bracket(shares: DataFrame, value, wanted: float, rising: bool) -> float:
     """Narrow [0, 1] around the exponent where ``value(candidates)`` meets ``wanted``; gives the end that satisfies it."""
     lo, hi = 0.0, 1.0

@@ -28,7 +28,9 @@ END_ID = 0
 PIECES_PER_BLOCK = 200_000   # expected pieces per ranking block over all lengths
 _KNOWN_PARTS = 150_000
 _KNOWN_PRE_TOKENS = 250_000
+_KNOWN_COUNTS = 400_000
 _ENCODERS: dict[str, "Encoder"] = {}
+_COUNTS: dict[str, "IdCounts"] = {}
 
 
 def _byte_letters() -> list[str]:
@@ -96,6 +98,48 @@ class Encoder:
         return b"".join(out)
 
 
+class IdCounts(dict):
+    """Part of a text -> number of its ids with the space before it; ``of`` counts a text as ``Encoder`` encodes it."""
+
+    def __init__(self, path: str):
+        self.encoder = encoder(path)
+        self.pre_tokens: dict[str, int] = {}
+
+    def raw(self, text: str) -> int:
+        return len(self.encoder.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def __missing__(self, part: str) -> int:
+        if len(self) > _KNOWN_COUNTS:
+            self.clear()
+        enc, text, n = self.encoder, " " + part, 0
+        if enc.unusual.search(text):
+            n = self.raw(text)
+        else:
+            for w in enc.split(text):
+                k = self.pre_tokens.get(w)
+                if k is None:
+                    if len(self.pre_tokens) > _KNOWN_COUNTS:
+                        self.pre_tokens.clear()
+                    k = len(enc.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(enc.letters)))
+                    self.pre_tokens[w] = k
+                n += k
+        self[part] = n
+        return n
+
+    def of(self, text: str) -> int:
+        if not text or self.encoder.uneven.search(text):
+            return self.raw(text) if text else 0
+        head, *parts = text.split(" ")
+        return (self.raw(head) if head else 0) + sum(map(self.__getitem__, parts))
+
+
+def id_counts(path: str) -> IdCounts:
+    """One counter per Python worker and vocabulary file."""
+    if path not in _COUNTS:
+        _COUNTS[path] = IdCounts(path)
+    return _COUNTS[path]
+
+
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and vocabulary file."""
     if path not in _ENCODERS:

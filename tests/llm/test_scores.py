@@ -234,3 +234,21 @@ def test_mixing(spark, docs, rows, empty):
     assert abs(-(w * np.log(w)).sum() - 1.0) < 1e-3
     assert mixing.mix(empty).count() == 0
     assert mixing.mix(docs).select(*docs.columns).columns == docs.columns
+
+
+def test_mixing_counts_the_tokenizers_tokens(spark, docs, rows, tmp_path):
+    import corpus_pipeline
+    from stormcell.llm import catalog, token_counts
+    path = catalog.tokenizer_path()
+    own = {r["doc_id"]: r["t"] for r in docs.select("doc_id", mixing.bpe_tokens(spark, path).alias("t")).collect()}
+    assert own == {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, path).collect()}
+    rng = random.Random(12)
+    code = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(3000))
+    data = [(i, code(), "encoded") for i in range(100)] \
+        + [(i, " ".join(rng.choice(CLEAN) for _ in range(300)), "prose") for i in range(100, 200)]
+    table = spark.createDataFrame(data, "doc_id long, text string, source string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    mixed = [catalog.QUERIES["op6_temperature_mixing"](spark, str(tmp_path)), corpus_pipeline.source_mixing(spark, table, "")]
+    for out in mixed:
+        n = Counter(r["source"] for r in out.select("source").collect())
+        assert n["encoded"] == 100 and n["prose"] > 120  # the encoded texts hold most tokens, in 100 words
