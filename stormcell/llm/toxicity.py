@@ -16,19 +16,23 @@ Without labels the mined voters never fire.  Repeated rows get equal scores.  No
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, text_bytes, to_batch
+from .common import U64, cut, map_batches, mix, ngram_hashes, text_bytes, to_batch, word_hashes, words_of
 from .linear import BITS, HashedNumbers, held_out, labelled_sample, packed_features, score_all, sigmoid
 
 FOLD, MOD, THRESHOLD = 1, 3, 0.7
 SAMPLE_DOCUMENTS = 20_000
 MINED_VOTERS = 6
-MINED_PER_VOTER = 60
-MIN_MINED_DOCUMENTS = 8
+RATE_RATIO = 20   # of a mined word's rate in toxic documents to that in clean ones
+COPY_KEYS = 4
+CHANCE = 1e-3     # of a mined word to speak for toxic by chance, at most
+FALSE_WORDS = 10  # words that may pass the bound by chance, at most, in expectation
 # Seed lexicons: ordinary insults by kind.
 LEXICONS = {
     "mind": "idiot idiots moron morons stupid dumb imbecile cretin dimwit fool fools halfwit",
@@ -77,24 +81,59 @@ class Voters:
         return v, distinct
 
 
+def _copy_keys(data: bytes | None) -> list[int]:
+    """Numbers that near copies share: four pairs of least hashes over the text's 5-word runs."""
+    hw = word_hashes(words_of((data or b"").lower()))
+    runs = ngram_hashes(hw, min(5, len(hw))) if len(hw) else np.zeros(1, U64)
+    least = [int(mix(runs ^ mix(np.array([k + 1], U64))).min()) for k in range(2 * COPY_KEYS)]
+    return [hash((k, *least[2 * k:2 * k + 2])) & 0x7FFFFFFF for k in range(COPY_KEYS)]
+
+
+def _without_copies(docs: DataFrame, sample: DataFrame) -> np.ndarray:
+    """doc_ids of the bounded sample; of near copies with one label only the least, as their words are no new evidence."""
+    seen, kept = set(), []
+    for doc, y, keys in packed_features(docs, sample, _copy_keys):
+        keys = {(y, k) for k in keys.tolist()}
+        if seen.isdisjoint(keys):
+            kept.append(doc)
+        seen |= keys
+    return np.array(sorted(set(kept)), np.int64)
+
+
 def mine_lexicons(docs: DataFrame, labels: DataFrame) -> list[set[str]]:
-    """Words of the labelled sample that speak for label 1, dealt over the mined voters by rank."""
+    """Words of the labelled sample that speak for label 1, dealt over the mined voters by rank.
+
+    A word in ``t`` of ``T`` toxic and ``c`` of ``C`` clean documents counts if its smoothed rates differ by ``RATE_RATIO``
+    and chance does not explain it: with toxic share ``q = T / (T + C)``, ``t`` or more of ``n = t + c`` documents are toxic
+    with a chance of at most ``exp(-n KL(t / n, q))`` (Chernoff), which must not be over ``CHANCE``, nor over ``FALSE_WORDS`` per distinct word.
+    Both bounds follow the class sizes; near copies count as one document.  All such words are taken; the bounded sample bounds their number."""
     sample = labelled_sample(labels, "toxic", FOLD, MOD)
     picked = text_bytes(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
     schema = "word string, label int, n long"
+    kept = _without_copies(docs, sample)
 
     def count(b):
         from collections import Counter
         seen: Counter = Counter()
+        b = b.filter(pa.array(np.isin(np.asarray(b.column(0), dtype=np.int64), kept)))
         for data, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             seen.update((w, y) for w in set(_WORD.findall((data or b"").decode("utf-8", "replace").lower())))
+            seen["", y] += 1  # all documents
         if seen:
             yield to_batch(schema, ([k[0] for k in seen], [k[1] for k in seen], list(seen.values())))
     toxic, clean = (F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0)) for y in (1, 0))
-    words = (map_batches(picked, count, schema, text="text").groupBy("word").agg(toxic.alias("t"), clean.alias("c"))
-             .where((F.col("t") >= MIN_MINED_DOCUMENTS) & (F.col("t") > 20 * F.col("c")))
-             .orderBy(F.desc(F.col("t") / (F.col("c") + 1)), "word").limit(MINED_VOTERS * MINED_PER_VOTER).collect())
-    return [{r["word"] for r in words[k::MINED_VOTERS]} for k in range(MINED_VOTERS)]
+    words = cut(map_batches(picked, count, schema, text="text").groupBy("word").agg(toxic.alias("t"), clean.alias("c")))
+    all_, distinct = words.where("word = ''").first(), words.count() - 1
+    if not all_ or not all_["t"] or not all_["c"] or not distinct:
+        return [set() for _ in range(MINED_VOTERS)]
+    t, c, n, q = F.col("t"), F.col("c"), F.col("t") + F.col("c"), all_["t"] / (all_["t"] + all_["c"])
+    bound = -math.log(min(CHANCE, FALSE_WORDS / distinct))
+    ratio = ((t + 0.5) / (all_["t"] + 1)) / ((c + 0.5) / (all_["c"] + 1))
+    surprise = t * F.log(t / (n * q)) + F.when(c > 0, c * F.log(c / (n * (1 - q)))).otherwise(0.0)
+    found = (words.where((F.col("word") != "") & (t > 0) & (ratio > RATE_RATIO) & (surprise > bound))
+             .select("word", ratio.alias("ratio")).collect())
+    ranked = [r["word"] for r in sorted(found, key=lambda r: (-r["ratio"], r["word"]))]
+    return [set(ranked[k::MINED_VOTERS]) for k in range(MINED_VOTERS)]
 
 
 def label_model(histogram: dict[int, int], voters: int, prior: float, start=None, rounds: int = 200):

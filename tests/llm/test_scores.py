@@ -47,6 +47,30 @@ def test_toxicity(labelled):
     assert accuracy(scored, lambda i: int(i % 7 == 0), 1, 3) > 0.97
 
 
+def test_mined_words_follow_the_class_sizes(spark):
+    """A word's rates decide, however many labels there are: few toxic ones beside many clean ones, or more words than 360."""
+    def mined(toxic, clean, words, in_toxic, in_clean, copies=0):
+        rng = random.Random(4)
+        ids = [i for i in range(4 * (toxic + clean)) if crc32(str(i).encode()) % 3 != 1][:toxic + clean]
+        texts = [[rng.choice(CLEAN) for _ in range(30)] for _ in ids]
+        for w in words:
+            for k in [*rng.sample(range(toxic), in_toxic), *rng.sample(range(toxic, toxic + clean), in_clean)]:
+                texts[k].insert(rng.randrange(30), w)
+        for k in range(copies):
+            texts[k] = [f"own{j}" for j in range(60)] + [f"edit{k}"]
+        rows = [(i, " ".join(t), int(k < toxic)) for k, (i, t) in enumerate(zip(ids, texts))]
+        df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        return set().union(*toxicity.mine_lexicons(df, df.select("doc_id", "toxic")))
+    letters = [a + b + c for a in "bcdfgklm" for b in "aeiou" for c in "prstvxz"]
+    few = ["grumpf" + x for x in letters[:10]]
+    assert mined(60, 1200, few, 6, 0) == set(few)      # under eight documents, a tenth of the toxic ones
+    assert mined(60, 1200, few, 20, 2) == set(few)     # two ordinary uses; the rate ratio is about 200
+    assert mined(400, 400, few, 200, 20) == set()      # a rate ratio of 10
+    assert mined(60, 1200, [], 0, 0, copies=12) == set()  # near copies of one text are one document
+    many = ["blarg" + x + y for x in letters[:50] for y in "abcdefghij"]
+    assert mined(200, 600, many, 30, 0) == set(many)   # 500 words
+
+
 def test_quality_classifier(labelled):
     docs, labels = labelled
     assert accuracy(quality_classifier.quality_scores(docs, labels), lambda i: int(i % 5 != 1), 0, 5) > 0.97
