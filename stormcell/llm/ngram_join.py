@@ -385,7 +385,16 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = P
 
 def keep_representatives(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents without near copies: the least doc_id of each component stays, one row of it (the least row by
-    its columns' hash); rows without doc_id and empty texts stay as they are."""
+    its columns' hash); rows without doc_id stay as they are, and empty texts are nobody's copies."""
     gone = (jaccard_components(docs, k, percent).where("component_id < doc_id").select(F.col("doc_id").alias("__gone"))
             .distinct())
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    again = (docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+             .select(F.col("doc_id").alias("__again")))
+    again = cut(again.join(gone, again["__again"] == gone["__gone"], "left_anti"))
+    away = gone.union(again).withColumnRenamed("__gone", "__away")
+    once = docs.join(away, docs["doc_id"] == away["__away"], "left_anti")
+    # combined before the shuffle: an id that many rows repeat costs one row per task
+    least = (docs.join(again, docs["doc_id"] == again["__again"], "left_semi").groupBy(F.col("doc_id").alias("__id"))
+             .agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("__row")))
+    return once.union(least.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))

@@ -104,3 +104,16 @@ def test_cut_text(docs, empty, odd, rows):
     assert passages.without_passages(docs).columns == docs.columns
     assert passages.passage_digest(empty).count() == 0
     assert passages.passage_digest(odd).count() == 4
+
+
+def test_one_row_of_a_repeated_id_stays(spark):
+    from collections import Counter
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "a")] * 5 + [(1, "other words of one id " * 3, "b"), (2, text + " x", "c"), (2, text + " x", "c"),
+                                   (3, "alone", "d"), (4, None, "e"), (4, None, "e"), (None, text, "f"), (None, text, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = ngram_join.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert Counter(r[0] for r in got) == {1: 1, 3: 1, 4: 1, None: 2} and set(got) <= set(rows)
+    assert got[0] in rows and {r[0]: r for r in got if r[0] == 1} == {r[0]: tuple(r) for r in kept.collect() if r[0] == 1}
