@@ -17,8 +17,9 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
 
-from .common import cut, map_batches, ngram_hashes, text_bytes, to_batch, word_hashes, words_of
+from .common import cut, map_batches, ngram_hashes, ship, text_bytes, to_batch, word_hashes, words_of
 
 TREES = 100
 SAMPLE = 256
@@ -182,15 +183,33 @@ def calibrate(scored: DataFrame, labels: DataFrame) -> float:
     return float(best.mean() / CELLS)
 
 
+def _fitted(docs: DataFrame, labels: DataFrame):
+    """(scores of every row, forest, limit)"""
+    stats = cut(rule_statistics(docs))
+    forest = fit_forest(stats)
+    scored = anomaly_scores(stats, forest)
+    return scored, forest, calibrate(scored, labels)
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, base counts, base_failed, kept, score) of every row."""
-    stats = cut(rule_statistics(docs))
-    scored = anomaly_scores(stats, fit_forest(stats))
-    limit = calibrate(scored, labels)
+    scored, _, limit = _fitted(docs, labels)
     return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("score") < limit))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass.  Rows that share a doc_id stay if one of them passes; rows without doc_id go."""
-    good = judge(docs, labels).where("kept").select(F.col("doc_id").alias("__good")).distinct()
-    return docs.join(good, docs["doc_id"] == good["__good"], "left_semi")
+    """The rows that pass, each judged by its own text: doc_id, shared or missing, decides nothing."""
+    _, (trees, size), limit = _fitted(docs, labels)
+    ship(docs.sparkSession)
+    names = SCHEMA.replace(",", "").split()[::2]
+    at = [names.index(f) - 1 for f in FOREST]
+    words, repeats = names.index("n_words") - 1, names.index("n_repeat_words") - 1
+
+    @pandas_udf("boolean")
+    def passes(texts):
+        import pandas as pd
+        s = np.array([statistics_of(x) for x in texts], float).reshape(-1, len(names) - 1)
+        good = (s[:, words] >= MIN_WORDS) & (100 * s[:, repeats] <= REPEAT_PERCENT * s[:, words])
+        score = path_score(s[:, at], trees, size) if trees else np.zeros(len(s))
+        return pd.Series(good & (score < limit))
+    return docs.where(passes(F.col("text").cast("binary")))

@@ -124,6 +124,18 @@ def test_rules_keep_clean(labelled, empty):
     assert quality_rules.judge(docs, labels.where("false")).where("kept = base_failed").count() == 0
 
 
+def test_each_row_is_kept_by_its_own_text(labelled, spark):
+    docs, labels = labelled
+    docs = docs.where("doc_id % 5 <> 1 OR doc_id % 15 = 1").select("doc_id", "text")
+    good, bad = docs.where("doc_id = 5").first()["text"], "too short"
+    more = spark.createDataFrame([(None, good), (None, bad), (5, bad), (900, bad), (900, good)], docs.schema)
+    kept = Counter((r["doc_id"], r["text"]) for r in quality_rules.keep_good(docs.union(more), labels).collect())
+    assert kept[None, good] == kept[900, good] == kept[5, good] == 1
+    assert not kept[None, bad] and not kept[5, bad] and not kept[900, bad]
+    judged = quality_rules.judge(docs.union(more), labels).where("kept")
+    assert Counter(i for i, _ in kept.elements()) == Counter(r["doc_id"] for r in judged.collect())
+
+
 def test_fingerprints(docs, rows, empty, odd, monkeypatch):
     monkeypatch.setattr(fingerprints, "BYTES_PER_RANGE", 4000)  # many ranges
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
