@@ -6,8 +6,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (fingerprints, mixing, ngram_join, packing, passages, quality_classifier, quality_rules, token_counts, toxicity,
-               url_filter)
+from . import (fingerprints, mixing, ngram_join, packing, passages, quality_classifier, quality_rules, simhash_join,
+               token_counts, toxicity, url_filter)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,9 @@ def q_rules(spark, sf_dir):
 def q_urls(spark, sf_dir):
     """Operator 9: verdict on every page's url."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@register("op13_simhash_near_dedup")
+def q_simhash(spark, sf_dir):
+    """Operator 13: fingerprints of all documents and the components of those at two differing bits or fewer."""
+    return simhash_join.near_components(table(spark, sf_dir, "documents"))

@@ -175,6 +175,19 @@ def power_of_two(n: float, least: int, most: int) -> int:
     return min(most, max(least, 1 << max(0, int(np.ceil(np.log2(max(1.0, n)))))))
 
 
+def join_hot_keys(rows: DataFrame, one_each: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Inner join of rows with a table of one row per key.  Keys that hold over 1/``share`` of the rows are ``share`` at most:
+    theirs are joined by broadcast, so no task gets all rows of a hot key; the others are joined by shuffle."""
+    counts = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")))
+    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).first()["n"]
+    hot = cut(counts.where(F.col("__n") * share > F.lit(total)).where("__n > 100").select(key))
+    if hot.isEmpty():
+        return rows.join(one_each, key)
+    few = cut(one_each.join(F.broadcast(hot), key))
+    cold = rows.join(F.broadcast(hot), key, "left_anti").join(one_each, key)
+    return rows.join(F.broadcast(few), key).unionByName(cold)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write a stage's result as Parquet in the shared folder and read it again."""
     from uuid import uuid4
