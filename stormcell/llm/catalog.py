@@ -6,8 +6,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (fingerprints, mixing, ngram_join, packing, passages, quality_classifier, quality_rules, simhash_join,
-               token_counts, toxicity, url_filter)
+from . import (fingerprints, mixing, ngram_join, packing, passages, quality_classifier, quality_rules, ranked_search,
+               simhash_join, token_counts, toxicity, url_filter, whitening)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,33 @@ def q_urls(spark, sf_dir):
 def q_simhash(spark, sf_dir):
     """Operator 13: fingerprints of all documents and the components of those at two differing bits or fewer."""
     return simhash_join.near_components(table(spark, sf_dir, "documents"))
+
+
+@register("op11_embedding_whitening")
+def q_whitening(spark, sf_dir):
+    """Operator 11: all embeddings projected on the four leading components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SEARCH_SQL = rf"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{_TERMS}')) AS g FROM documents),
+tf AS (SELECT doc_id, g, count(*)::BIGINT AS tf FROM t GROUP BY 1, 2),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY 1),
+s AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS l FROM n),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERMS}')) AS g FROM benchmark),
+df AS (SELECT g, count(*) AS df FROM tf GROUP BY g),
+w AS (SELECT g, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df CROSS JOIN s),
+m AS (SELECT doc_id, (100 - 50 + ((50 * n * nd) // l))::BIGINT AS m FROM n CROSS JOIN s),
+scored AS (
+  SELECT q.item_id, tf.doc_id, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * m.m)))::BIGINT AS score
+  FROM q JOIN w ON q.g = w.g JOIN tf ON q.g = tf.g JOIN m ON tf.doc_id = m.doc_id GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+@register("op12_ranked_search", _SEARCH_SQL)
+def q_search(spark, sf_dir):
+    """Operator 12: the 50 best documents of every benchmark item."""
+    return ranked_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
