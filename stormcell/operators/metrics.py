@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import safe_div, zero_div
 from .running import attach_stats, exact_quantiles, running_totals
-from .series import reuse
 
 F1_EPS = 1e-10
 TARGET_P = 0.70
@@ -147,32 +146,27 @@ def pr_curve(df: DataFrame, y: str, p: str, by: Sequence[str] = (), end_point: b
                             / (F.col("precision") + F.col("recall") + F.lit(F1_EPS)))
 
 
-def _top1(curve: DataFrame, by: Sequence[str], order: Column, name: str, achievable=None) -> DataFrame:
-    pick = curve.groupBy(*by).agg(F.min_by(F.struct("threshold", "precision", "recall", "f1"), order).alias("_t"))
-    pick = pick.where(F.col("_t").isNotNull())  # a global aggregate over no candidates yields one NULL row
-    out = pick.select(*by, F.lit(name).alias("strategy"), "_t.*")
-    return out.withColumn("achievable", F.lit(achievable).cast("boolean") if achievable is not None
-                          else F.lit(None).cast("boolean"))
-
-
 def choose_thresholds(curve: DataFrame, by: Sequence[str] = (), min_p: float = TARGET_P,
                       min_r: float = TARGET_R) -> DataFrame:
     """Max F1; best F1 with P >= min_p and R >= min_r (else the closest point,
     achievable = false); R >= min_r with max precision; P >= min_p with max recall.
-    Ties go to the lowest threshold.  The end point of the curve is never chosen."""
-    c = reuse(curve.where(F.col("threshold").isNotNull()))  # five strategies read one curve
-    thr = F.col("threshold")
-    best_f1 = _top1(c, by, F.struct(-F.col("f1"), thr), "max_f1")
-    both = c.where((F.col("precision") >= min_p) & (F.col("recall") >= min_r))
-    target = _top1(both, by, F.struct(-F.col("f1"), thr), "target", True)
+    Ties go to the lowest threshold.  The end point of the curve is never chosen.  One aggregate over the curve:
+    each strategy is the least of its own order among the points that qualify."""
+    thr, point = F.col("threshold"), F.struct("threshold", "precision", "recall", "f1")
+    p_ok, r_ok = F.col("precision") >= min_p, F.col("recall") >= min_r
+    by_f1 = F.struct((-F.col("f1")).alias("a"), thr.alias("b"))
     dist = F.abs(F.col("precision") - F.lit(min_p)) + F.abs(F.col("recall") - F.lit(min_r))
-    closest = _top1(c, by, F.struct(dist, thr), "target", False)
-    # the closest point is used only for groups where the target is not reachable
-    closest = closest.join(target.select(*by, F.lit(1).alias("_has")), on=list(by), how="left_anti") if by else \
-        closest.where(F.lit(both.limit(1).count() == 0))
-    rec = _top1(c.where(F.col("recall") >= min_r), by, F.struct(-F.col("precision"), thr), "recall_target")
-    prec = _top1(c.where(F.col("precision") >= min_p), by, F.struct(-F.col("recall"), thr), "precision_target")
-    return best_f1.unionByName(target).unionByName(closest).unionByName(rec).unionByName(prec)
+    orders = {"max_f1": by_f1, "target": F.when(p_ok & r_ok, by_f1), "closest": F.struct(dist.alias("a"), thr.alias("b")),
+              "recall_target": F.when(r_ok, F.struct((-F.col("precision")).alias("a"), thr.alias("b"))),
+              "precision_target": F.when(p_ok, F.struct((-F.col("recall")).alias("a"), thr.alias("b")))}
+    best = curve.where(thr.isNotNull()).groupBy(*by).agg(*[F.min_by(point, o).alias(f"_{k}") for k, o in orders.items()])
+    picks = [("max_f1", F.col("_max_f1"), F.lit(None).cast("boolean")),
+             ("target", F.coalesce("_target", "_closest"), F.col("_target").isNotNull()),
+             ("recall_target", F.col("_recall_target"), F.lit(None).cast("boolean")),
+             ("precision_target", F.col("_precision_target"), F.lit(None).cast("boolean"))]
+    rows = F.array(*[F.struct(F.lit(k).alias("strategy"), c.alias("_t"), a.alias("achievable")) for k, c, a in picks])
+    long = best.select(*by, F.explode(rows).alias("_r")).select(*by, "_r.*").where(F.col("_t").isNotNull())
+    return long.select(*by, "strategy", "_t.*", "achievable")
 
 
 def compare_thresholds(df: DataFrame, y: str, p: str, thresholds: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
@@ -206,14 +200,19 @@ def score_summary(df: DataFrame, p: str, by: Sequence[str] = ()) -> DataFrame:
 
 def model_table(df: DataFrame, y: str, models: Sequence[str], baseline: str, t: float = 0.5,
                 by: Sequence[str] = ()) -> DataFrame:
-    """Per model AUC, AP, Brier and P/R/F1 at ``t``; improvement over ``baseline``."""
-    long = df.select(*by, y, F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("p"))
-                                                 for m in models])).alias("m")).select(*by, y, "m.*")
+    """Per model AUC, AP, Brier and P/R/F1 at ``t``; improvement over ``baseline``.  One curve (distinct scores of all
+    models with their counts) and one aggregate over it give all six."""
     keys = [*by, "model"]
-    a = auc(long, y, "p", keys).join(average_precision(long, y, "p", keys), keys).join(brier(long, y, "p", keys), keys)
-    dec = long.withColumn("_d", (F.col("p") >= F.lit(float(t))).cast("int"))
-    r = rates(confusion(dec, y, "_d", keys)).select(*keys, "precision", "recall", "f1")
-    tab = a.join(r, keys)
+    cells = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("p")) for m in models])
+    c = _curve_base(df.select(*by, y, F.explode(cells).alias("m")).select(*by, y, "m.*"), y, "p", keys)
+    s, pos, neg, hit = (F.col(x) for x in ("score", "pos", "neg", "_hit"))
+    one = c.withColumn("_hit", s >= F.lit(float(t))).groupBy(*keys).agg(
+        safe_div(F.sum(pos * (F.col("neg_below") + neg / 2.0)), F.first("P") * F.first("N")).alias("auc"),
+        F.sum(safe_div("pos", "P") * safe_div("tp", F.col("tp") + F.col("fp"))).alias("average_precision"),
+        safe_div(F.sum(pos * F.pow(s - 1, 2) + neg * F.pow(s, 2)), F.sum(pos + neg)).alias("brier"),
+        F.sum(F.when(~hit, neg).otherwise(0)).alias("tn"), F.sum(F.when(hit, neg).otherwise(0)).alias("fp"),
+        F.sum(F.when(~hit, pos).otherwise(0)).alias("fn"), F.sum(F.when(hit, pos).otherwise(0)).alias("tp"))
+    tab = rates(one).select(*keys, "auc", "average_precision", "brier", "precision", "recall", "f1")
     base = tab.where(F.col("model") == baseline).select(*by, F.col("auc").alias("_ba"), F.col("f1").alias("_bf"))
     j = _attach(tab, base, by)
     return j.select(*tab.columns, (F.col("auc") - F.col("_ba")).alias("auc_gain"),

@@ -1,22 +1,27 @@
-"""Running totals over an ordered column and exact quantiles, both without a single-task window.
+"""Running totals over an ordered column, and exact quantiles, both without a single-task window.
 
 ``running_totals`` expects at most one row per (keys, order value) — callers
 pre-aggregate with ``groupBy(keys, value)`` first, so a hot value is one row.
-Rows are cut into buckets by approximate quantiles of the order column
-(a mergeable sketch per key); bucket sums get offsets from a window over the
-tiny (keys, bucket) table; a window per (keys, bucket) adds the rest.  The
-answer is exact: the buckets only decide parallelism.
+Rows are range-partitioned by (keys, value); every task adds up its own sorted rows; one
+row per (keys, partition) gives the partition's offset and is joined back.  The ranges only
+decide parallelism, the answer is exact.
+
+``exact_quantiles`` never ranks all rows: a mergeable sketch gives two bounds around each
+wanted rank, one aggregate counts what lies below them, and only the values between are ranked.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .series import key_window, reuse
+from ..session import cut_lineage
+from .series import key_window
 
-DEFAULT_BUCKETS = 64
+ACCURACY = 4000          # of the sketches: ranks are off by rows / ACCURACY at most
+BROADCAST_ROWS = 100_000  # offset rows that are sent to every task
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -38,70 +43,154 @@ def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> D
     return df.withColumns({k: F.lit(v).cast(fields[k]) for k, v in row.items()})
 
 
-def _bucket_count(spark) -> int:
-    try:
-        return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
-    except Exception:  # pragma: no cover
-        return DEFAULT_BUCKETS
+def _local_totals(n_keys: int, sums: Sequence[int], schema: T.StructType):
+    """Per task: for each sorted row the sum of the rows before it with the same key, and the task's number."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    names = schema.names
+
+    def run(batches):
+        from pyspark import TaskContext
+        part = TaskContext.get().partitionId()
+        last, carry = None, [0] * len(sums)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            for k in range(n_keys):
+                c = b.column(k)
+                same = pc.equal(c.slice(1), c.slice(0, b.num_rows - 1))
+                both_null = pc.and_(pc.is_null(c.slice(1)), pc.is_null(c.slice(0, b.num_rows - 1)))
+                new[1:] |= ~np.asarray(pc.or_kleene(pc.fill_null(same, False), both_null))
+            first = tuple(b.column(k)[0].as_py() for k in range(n_keys))
+            new[0] = first != last
+            run_of = np.cumsum(new) - 1 if new[0] else np.cumsum(new)
+            at = np.flatnonzero(new)
+            out = []
+            for j, s in enumerate(sums):
+                v = np.asarray(b.column(s), dtype=np.int64)
+                before = np.cumsum(v) - v
+                starts = before[at] if new[0] else np.r_[-carry[j], before[at]]
+                before = before - starts[run_of]
+                out.append(pa.array(before))
+                carry[j] = int(before[-1] + v[-1])
+            last = tuple(b.column(k)[b.num_rows - 1].as_py() for k in range(n_keys))
+            yield pa.RecordBatch.from_arrays([*b.columns, *out, pa.array(np.full(b.num_rows, part, np.int64))], names=names)
+    return run
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order_col: str, sum_cols: Iterable[str],
                    n_buckets: int | None = None) -> DataFrame:
     """Add ``_before_<c>`` (sum of c over rows with a strictly smaller order value)
-    and ``_total_<c>`` (sum over the key) for every c in ``sum_cols``."""
-    keys = list(keys)
-    sum_cols = list(sum_cols)
-    nb = n_buckets or _bucket_count(df.sparkSession)
-    probs = [i / nb for i in range(1, nb)]
-    df = reuse(df)
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(order_col, probs, 10000).alias("_cuts"))
-    d = attach_stats(df, cuts, keys)
-    d = d.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order_col)))).drop("_cuts")
-    bsum = d.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_bs_{c}") for c in sum_cols])
-    wb = key_window(keys).orderBy("_b")
-    boff = bsum.select(
-        *keys, "_b",
-        *[F.coalesce(F.sum(f"_bs_{c}").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-          .alias(f"_bo_{c}") for c in sum_cols],
-        *[F.sum(f"_bs_{c}").over(key_window(keys)).alias(f"_total_{c}") for c in sum_cols],
-    )
-    w_in = Window.partitionBy(*keys, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumns({f"_in_{c}": F.coalesce(F.sum(c).over(w_in), F.lit(0)) for c in sum_cols})
-    d = d.join(boff, on=[*keys, "_b"], how="inner")
-    d = d.withColumns({f"_before_{c}": F.col(f"_bo_{c}") + F.col(f"_in_{c}") for c in sum_cols})
-    return d.drop("_b", *[f"_bo_{c}" for c in sum_cols], *[f"_in_{c}" for c in sum_cols])
+    and ``_total_<c>`` (sum over the key) for every long c in ``sum_cols``.
+
+    The ranged rows are checkpointed: a range is a row's property from then on, also when a task is run again."""
+    keys, sum_cols = list(keys), list(sum_cols)
+    d = df.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in sum_cols})
+    d = d.select(*keys, *[c for c in d.columns if c not in keys])
+    by = [*keys, order_col]
+    ranged = (d.repartitionByRange(n_buckets, *by) if n_buckets else d.repartitionByRange(*by)).sortWithinPartitions(*by)
+    schema = T.StructType([*d.schema.fields, *[T.StructField(f"_in_{c}", T.LongType()) for c in sum_cols],
+                           T.StructField("_part", T.LongType())])
+    local = cut_lineage(ranged.mapInArrow(_local_totals(len(keys), [d.columns.index(c) for c in sum_cols], schema), schema))
+    sums = local.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_s_{c}") for c in sum_cols])
+    ahead = key_window(keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut_lineage(sums.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"),
+        *[F.coalesce(F.sum(f"_s_{c}").over(ahead), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
+        *[F.sum(f"_s_{c}").over(key_window(keys)).alias(f"_total_{c}") for c in sum_cols]))
+    if offsets.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_part") == F.col("_p"))
+    out = local.join(offsets, same).withColumns({f"_before_{c}": F.col(f"_o_{c}") + F.col(f"_in_{c}") for c in sum_cols})
+    return out.select(*df.columns, *[f"_before_{c}" for c in sum_cols], *[f"_total_{c}" for c in sum_cols])
+
+
+def _pick(rows: DataFrame, by: Sequence[str], total: Column, below: Column) -> DataFrame:
+    """Values at the ranks around ``_p * (total - 1)``: one row per ``by`` with ``_q``.  ``rows`` are ranked (value, count)."""
+    pos = (total - 1) * F.col("_p")
+    lo, hi = F.floor(pos), F.ceil(pos)
+    start, stop = below + F.col("_before__n"), below + F.col("_before__n") + F.col("_n")
+    got = rows.groupBy(*by).agg(F.max(F.when((start <= lo) & (lo < stop), F.col("_v"))).alias("_lo"),
+                                F.max(F.when((start <= hi) & (hi < stop), F.col("_v"))).alias("_hi"),
+                                F.max(pos - lo).alias("_f"))
+    return got.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"))
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (),
-                    n_buckets: int | None = None) -> DataFrame:
+                    n_buckets: int | None = None, accuracy: int = ACCURACY) -> DataFrame:
     """Exact, linearly interpolated quantiles (as ``percentile`` / numpy), distributed.
 
-    Returns one row per key with columns ``<col>_q<i>`` for the i-th probability.
-    All columns go through one plan: rows are unpivoted to (column, value), reduced
-    to (column, value, count) — so a hot value is one row —, ranked with
-    ``running_totals`` keyed by column, and only the rows holding the wanted ranks
-    survive before the pivot back to one row per key.
+    Returns one row per key with columns ``<col>_q<i>`` for the i-th probability.  Three passes over the rows: bounds
+    around each rank from sketches (partial aggregates), counts of the values below and between the bounds (one row per
+    key, which also proves that the ranks lie between), and the values between, reduced to (value, count), so that a
+    hot value is one row.  Only these are shuffled: a share of ``4 / accuracy`` of the rows per quantile.  Where a
+    sketch missed its rank, all values are ranked.
     """
-    keys = list(keys)
-    cols = list(cols)
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols]))
-    long = df.select(*keys, cells.alias("_x")).select(*keys, "_x._c", "_x._v").where(F.col("_v").isNotNull())
-    counts = long.groupBy(*keys, "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    rt = running_totals(counts, [*keys, "_c"], "_v", ["_n"], n_buckets)
-    aggs = []
-    for i, p in enumerate(probs):
-        pos = (F.col("_total__n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        hold_lo = (F.col("_before__n") <= lo) & (lo < F.col("_before__n") + F.col("_n"))
-        hold_hi = (F.col("_before__n") <= hi) & (hi < F.col("_before__n") + F.col("_n"))
-        aggs += [F.max(F.when(hold_lo, F.col("_v"))).alias(f"_lo{i}"),
-                 F.max(F.when(hold_hi, F.col("_v"))).alias(f"_hi{i}"),
-                 F.max(pos - lo).alias(f"_fr{i}")]
-    picked = rt.where(F.col("_before__n") <= F.col("_total__n")).groupBy(*keys, "_c").agg(*aggs)
-    per_col = picked.select(*keys, "_c", *[
-        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}")).alias(f"q{i}")
-        for i in range(len(probs))])
-    wide = per_col.groupBy(*keys).pivot("_c", cols).agg(*[F.first(f"q{i}").alias(f"q{i}") for i in range(len(probs))])
-    if len(probs) == 1:  # pivot names a single aggregate by the pivot value alone
-        wide = wide.select(*keys, *[F.col(f"`{c}`").alias(f"{c}_q0") for c in cols])
-    return wide
+    keys, cols, probs = list(keys), list(cols), [float(p) for p in probs]
+    slots = [(j, i) for j in range(len(cols)) for i in range(len(probs))]
+    d = df.select(*keys, *[F.col(c).cast("double").alias(f"_c{j}") for j, c in enumerate(cols)])
+    ends = [min(1.0, max(0.0, p + side * 2 / accuracy)) for side in (-1, 1) for p in probs]
+    bounds = cut_lineage(d.groupBy(*keys).agg(
+        *[F.count(f"_c{j}").alias(f"_t{j}") for j in range(len(cols))],
+        *[F.percentile_approx(f"_c{j}", ends, accuracy).alias(f"_b{j}") for j in range(len(cols))]))
+    b = attach_stats(d, bounds, keys) if keys else _with_one_row(d, bounds)
+    lo = {(j, i): F.col(f"_b{j}")[i] for j, i in slots}
+    hi = {(j, i): F.col(f"_b{j}")[i + len(probs)] for j, i in slots}
+    inside = {s: (F.col(f"_c{s[0]}") >= lo[s]) & (F.col(f"_c{s[0]}") <= hi[s]) for s in slots}
+    below = cut_lineage(b.groupBy(*keys).agg(
+        *[F.max(f"_t{j}").alias(f"_t{j}") for j in range(len(cols))],
+        *[F.count(F.when(F.col(f"_c{j}") < lo[j, i], 1)).alias(f"_l{j}_{i}") for j, i in slots],
+        *[F.count(F.when(inside[j, i], 1)).alias(f"_m{j}_{i}") for j, i in slots]))
+
+    def missed(j, i):
+        pos = (F.col(f"_t{j}") - 1) * F.lit(probs[i])
+        got = (F.col(f"_l{j}_{i}") <= F.floor(pos)) & (F.ceil(pos) < F.col(f"_l{j}_{i}") + F.col(f"_m{j}_{i}"))
+        return ~got & (F.col(f"_t{j}") > 0)
+    if not below.where(reduce(Column.__or__, [missed(j, i) for j, i in slots])).isEmpty():
+        inside = {(j, i): F.col(f"_c{j}").isNotNull() for j, i in slots}
+        below = below.withColumns({f"_l{j}_{i}": F.lit(0).cast("long") for j, i in slots})
+    cells = F.array(*[F.when(inside[j, i], F.struct(F.lit(j).alias("_j"), F.lit(i).alias("_i"), F.col(f"_c{j}").alias("_v")))
+                      for j, i in slots])
+    long = b.select(*keys, F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("_x")).select(*keys, "_x.*")
+    counts = long.groupBy(*keys, "_j", "_i", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_totals(counts, [*keys, "_j", "_i"], "_v", ["_n"], n_buckets)
+    facts = below.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(j).alias("_j"), F.lit(i).alias("_i"), F.lit(probs[i]).alias("_p"), F.col(f"_t{j}").alias("_t"),
+                 F.col(f"_l{j}_{i}").alias("_l")) for j, i in slots])).alias("_x")).select(*keys, "_x.*")
+    facts = facts.withColumnsRenamed({k: f"_k_{k}" for k in keys} | {"_j": "_fj", "_i": "_fi"})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys],
+                  (F.col("_j") == F.col("_fj")) & (F.col("_i") == F.col("_fi")))
+    found = _pick(ranked.join(facts, same), [*keys, "_j", "_i"], F.col("_t"), F.col("_l"))
+    return found.groupBy(*keys).agg(*[F.max(F.when((F.col("_j") == j) & (F.col("_i") == i), F.col("_q"))).alias(f"{cols[j]}_q{i}")
+                                      for j, i in slots])
+
+
+def _with_one_row(d: DataFrame, stats: DataFrame) -> DataFrame:
+    """The one row of statistics as literals on every row; arrays of doubles included."""
+    row = stats.first()
+    lit = {f.name: F.array(*[F.lit(float(x)) for x in row[f.name]]) if isinstance(f.dataType, T.ArrayType) and row[f.name]
+           is not None else F.lit(row[f.name]).cast(f.dataType) for f in stats.schema.fields}
+    return d.withColumns(lit)
+
+
+def nth_value(df: DataFrame, col: str, p: float, n: int, accuracy: int = ACCURACY) -> tuple | None:
+    """(value, rows below it) of the n-th smallest value (from 1) of a numeric column, about the share ``p`` of the rows:
+    one pass for sketch bounds, one for the counts and one for the values between; None beyond the rows."""
+    ends = [max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy)]
+    bounds = df.agg(F.percentile_approx(col, ends, accuracy).alias("b")).first()["b"]
+    if n < 1 or bounds is None:
+        return None
+    lo, hi = bounds
+    c = df.agg(F.count(F.when(F.col(col) < lo, 1)).alias("below"), F.count(F.when(F.col(col) <= hi, 1)).alias("upto"),
+               F.count(col).alias("rows")).first()
+    if n > c["rows"]:
+        return None
+    below, near = c["below"], df.where(F.col(col).between(lo, hi))
+    if not below < n <= c["upto"]:
+        below, near = 0, df.where(F.col(col).isNotNull())
+    ranked = running_totals(near.groupBy(col).agg(F.count(F.lit(1)).alias("_n")), [], col, ["_n"])
+    at = ranked.where((F.col("_before__n") + below < n) & (F.col("_before__n") + F.col("_n") + below >= n)).first()
+    return at[col], below + at["_before__n"]

@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import safe_div
-from .running import running_totals
+from .running import nth_value
 from .series import POS, Series, ensure_positions, with_neighbours
 
 # The reference's year split (train <= 2016, validation 2017-2020, test >= 2021)
@@ -103,19 +103,15 @@ def sample_key(key: str, seed: int, method: str = "xxhash64") -> Column:
 def sample_exact(df: DataFrame, ratio: float, seed: int, key: str, method: str = "xxhash64") -> DataFrame:
     """Exactly floor(ratio * N) rows without replacement (smallest hash keys), distributed.
 
-    The cut hash value is found by ranks over distinct hash values (``running_totals``)
-    instead of a global sort + limit, so no task sees all rows.
+    The cut hash value is the n-th smallest one (``nth_value``): only hashes between two sketch bounds are
+    ranked, no task sees all rows and nothing is sorted.
     """
-    n_rows = df.count()
-    n = int(ratio * n_rows)
     h = df.withColumn("_h", sample_key(key, seed, method))
-    counts = h.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
-    rt = running_totals(counts, [], "_h", ["_n"])
-    cut = rt.where((F.col("_before__n") < n) & (F.col("_before__n") + F.col("_n") >= n)) \
-        .select(F.col("_h").alias("_cut"), (F.lit(n) - F.col("_before__n")).alias("_take")).collect()
-    if n == 0 or not cut:
-        return h.limit(0).drop("_h")
-    c, take = cut[0]["_cut"], cut[0]["_take"]
+    n = int(ratio * df.count())
+    found = nth_value(h.select("_h"), "_h", ratio, n)
+    if found is None:
+        return df.where(F.lit(False))
+    c, take = found[0], n - found[1]
     below = h.where(F.col("_h") < F.lit(c))
     at = h.where(F.col("_h") == F.lit(c))
     at = at.withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy(key))).where(F.col("_r") <= take) \
