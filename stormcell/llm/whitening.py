@@ -3,7 +3,7 @@
 1. ``grid``: every remaining vector becomes integers ``floor(256 * c)``; ``fit_blocks`` keeps each distinct one once (copies are
    combined before the shuffle), packed into blocks of rows.  Counts and sums per dimension are exact.
 2. The covariance is never formed.  ``Covariance`` multiplies it with a few vectors at once: tasks centre their rows first,
-   then add up ``row * (row . v)``; one row per dimension and task is combined before it reaches the driver.
+   then add up ``row * (row . v)``; one small array per task (or per group of tasks) reaches the driver.
 3. ``jacobi_davidson`` keeps a search space with its products on the driver (vectors of one entry per dimension, at most
    ``SPACE`` of them).  Rayleigh-Ritz in that space gives the leading pairs; those that follow the locked ones and whose
    residual has reached double precision are locked, the others extend the space by the solution of the projected correction
@@ -36,6 +36,8 @@ SPACE = 48          # most vectors in the search space
 INNER = 14          # MINRES steps per correction
 INNER_GAIN = 1e-3   # a correction is solved to this share of its residual
 BLOCK_ROWS = 4096
+TASK_BYTES = 8 << 20  # of packed vectors that a task of a product reads at least
+DIRECT_PARTS = 64   # tasks whose sums are added up on the driver; more are combined in between
 MOST = 1 << 50
 EPS = float(np.finfo(float).eps)
 
@@ -62,16 +64,16 @@ def _unpack(data: bytes, size: int) -> np.ndarray:
     return np.frombuffer(data, f"<i{len(data) // size}").astype(np.int64)
 
 
-def dimension(rows: DataFrame, vector: str) -> int:
-    """The number of entries that most vectors have."""
-    n = F.size(F.col(vector))
+def dimension(rows: DataFrame, vector: str) -> tuple[int, int]:
+    """The number of entries that most vectors have, and how many vectors these are."""
+    n = F.size(F.col(f"`{vector}`"))
     top = (rows.where(n > 0).groupBy(n.alias("n")).agg(F.count(F.lit(1)).alias("c"))
            .agg(F.max(F.struct("c", "n")).alias("top")).first()["top"])
-    return top["n"] if top else 0
+    return (top["n"], top["c"]) if top else (0, 0)
 
 
-def fit_blocks(rows: DataFrame, vector: str, size: int) -> DataFrame:
-    """(n, width, data): the distinct integer vectors, up to ``BLOCK_ROWS`` in a row."""
+def fit_blocks(rows: DataFrame, vector: str, size: int, tasks: int) -> DataFrame:
+    """(n, data): the distinct integer vectors, up to ``BLOCK_ROWS`` in a row, in at most ``tasks`` partitions."""
     def vectors(b):
         x, _ = _grid(b.column(0), size)
         if len(x):
@@ -93,7 +95,7 @@ def fit_blocks(rows: DataFrame, vector: str, size: int) -> DataFrame:
                     held = []
         if held:
             yield block()
-    return distinct.mapInArrow(blocks, "n int, data binary")
+    return distinct.coalesce(tasks).mapInArrow(blocks, "n int, data binary")
 
 
 def _matrix(n: int, data: bytes, size: int) -> np.ndarray:
@@ -123,14 +125,14 @@ def _centred(x: np.ndarray, n: int, s: list[int]) -> np.ndarray:
 class Covariance:
     """Products of the fit list's covariance (divisor n) with blocks of vectors, and its trace."""
 
-    def __init__(self, blocks: DataFrame, size: int, n: int, s: list[int]):
-        self.blocks, self.size, self.n, self.s, self.products = blocks, size, n, s, 0
+    def __init__(self, blocks: DataFrame, size: int, n: int, s: list[int], tasks: int):
+        self.blocks, self.size, self.n, self.s, self.tasks, self.products = blocks, size, n, s, tasks, 0
         ship(blocks.sparkSession)
 
     def _add_up(self, per_block, rows: int, columns: int) -> np.ndarray:
-        """Sum of a rows x columns array per block: one row per array row and task is combined before the shuffle."""
+        """Mean over the fit list of what ``per_block`` adds up: one array per task, and where there are many tasks, one
+        per group of tasks reaches the driver."""
         size, n, s = self.size, self.n, self.s
-        schema = ", ".join(["row int", *(f"c{k} double" for k in range(columns))])
 
         def run(batches):
             total = None
@@ -139,11 +141,21 @@ class Covariance:
                     got = per_block(_centred(_matrix(r["n"], r["data"], size), n, s))
                     total = got if total is None else total + got
             if total is not None:
-                yield to_batch(schema, [np.arange(rows), *total.T])
-        parts = self.blocks.mapInArrow(run, schema)
+                yield to_batch("part binary", [[np.ascontiguousarray(total, float).tobytes()]])
+
+        def add(batches):
+            total = None
+            for b in batches:
+                for x in b.column(0).to_pylist():
+                    total = np.frombuffer(x) if total is None else total + np.frombuffer(x)
+            if total is not None:
+                yield to_batch("part binary", [[total.tobytes()]])
+        parts = self.blocks.mapInArrow(run, "part binary")
+        if self.tasks > DIRECT_PARTS:
+            parts = parts.repartition(int(np.ceil(np.sqrt(self.tasks)))).mapInArrow(add, "part binary")
         out = np.zeros((rows, columns))
-        for r in parts.groupBy("row").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(columns)]).collect():
-            out[r["row"]] = r[1:]
+        for r in parts.collect():
+            out += np.frombuffer(r["part"]).reshape(rows, columns)
         return out / n
 
     def __call__(self, v: np.ndarray) -> np.ndarray:
@@ -279,17 +291,18 @@ class Whitening:
 
 def fit(rows: DataFrame, vector: str = "embedding", wanted: int = WANTED) -> Whitening | None:
     """Fit on the distinct vectors of all rows; None where there is no variance."""
-    size = dimension(rows, vector)
+    size, count = dimension(rows, vector)
     if not size:
         return None
-    blocks = cut(fit_blocks(rows, vector, size))
+    tasks = max(1, -(-2 * count * size // TASK_BYTES))
+    blocks = cut(fit_blocks(rows, vector, size, tasks))
     release(rows.sparkSession)
     n, s = sums(blocks, size)
     if n < 2:
         return None
     blocks.persist(StorageLevel.MEMORY_AND_DISK)  # read once per product; the checkpoint has it if an executor is lost
     try:
-        cov = Covariance(blocks, size, n, s)
+        cov = Covariance(blocks, size, n, s, tasks)
         trace = cov.trace()
         values, vectors, residuals = jacobi_davidson(cov, size, wanted)
         some = values > 1e-13 * trace

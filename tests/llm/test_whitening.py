@@ -53,6 +53,16 @@ def test_vectors(spark):
     compare(whitening.whiten(table(spark, rows).repartition(5)), rows)
 
 
+def test_many_tasks(spark, monkeypatch):
+    """Sums of many tasks are combined before the driver adds them up."""
+    monkeypatch.setattr(whitening, "TASK_BYTES", 64)
+    monkeypatch.setattr(whitening, "DIRECT_PARTS", 2)
+    monkeypatch.setattr(whitening, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(rng.standard_normal((150, 6)))]
+    compare(whitening.whiten(table(spark, rows, "double")), rows)
+
+
 @pytest.mark.parametrize("size", [1, 2, 5])
 def test_few_dimensions(spark, size):
     rng = np.random.default_rng(size)
