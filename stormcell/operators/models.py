@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from typing import Mapping, Sequence
+from uuid import uuid4
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import safe_div, zero_div
+from ..session import cut_lineage
 from . import metrics as M
 from .alerts import require_columns
 from .quality import nan_to_num
@@ -28,6 +33,15 @@ MEMBERS = {"model_precision": 30, "model_recall": 10, "model_balanced": 20}
 PATIENCE = 50
 SEARCH_TRIALS = 100
 SEARCH_THRESHOLD = 0.5
+# Ranges of the parameter search over boosted trees (20 trials)
+SEARCH_SETTINGS = 20
+SETTING_RANGES = {"stepSize": (0.03, 0.3), "maxDepth": [3, 4, 5, 6, 7], "minInstancesPerNode": [5, 10, 20, 30],
+                  "subsamplingRate": [0.6, 0.8, 1.0], "featureSubsetStrategy": ["0.6", "0.8", "1.0"]}
+FIRST_ROUNDS = 5         # rounds that every setting of a search gets
+CHUNK = 10               # boosting rounds between two checkpoints of the margin
+MOST_STEP = 4.0          # bound of a row's Newton step
+ROWS_PER_TASK = 50_000   # rows of a boosted fit per task
+PARALLEL_FITS = 4        # fits that the driver has running side by side
 
 
 def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -58,36 +72,106 @@ def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
     return best + 1, False
 
 
-def fit_gbt_patient(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, weight: str | None = None,
-                    patience: int = PATIENCE, **params) -> PipelineModel:
-    """M1 with early stopping: training ends after ``patience`` rounds without a lower validation log-loss, and the best
-    round is kept.  A boosted model's first n trees are those of a fit of n rounds with the same seed, so fits of
-    2, 4, 8 ... times ``patience`` rounds are judged round by round until the stop is seen (or ``maxIter`` is reached), and
-    one fit of the best number of rounds is the result."""
-    p = {**GBT_DEFAULTS, **params}
-    most = p.pop("maxIter")
-    held = assembler(features).transform(val).select("features", F.col(label).cast("double").alias(label))
-    rounds = min(most, 2 * patience)
+@dataclass
+class Boosting:
+    """A boosted fit that can be continued.  ``rows`` is a checkpointed table (features, label, weight, held, margin): the
+    margin holds what the trees so far say, so more rounds never refit earlier ones.  ``losses`` are the validation log-losses."""
+
+    rows: DataFrame
+    features: list
+    params: dict
+    trees: list = field(default_factory=list)
+    losses: list = field(default_factory=list)
+
+
+def start_boosting(data: DataFrame, features: Sequence[str], label: str, held: Column, weight: str | None = None,
+                   **params) -> Boosting:
+    """Begin a boosted fit on the rows where ``held`` is false; the others are the validation rows.  The table is dealt
+    into one task per ``ROWS_PER_TASK`` rows, so that small fits are not dominated by tasks."""
+    rows = assembler(features).transform(data).select(
+        "features", F.col(label).cast("double").alias("label"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"),
+        F.coalesce(held, F.lit(False)).alias("held"), F.lit(0.0).alias("margin"))
+    rows = cut_lineage(rows.where("label is not null and weight is not null"))
+    rows = cut_lineage(rows.repartition(max(1, -(-rows.count() // ROWS_PER_TASK))))
+    return Boosting(rows, list(features), {**GBT_DEFAULTS, **params})
+
+
+def add_rounds(fit: Boosting, rounds: int) -> None:
+    """Fit ``rounds`` more trees, ``CHUNK`` at a time between checkpoints of the margin.
+
+    A round is a Newton step of the logistic loss: one regression tree on ``(y - p) / (p (1 - p))`` with the row weights
+    times ``p (1 - p)``, so a leaf's mean is its step.  Validation losses of a chunk's rounds come from one aggregate."""
+    p = fit.params
+    done = 0
+    while done < rounds:
+        d, new = fit.rows.withColumn("_m0", F.col("margin")), []
+        for k in range(min(CHUNK, rounds - done)):
+            chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(f"_m{k}")))
+            curve = F.greatest(chance * (1 - chance), F.lit(1e-6))
+            step = F.least(F.greatest((F.col("label") - chance) / curve, F.lit(-MOST_STEP)), F.lit(MOST_STEP))
+            tree = RandomForestRegressor(
+                featuresCol="features", labelCol="_z", weightCol="_w", numTrees=1, bootstrap=False, maxDepth=p["maxDepth"],
+                minInstancesPerNode=p.get("minInstancesPerNode", 1), subsamplingRate=p["subsamplingRate"],
+                featureSubsetStrategy=p["featureSubsetStrategy"], seed=p["seed"] + len(fit.trees) + k)
+            fitted = tree.fit(d.where(~F.col("held")).select("features", step.alias("_z"), (F.col("weight") * curve).alias("_w")))
+            new.append(fitted.trees[0])
+            d = (fitted.trees[0].setPredictionCol("_t").transform(d)
+                 .withColumn(f"_m{k + 1}", F.col(f"_m{k}") + F.lit(float(p["stepSize"])) * F.col("_t")).drop("_t"))
+        loss = [F.avg(F.log1p(F.exp(F.when(F.col("label") > 0.5, -F.col(f"_m{k}")).otherwise(F.col(f"_m{k}"))))).alias(f"l{k}")
+                for k in range(1, len(new) + 1)]
+        got = d.where("held").agg(*loss).first()
+        fit.losses += [float("inf") if x is None else float(x) for x in got]
+        fit.rows = cut_lineage(d.select(*fit.rows.columns[:-1], F.col(f"_m{len(new)}").alias("margin")))
+        fit.trees += new
+        done += len(new)
+
+
+def boosted_model(fit: Boosting, keep: int | None = None) -> PipelineModel:
+    """The first ``keep`` trees as an ordinary Spark ML pipeline (assembler, boosted-tree classifier)."""
+    trees = fit.trees[:keep]
+    sc = fit.rows.sparkSession.sparkContext
+    jvm = sc._jvm
+    kind = jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    found, weights = sc._gateway.new_array(kind, len(trees)), sc._gateway.new_array(jvm.double, len(trees))
+    for i, t in enumerate(trees):
+        found[i] = t._java_obj
+        weights[i] = float(fit.params["stepSize"]) / 2  # the classifier's probability is 1 / (1 + exp(-2 margin))
+    java = jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"boosted_{uuid4().hex[:12]}", found, weights,
+                                                                         len(fit.features), 2)
+    return PipelineModel([assembler(fit.features), GBTClassificationModel(java)])
+
+
+@dataclass
+class PatientFit:
+    """Result of ``fit_patient``: the model of the best round, that round, the round training ended at, and the losses."""
+
+    model: PipelineModel
+    best: int
+    ended: int
+    losses: list
+
+
+def fit_patient(data: DataFrame, features: Sequence[str], label: str, held: Column, weight: str | None = None,
+                patience: int = PATIENCE, **params) -> PatientFit:
+    """M1 with early stopping: boosting ends once ``patience`` rounds bring no lower validation log-loss (or at ``maxIter``
+    rounds), and the trees up to the best round are the model.  No tree is fitted twice."""
+    fit = start_boosting(data, features, label, held, weight, **params)
+    most = fit.params["maxIter"]
     while True:
-        model = fit_gbt(train, features, label, weight, maxIter=rounds, **p)
-        keep, stopped = best_round(model.stages[-1].evaluateEachIteration(held), patience)
-        if stopped or rounds == most:
-            return model if keep == rounds else fit_gbt(train, features, label, weight, maxIter=keep, **p)
-        rounds = min(most, 2 * rounds)
-
-
-def fit_members(train: DataFrame, features: Sequence[str], label: str, members: Mapping[str, int] = MEMBERS,
-                val: DataFrame | None = None, weight: str | None = None, **params) -> dict[str, PipelineModel]:
-    """M2: the three members differ in minimum rows per leaf; with ``val`` each stops early with patience.  The input is
-    cached while they are fitted."""
-    train = train.cache()
-    try:
-        if val is None:
-            return {k: fit_gbt(train, features, label, weight, minInstancesPerNode=m, **params) for k, m in members.items()}
-        return {k: fit_gbt_patient(train, val, features, label, weight, minInstancesPerNode=m, **params)
+        add_rounds(fit, min(CHUNK, most - len(fit.trees)))
+        keep, stopped = best_round(fit.losses, patience)
+        if stopped or len(fit.trees) >= most:
+            return PatientFit(boosted_model(fit, keep), keep, min(keep + patience, len(fit.trees)), fit.losses)
+
+
+def fit_members(data: DataFrame, features: Sequence[str], label: str, held: Column, members: Mapping[str, int] = MEMBERS,
+                weight: str | None = None, patience: int = PATIENCE, **params) -> dict[str, PatientFit]:
+    """M2: the members differ in minimum rows per leaf; each stops early on the held rows.  They are fitted side by side."""
+    data = cut_lineage(data)
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        jobs = {k: pool.submit(fit_patient, data, features, label, held, weight, patience, minInstancesPerNode=m, **params)
                 for k, m in members.items()}
-    finally:
-        train.unpersist()
+        return {k: j.result() for k, j in jobs.items()}
 
 
 def score(df: DataFrame, model: PipelineModel, name: str = "p") -> DataFrame:
@@ -135,21 +219,33 @@ def search_weights(val: DataFrame, cols: Sequence[str], y: str, trials: Sequence
                    t: float = SEARCH_THRESHOLD) -> DataFrame:
     """M7: F1 at ``t`` of every weight trial on the validation rows, one job.
 
-    Every row is expanded into the trials by a generate (no join); partial aggregation
-    keeps the shuffle at trials x partitions rows.  Returns one row per trial, best first
-    is ``orderBy(desc('f1'), 'trial').limit(1)``.
+    A task adds up the counts of all its rows for all trials as arrays and gives one row per trial; no row is made
+    per trial and input row.  Returns one row per trial, best first is ``orderBy(desc('f1'), 'trial').limit(1)``.
     """
-    arr = F.array(*[F.struct(F.lit(i).alias("trial"), *[F.lit(float(w)).alias(f"w{j}") for j, w in enumerate(ws)])
-                    for i, ws in enumerate(trials)])
-    d = val.select(F.col(y).alias("_y"), *[F.col(c).alias(f"_c{j}") for j, c in enumerate(cols)],
-                   F.explode(arr).alias("_t"))
-    wsum = sum((F.col(f"_t.w{j}") for j in range(len(cols))), F.lit(0.0))
-    mix = sum((F.col(f"_t.w{j}") * F.col(f"_c{j}") for j in range(len(cols))), F.lit(0.0))
-    hit = safe_div(mix, wsum) >= F.lit(float(t))
-    yy = F.col("_y") == 1
-    g = d.groupBy(F.col("_t.trial").alias("trial")).agg(
-        F.count(F.when(yy & hit, 1)).alias("tp"), F.count(F.when(~yy & hit, 1)).alias("fp"),
-        F.count(F.when(yy & ~hit, 1)).alias("fn"))
+    w = np.array(trials, float).reshape(len(trials), -1)
+    # sums in the order of the columns, as the blend itself adds them
+    total = sum((w[:, j] for j in range(w.shape[1])), np.zeros(len(w)))
+    wide = [F.col(y).cast("int").alias("_y"), *[F.col(c).cast("double").alias(f"_c{j}") for j, c in enumerate(cols)]]
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+        tp, fp, fn = (np.zeros(len(w), np.int64) for _ in range(3))
+        for b in batches:
+            yy = b.column(0).to_pandas().to_numpy(float)
+            x = [b.column(j + 1).to_pandas().to_numpy(float) for j in range(w.shape[1])]
+            for k in range(len(w)):
+                if total[k] == 0:
+                    continue
+                mix = sum((w[k, j] * x[j] for j in range(w.shape[1])), np.zeros(len(yy))) / total[k]
+                hit, known = mix >= t, ~np.isnan(mix)
+                tp[k] += np.count_nonzero((yy == 1) & hit)
+                fp[k] += np.count_nonzero((yy != 1) & ~np.isnan(yy) & hit)
+                fn[k] += np.count_nonzero((yy == 1) & ~hit & known)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w)), pa.int32()), pa.array(tp), pa.array(fp), pa.array(fn)],
+                                         names=["trial", "tp", "fp", "fn"])
+    parts = val.select(*wide).mapInArrow(count, "trial int, tp long, fp long, fn long")
+    g = parts.groupBy("trial").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     f1 = zero_div(F.lit(2.0) * F.col("tp"), F.lit(2.0) * F.col("tp") + F.col("fp") + F.col("fn"))
     wt = F.array(*[F.struct(F.lit(i).alias("trial"), *[F.lit(float(w)).alias(f"w{j}") for j, w in enumerate(ws)])
                    for i, ws in enumerate(trials)])
@@ -177,15 +273,52 @@ def blend_flow(df: DataFrame, cols: Sequence[str], y: str, split: str, trials: S
     return rates, weights
 
 
-def search_params(train: DataFrame, val: DataFrame, features: Sequence[str], label: str,
-                  grid: Sequence[Mapping[str, object]]) -> DataFrame:
-    """M8: fit every parameter set on train, AUC on validation; one row per set."""
-    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
-    rows = []
-    for i, params in enumerate(grid):
-        m = fit_gbt(train, features, label, **params)
-        rows.append((i, json.dumps(params, sort_keys=True), float(ev.evaluate(m.transform(val)))))
-    return train.sparkSession.createDataFrame(rows, "trial int, params string, val_auc double")
+def search_settings(n: int = SEARCH_SETTINGS, seed: int = 42) -> list[dict]:
+    """``n`` settings of the boosted trees drawn with a seed from the ranges of ``SETTING_RANGES`` (parameters, not data)."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        lo, hi = SETTING_RANGES["stepSize"]
+        one = {"stepSize": round(float(np.exp(rng.uniform(np.log(lo), np.log(hi)))), 4)}
+        one |= {k: v[int(rng.integers(len(v)))] for k, v in SETTING_RANGES.items() if k != "stepSize"}
+        out.append(one)
+    return out
+
+
+def _held_auc(fit: Boosting) -> float:
+    """AUC of the margin on the validation rows; no rank if one class is missing."""
+    ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="margin", metricName="areaUnderROC")
+    return float(ev.evaluate(fit.rows.where("held").select("label", "margin")))
+
+
+def search_params(data: DataFrame, features: Sequence[str], label: str, held: Column, settings: Sequence[Mapping[str, object]],
+                  weight: str | None = None, first_rounds: int = FIRST_ROUNDS, patience: int = PATIENCE) -> DataFrame:
+    """M8: successive halving over the settings by validation AUC.
+
+    All settings start with ``first_rounds`` rounds; the better half goes on from its margins with twice the rounds, until
+    one is left, which is trained to its early stop (or ``maxIter``).  All read one prepared checkpoint, and those of a
+    step are fitted side by side.  One row per setting: its parameters, AUC, the rounds it was given, the step in which
+    it was dropped (null: the last one), and its best round by log-loss."""
+    data = cut_lineage(data)
+    fits = {i: start_boosting(data, features, label, held, weight, **p) for i, p in enumerate(settings)}
+    auc, dropped, live, rounds, step = {}, {}, list(fits), first_rounds, 1
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        while len(live) > 1:
+            list(pool.map(lambda i: add_rounds(fits[i], min(rounds, fits[i].params["maxIter"]) - len(fits[i].trees)), live))
+            auc |= dict(zip(live, pool.map(lambda i: _held_auc(fits[i]), live)))
+            ranked = sorted(live, key=lambda i: (-auc[i], i))
+            live = ranked[:-(-len(ranked) // 2)] if len(ranked) > 1 else ranked
+            dropped |= {i: step for i in ranked[len(live):]}
+            rounds, step = 2 * rounds, step + 1
+    for i in live:
+        fit = fits[i]
+        while not best_round(fit.losses, patience)[1] and len(fit.trees) < fit.params["maxIter"]:
+            add_rounds(fit, min(CHUNK, fit.params["maxIter"] - len(fit.trees)))
+        auc[i] = _held_auc(fit)
+    rows = [(i, json.dumps(dict(p), sort_keys=True), auc[i], len(fits[i].trees), dropped.get(i), best_round(fits[i].losses, patience)[0])
+            for i, p in enumerate(settings)]
+    return data.sparkSession.createDataFrame(
+        rows, "trial int, params string, val_auc double, rounds int, dropped_at int, best_round int")
 
 
 def importance(model: PipelineModel, features: Sequence[str], top: int | None = None) -> DataFrame:

@@ -82,8 +82,9 @@ def null_out_of_range(df: DataFrame, limits: Mapping[str, tuple] = RANGE_LIMITS)
 
 # ---------------------------------------------------------------- C4-C6 fills
 def interpolate(df: DataFrame, s: Series, cols: Sequence[str] = INTERPOLATED, limit: int = INTERP_LIMIT,
-                ffill: int = FFILL_AFTER_INTERP, whole_gap_only: bool = False) -> DataFrame:
-    """C4 + C5: linear interpolation over row position for interior gaps, at most ``limit``
+                ffill: int = FFILL_AFTER_INTERP, whole_gap_only: bool = False, forward: Sequence[str] = (),
+                forward_limit: int = INDEX_FFILL) -> DataFrame:
+    """C4 + C5 (and C6 for the columns of ``forward``, in the same pass): linear interpolation over row position for interior gaps, at most ``limit``
     rows from the gap start, then forward fill of ``ffill`` more rows.
 
     For a NULL at position r with last non-NULL p and next non-NULL q, k = r - p:
@@ -91,10 +92,11 @@ def interpolate(df: DataFrame, s: Series, cols: Sequence[str] = INTERPOLATED, li
     p+limit; trailing NULLs get v_p for k <= ffill; leading NULLs stay NULL.
     ``whole_gap_only`` fills only gaps of at most ``limit`` rows, entirely, and no ffill.
     """
-    cols = _present(df, cols)
+    cols, forward = _present(df, cols), [c for c in _present(df, forward) if c not in cols]
     keep = POS in df.columns
-    d = with_neighbours(df, s, cols, keep_pos=True)
-    new = {}
+    d = with_neighbours(df, s, [*cols, *forward], keep_pos=True, prev_only=forward)
+    new = {c: F.coalesce(F.col(c), F.when(F.col(POS) - F.col(f"_prev_{c}")["p"] <= forward_limit, F.col(f"_prev_{c}")["v"]))
+           for c in forward}
     for c in cols:
         v = F.col(c)
         prev, nxt = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
@@ -109,7 +111,7 @@ def interpolate(df: DataFrame, s: Series, cols: Sequence[str] = INTERPOLATED, li
                       .when(inside & (k <= limit), slope * k + vp)
                       .when(inside & (k <= limit + ffill), slope * F.lit(limit) + vp)
                       .when(prev.isNotNull() & nxt.isNull() & (k <= ffill), vp))
-    out = d.withColumns(new).drop(*[f"_prev_{c}" for c in cols], *[f"_next_{c}" for c in cols])
+    out = d.withColumns(new).drop(*[f"_prev_{c}" for c in [*cols, *forward]], *[f"_next_{c}" for c in cols])
     return out if keep else out.drop(POS)
 
 
@@ -314,7 +316,6 @@ def clean(df: DataFrame, s: Series, limits: Mapping[str, tuple] = RANGE_LIMITS,
     a sorted output is needed)."""
     d = flag_ranges(df, limits)
     d = ensure_positions(d, s)
-    d = interpolate(d, s, interpolated, whole_gap_only=whole_gap_only)
-    d = ffill(d, s, index_channels, INDEX_FFILL)
+    d = interpolate(d, s, interpolated, whole_gap_only=whole_gap_only, forward=index_channels)
     d = drop_multi_flag(d.drop(POS), multi_flag, limits)
     return dedupe(d, [*s.keys, ts], [F.col(c) for c in s.order])

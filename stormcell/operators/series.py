@@ -26,14 +26,14 @@ tests assert both layouts agree.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from typing import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark import StorageLevel
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 POS = "_pos"
 
 
@@ -78,33 +78,11 @@ def as_series(keys: Iterable[str] = (), order: Iterable[str] = ("ts",), **kw) ->
     return Series(keys=tuple(keys), order=tuple(order), **kw)
 
 
-_REUSED: list[DataFrame] = []
-
-
-def release_reused(keep: int = 0) -> None:
-    """Unpersist the frames that ``reuse`` has persisted (all but the first ``keep``); call it when a result is written."""
-    while len(_REUSED) > keep:
-        _REUSED.pop().unpersist()
-
-
-@contextmanager
-def reuse_scope():
-    """Frames persisted inside the block are released at its end."""
-    keep = len(_REUSED)
-    try:
-        yield
-    finally:
-        release_reused(keep)
-
-
 def reuse(df: DataFrame) -> DataFrame:
-    """Persist a frame that feeds several branches of one plan (a self-join of statistics
-    back onto rows), so its upstream runs once.  Memory and disk; lost blocks are
-    recomputed from lineage after an executor loss."""
-    if df.storageLevel.useMemory or df.storageLevel.useDisk:
-        return df
-    _REUSED.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-    return df
+    """Cut a frame that feeds several branches of one plan (a self-join of statistics back onto rows), so that its upstream
+    runs once.  It is written to the session's checkpoint folder: nothing stays persisted after a query, a lost
+    executor costs a read, and the plan above starts anew (short plans, small generated classes)."""
+    return cut_lineage(df)
 
 
 def key_window(keys: Iterable[str]):
@@ -183,10 +161,11 @@ def window_apply(df: DataFrame, s: Series, builder: Callable[[Window], Mapping[s
 
 
 def with_neighbours(df: DataFrame, s: Series, cols: Iterable[str], prev: bool = True, nxt: bool = True,
-                    keep_pos: bool = True) -> DataFrame:
+                    keep_pos: bool = True, prev_only: Iterable[str] = ()) -> DataFrame:
     """For every column c add ``_prev_c`` and/or ``_next_c``: struct(p, v) of the last
-    non-NULL row strictly before / first non-NULL row strictly after, any distance away."""
+    non-NULL row strictly before / first non-NULL row strictly after, any distance away (columns of ``prev_only``: no next)."""
     cols = list(cols)
+    ahead = [c for c in cols if nxt and c not in set(prev_only)]
     dfp = ensure_positions(df, s)
     pv = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(POS).alias("p"), F.col(c).cast("double").alias("v")))
           for c in cols}
@@ -196,7 +175,7 @@ def with_neighbours(df: DataFrame, s: Series, cols: Iterable[str], prev: bool =
         for c in cols:
             if prev:
                 new[f"_prev_{c}"] = F.last(pv[c], True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-            if nxt:
+            if c in ahead:
                 new[f"_next_{c}"] = F.first(pv[c], True).over(w.rowsBetween(1, Window.unboundedFollowing))
         out = dfp.withColumns(new)
         return out if keep_pos else out.drop(POS)
@@ -208,7 +187,7 @@ def with_neighbours(df: DataFrame, s: Series, cols: Iterable[str], prev: bool =
     for c in cols:
         if prev:
             aggs.append(F.max_by(pv[c], F.when(F.col(c).isNotNull(), F.col(POS))).alias(f"_bl_{c}"))
-        if nxt:
+        if c in ahead:
             aggs.append(F.min_by(pv[c], F.when(F.col(c).isNotNull(), F.col(POS))).alias(f"_bf_{c}"))
     summary = d.groupBy(*s.keys, "_blk").agg(*aggs)
     # 2. carry across blocks over the small summary table
@@ -217,7 +196,7 @@ def with_neighbours(df: DataFrame, s: Series, cols: Iterable[str], prev: bool =
     for c in cols:
         if prev:
             carry.append(F.last(f"_bl_{c}", True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_ci_{c}"))
-        if nxt:
+        if c in ahead:
             carry.append(F.first(f"_bf_{c}", True).over(wb.rowsBetween(1, Window.unboundedFollowing)).alias(f"_co_{c}"))
     carry_df = summary.select(*s.keys, "_blk", *carry)
     # 3. inside each block, fall back to the carry
@@ -228,7 +207,7 @@ def with_neighbours(df: DataFrame, s: Series, cols: Iterable[str], prev: bool =
         if prev:
             new[f"_prev_{c}"] = F.coalesce(
                 F.last(pv[c], True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col(f"_ci_{c}"))
-        if nxt:
+        if c in ahead:
             new[f"_next_{c}"] = F.coalesce(
                 F.first(pv[c], True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.col(f"_co_{c}"))
     drop = [f"_ci_{c}" for c in cols if prev] + [f"_co_{c}" for c in cols if nxt] + ["_blk"]

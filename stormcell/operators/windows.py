@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import col
 from .running import attach_stats, exact_quantiles
-from .series import POS, Series, ensure_positions, reuse, window_apply
+from .series import POS, Series, ensure_positions, window_apply
 
 # Lag and rolling layout of the engineered feature table
 LAG_COLUMNS = ["IMF_Bz", "IMF_Magnitude", "Flow_Speed", "Flow_Pressure", "Newell_Coupling"]
@@ -16,7 +17,6 @@ LAG_STEPS = [1, 3, 6, 12, 24]
 ROLLING_COLUMNS = ["IMF_Bz", "Flow_Speed", "Dst_index", "Newell_Coupling"]
 ROLLING_WINDOWS = [3, 6, 12, 24]
 LEAD_STEPS = 6
-_MEMBER = "struct<pos:bigint,f:array<double>,bad:int>"   # one row of a sequence window
 
 
 # ------------------------------------------------------------------ builders (Column factories)
@@ -94,32 +94,37 @@ def sequences(df: DataFrame, s: Series, cols: Sequence[str], label: str, length:
     (ARRAY<ARRAY<DOUBLE>>, oldest first) with the label of row i; windows that contain a
     missing value are skipped when ``check_missing``.
 
-    Each row is sent only to the (at most ceil(length/stride)) target windows that contain
-    it, the target row adds its label and time, and one ``groupBy(key, target)`` assembles
-    each window: work and shuffle equal the output size, and a group never exceeds
-    ``length + 1`` rows however large a key is.
+    Rows are first put together in groups of ``stride`` consecutive rows (one exchange of the input); window m is
+    then groups m, m + 1, ... cut to ``length`` rows, read by one array frame over groups in the block/halo layout.  A row
+    is shuffled as often as it is in the input, not once per window that contains it, and arrays are only built for
+    windows that start a group.
     """
-    frame_cols = list(dict.fromkeys([*s.keys, *s.order, ts, *cols, label]))
-    d = reuse(ensure_positions(df.select(*frame_cols, *([POS] if POS in df.columns else [])), s))
+    d = ensure_positions(df.select(*dict.fromkeys([*s.keys, *s.order, ts, *cols, label]),
+                                   *([POS] if POS in df.columns else [])), s)
     p = F.col(POS)
     feats = F.array(*[F.col(c).cast("double") for c in cols])
-    incomplete = sum((F.col(c).isNull().cast("int") for c in cols), F.lit(0))
-    targets = F.filter(F.sequence(p + 1, p + length), lambda i: F.pmod(i - length, F.lit(stride)) == 0)
-    member = F.struct(p.alias("pos"), feats.alias("f"), F.when(incomplete > 0, 1).otherwise(0).alias("bad"))
-    members = d.select(*s.keys, F.explode(targets).alias("_t"), member.alias("_m"),
-                       F.lit(None).cast(d.schema[label].dataType).alias("_label"),
-                       F.lit(None).cast(d.schema[ts].dataType).alias("_ts"), F.lit(0).alias("_self"))
-    selfs = d.where((p >= length) & (F.pmod(p - length, F.lit(stride)) == 0)).select(
-        *s.keys, p.alias("_t"), F.lit(None).cast(_MEMBER).alias("_m"), F.col(label).alias("_label"),
-        F.col(ts).alias("_ts"), F.lit(1).alias("_self"))
-    g = members.unionByName(selfs).groupBy(*s.keys, "_t").agg(
-        F.array_sort(F.collect_list("_m")).alias("_ms"), F.sum("_m.bad").alias("_bad"),
-        F.max("_self").alias("_has"), F.max("_label").alias("label"), F.max("_ts").alias(ts))
-    cond = (F.col("_has") == 1)
+    incomplete = F.when(sum((F.col(c).isNull().cast("int") for c in cols), F.lit(0)) > 0, 1).otherwise(0)
+    target = F.when((p >= length) & (F.pmod(p - length, F.lit(stride)) == 0), F.struct(F.col(label).alias("label"), F.col(ts).alias("ts")))
+    if stride == 1:
+        g = d.select(*s.keys, p.alias(POS), F.array(feats).alias("_f"), F.array(incomplete).alias("_bad"), target.alias("_target"))
+    else:
+        parts = F.array_sort(F.collect_list(F.struct(p.alias("p"), feats.alias("f"), incomplete.alias("bad"))))
+        g = d.groupBy(*s.keys, F.floor(p / F.lit(stride)).alias("_g")).agg(parts.alias("_rows"), F.max(target).alias("_target"))
+        g = g.select(*s.keys, F.col("_g").alias(POS), F.transform("_rows", lambda x: x["f"]).alias("_f"),
+                     F.transform("_rows", lambda x: x["bad"]).alias("_bad"), "_target")
+    frame, ahead = -(-length // stride) - 1, length // stride  # groups after the first one; groups up to the target's
+
+    def build(w):
+        rows = w.rowsBetween(0, frame)
+        return {"_fs": F.collect_list("_f").over(rows), "_bads": F.collect_list("_bad").over(rows),
+                "_t": F.lead("_target", ahead).over(w)}
+    at = replace(s, block_rows=max(1, s.block_rows // stride))
+    out = window_apply(g, at, build, before=0, after=max(frame, ahead), keep_pos=True).where("_t is not null")
+    out = out.withColumn("_w", F.slice(F.flatten("_bads"), 1, length))
     if check_missing:
-        cond = cond & (F.col("_bad") == 0)
-    return g.where(cond).select(*s.keys, ts, F.col("_t").alias("position"),
-                                F.transform("_ms", lambda x: x["f"]).alias("sequence"), "label")
+        out = out.where(~F.array_contains("_w", 1))
+    return out.select(*s.keys, F.col("_t.ts").alias(ts), (F.col(POS) * stride + length).alias("position"),
+                      F.slice(F.flatten("_fs"), 1, length).alias("sequence"), F.col("_t.label").alias("label"))
 
 
 def sequences_with_fallback(df: DataFrame, s: Series, cols: Sequence[str], label: str, length: int,

@@ -93,13 +93,15 @@ def q_stacking(spark, sf_dir):
     "count(*) AS events FROM events GROUP BY ALL) SELECT * FROM h",
     "hour:t event_type:s mean_value:d events:i"))
 def q_stream_hourly(spark, sf_dir):
-    """File-source event stream, 1-hour windows, 2-hour watermark, append output; the hours that are still open when
-    the input ends are added by a last batch pass."""
-    ev = X.read_stream(spark, sf_dir, X.EVENTS_SCHEMA, glob="events.parquet")
-    out, ck = X.scratch(spark, "x1-out"), X.scratch(spark, "x1-ck")
-    X.run_available(X.hourly_means(ev, "2 hours"), out, ck)
-    emitted = spark.read.parquet(out)
-    return normalize(emitted.unionByName(X.open_windows(FX.table(spark, sf_dir, "events"), emitted)))
+    """Event stream of four arrivals, 1-hour windows, 2-hour watermark, changed windows per batch merged by key."""
+    ev = FX.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    src, out, ck = X.scratch(spark, "x1-in"), X.scratch(spark, "x1-out"), X.scratch(spark, "x1-ck")
+    part = arrival(ev, 4)
+    for k in range(4):
+        X.arrive(ev, part, src, k)
+    stream = X.read_stream(spark, src, X.EVENTS_SCHEMA, files_per_trigger=1)
+    X.run_updates(X.hourly_means(stream, "2 hours"), out, ck)
+    return normalize(X.latest(spark.read.parquet(out), ["hour", "event_type"]))
 
 
 @register("x2_stream_alerts", O.norm(
@@ -124,10 +126,24 @@ def q_stream_alerts(spark, sf_dir):
     "AS value_mean_3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "event_id:i user_id:i ts:t value:d value_lag_1:d value_lag_3:d value_mean_3:d"))
 def q_stream_lags(spark, sf_dir):
-    """Per-user lag and rolling features on an event stream (tail-table state)."""
-    ev = X.read_stream(spark, sf_dir, X.EVENTS_SCHEMA, glob="events.parquet")
-    ev = ev.select("event_id", "user_id", "ts", "value")
-    out, state, ck = X.scratch(spark, "x3-out"), X.scratch(spark, "x3-state"), X.scratch(spark, "x3-ck")
-    s = Series(keys=("user_id",), order=("ts", "event_id"), block_rows=DEMO_BLOCK_ROWS)
-    X.stream_lag_features(ev, s, ["value"], [1, 3], [3], out, state, ck)
-    return normalize(spark.read.parquet(out).drop("epoch"))
+    """Per-user lag and rolling features on an event stream of three arrivals; some rows of an arrival's last hour come with
+    the next one (late rows), and the stream is restarted after the first arrival."""
+    ev = FX.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    src, out, ck = X.scratch(spark, "x3-in"), X.scratch(spark, "x3-out"), X.scratch(spark, "x3-ck")
+    soon = arrival(ev, 3, "ts")
+    part = F.when((F.col("event_id") % 2 == 0) & (soon < arrival(ev, 3, F.col("ts") + F.expr("interval 1 hour"))), soon + 1).otherwise(soon)
+    s = Series(keys=("user_id",), order=("ts", "event_id"))
+    for arrivals in ([0], [1, 2]):
+        for k in arrivals:
+            X.arrive(ev, part, src, k)
+        stream = X.read_stream(spark, src, ev.schema, files_per_trigger=1)
+        X.stream_lag_features(stream, s, ["value"], [1, 3], [3], out, None, ck)
+    return normalize(X.latest(spark.read.parquet(out), ["event_id"]))
+
+
+def arrival(df, parts: int, ts="ts"):
+    """In which of ``parts`` equal stretches of the table's time a row lies (from 0)."""
+    ends = df.agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("b")).first()
+    width = ((ends["b"] or 0.0) - (ends["a"] or 0.0)) / parts + 1.0
+    t = (F.col(ts) if isinstance(ts, str) else ts).cast("double")
+    return F.least(F.floor((t - F.lit(ends["a"] or 0.0)) / F.lit(width)).cast("int"), F.lit(parts - 1))

@@ -1,12 +1,13 @@
 """Structured Streaming (X1-X3): the same operators on live data.
 
-* X1 ``hourly_means``: event stream -> hourly means per type with a watermark (late-data limit).
+* X1 ``hourly_means``: event stream -> hourly means per type with a watermark (late-data limit).  ``run_updates`` writes
+  every changed window of a batch under its epoch and ``latest`` merges them by key, so the hours that are still open
+  when the input ends are there too, from the stream itself.
 * X2 ``score_stream``: stateless rules (range flags, alert level, confidence) on a stream.
-* X3 ``stream_lag_features``: per-key lag / rolling features across micro-batches.  Each batch
-  is unioned with the last ``tail`` rows per key kept from earlier batches (a table in the
-  shared checkpoint folder, one version per epoch), windowed with the block layout, and
-  the new tail is written for the next epoch.  Re-running an epoch overwrites that
-  epoch's output and tail, so the sink is idempotent under retries.
+* X3 ``stream_lag_features``: per-key lag / rolling features across micro-batches.  Each key's state holds its rows of
+  the last ``lateness`` and the ``tail`` rows before them; only keys with new rows are touched.  A late row within the bound
+  is put in its place, and the rows after it whose features change are emitted again.  A retried epoch overwrites
+  its own output, so the sink is idempotent.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from __future__ import annotations
 import uuid
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import alerts as AL
 from ..operators.quality import RANGE_LIMITS, flag_ranges
-from ..operators.series import Series, reuse_scope, window_apply
+from ..operators.series import Series
 from ..session import ensure_checkpoint_dir
 
 EVENTS_SCHEMA = T.StructType([
@@ -52,19 +54,21 @@ def hourly_means(events: DataFrame, delay: str = "2 hours", ts: str = "ts") -> D
             .select(F.col("w.start").alias("hour"), "event_type", "mean_value", "events"))
 
 
-def open_windows(events: DataFrame, emitted: DataFrame, delay_hours: int = 2, ts: str = "ts") -> DataFrame:
-    """X1, end of a finished input: the hours that the append stream has not emitted because the watermark never passed
-    them.  Only events near the end are read again."""
-    last = events.agg(F.max(ts).alias("t")).first()["t"]
-    if last is None:
-        return emitted.limit(0)
-    from datetime import timedelta
-    late = events.where(F.col(ts) >= F.lit(last - timedelta(hours=delay_hours + 2)))
-    rest = (late.groupBy(F.date_trunc("hour", ts).alias("hour"), "event_type")
-            .agg(F.avg("value").alias("mean_value"), F.count(F.lit(1)).alias("events")))
-    rest = rest.where(F.col("hour") >= F.date_trunc("hour", F.lit(last - timedelta(hours=delay_hours))))
-    rest = rest.withColumn("hour", F.col("hour").cast(emitted.schema["hour"].dataType))
-    return rest.join(emitted.select("hour", "event_type"), ["hour", "event_type"], "left_anti")
+def run_updates(df: DataFrame, out: str, checkpoint: str) -> None:
+    """Run a streaming aggregate in update mode over everything available now: each batch's changed rows go to
+    ``epoch=<n>`` below ``out`` (overwritten when a batch is retried)."""
+    def batch(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    q = (df.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def latest(updates: DataFrame, keys: Sequence[str], epoch: str = "epoch") -> DataFrame:
+    """The last written row of each key (a partial aggregate, no sort)."""
+    rest = [c for c in updates.columns if c not in keys and c != epoch]
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(epoch)).alias("_r"))
+    return last.select(*keys, "_r.*")
 
 
 def score_stream(scored: DataFrame, p: str, profile: str = "PRIMARY") -> DataFrame:
@@ -86,32 +90,71 @@ def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append"
     q.awaitTermination()
 
 
+def arrive(df: DataFrame, part: Column, path: str, number: int) -> None:
+    """Write the rows of one arrival as files of a stream's input folder."""
+    df.where(part == number).write.mode("append").parquet(path)
+
+
+def _lag_state(s: Series, columns: Sequence[str], cols: Sequence[str], lags: Sequence[int], means: Sequence[int],
+               lateness_ms: int, idle_ms: int):
+    """The function of one key and batch.  The state is the key's held rows as Arrow bytes; made inside a function, so that it
+    travels to the executors by value."""
+    order, columns, tail = list(s.order), list(columns), max(max(lags, default=0), max(means, default=1) - 1)
+    made = [*[f"{c}_lag_{n}" for c in cols for n in lags], *[f"{c}_mean_{n}" for c in cols for n in means]]
+
+    def load(state):
+        import pyarrow as pa
+        return pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else None
+
+    def store(state, rows) -> None:
+        import pyarrow as pa
+        table = pa.Table.from_pandas(rows, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as w:
+            w.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+
+    def run(key, rows, state):
+        import pandas as pd
+        if state.hasTimedOut:  # a key without rows for a while keeps its tail only
+            store(state, load(state).iloc[-max(1, tail):])
+            return
+        new = pd.concat(list(rows), ignore_index=True)[columns]
+        held, bound = load(state), pd.Timedelta(milliseconds=lateness_ms)
+        both = new.assign(_new=True) if held is None else pd.concat([held.assign(_new=False), new.assign(_new=True)])
+        both = both.sort_values(order, kind="stable", ignore_index=True)
+        fresh = both["_new"].to_numpy(bool)
+        changed = fresh.copy()
+        for k in range(1, tail + 1):  # a new row changes the features of the rows up to ``tail`` after it
+            changed[k:] |= fresh[:-k]
+        full = both[columns]
+        got = full
+        for c in cols:
+            got = got.assign(**{f"{c}_lag_{n}": full[c].shift(n).astype(float) for n in lags},
+                             **{f"{c}_mean_{n}": full[c].rolling(n, min_periods=1).mean() for n in means})
+        yield got[changed][[*columns, *made]]
+        old = int((full[order[0]] < full[order[0]].max() - bound).sum())
+        store(state, full.iloc[max(0, old - tail):])
+        newest = int(full[order[0]].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() or 0) + idle_ms)
+    return run
+
+
 def stream_lag_features(stream: DataFrame, s: Series, cols: Sequence[str], lags: Sequence[int],
-                        means: Sequence[int], out: str, state: str, checkpoint: str) -> None:
-    """Lag and rolling-mean features per key across micro-batches (tail-table state).
-
-    Rows are expected in time order across batches: a row that comes in a later batch than newer rows of its key gets
-    the neighbours known when it comes, and features written before are not corrected."""
-    tail = max(max(lags, default=0), max(means, default=1) - 1)
-    spark = stream.sparkSession
-
-    def build(w):
-        d = {f"{c}_lag_{n}": F.lag(c, n).over(w) for c in cols for n in lags}
-        d.update({f"{c}_mean_{n}": F.avg(c).over(w.rowsBetween(-(n - 1), 0)) for c in cols for n in means})
-        return d
-
-    def batch(df: DataFrame, epoch: int) -> None:
-        new = df.withColumn("_new", F.lit(True))
-        both = new
-        if epoch > 0:  # a tail that cannot be read must stop the stream, not restart it without state
-            both = spark.read.parquet(f"{state}/epoch={epoch - 1}").withColumn("_new", F.lit(False)).unionByName(new)
-        with reuse_scope():
-            feats = window_apply(both, s, build, before=tail)
-            feats.where(F.col("_new")).drop("_new").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-            w = Window.partitionBy(*s.keys).orderBy(*[F.col(c).desc() for c in s.order])
-            kept = both.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= tail).drop("_r", "_new")
-            kept.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
-
-    q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+                        means: Sequence[int], out: str, state: str | None, checkpoint: str,
+                        lateness: str = "2 hours", idle: str = "1 day") -> None:
+    """Lag and rolling-mean features per key across micro-batches, by one state per key.
+
+    Rows are written under ``epoch=<n>`` below ``out``; ``latest`` by the row's identity gives the final features where late rows
+    changed some.  ``lateness`` is the watermark's delay on the first order column: a row behind it is dropped by the stream.
+    Once the watermark is ``idle`` past a key's newest row, a timer leaves it its last ``tail`` rows only.  The state lies
+    in the stream's checkpoint (``state`` is not used any more) and survives restarts."""
+    import pandas as pd
+    columns = list(stream.columns)
+    schema = T.StructType([*stream.schema.fields,
+                           *[T.StructField(f"{c}_lag_{n}", T.DoubleType()) for c in cols for n in lags],
+                           *[T.StructField(f"{c}_mean_{n}", T.DoubleType()) for c in cols for n in means]])
+    ms = [int(pd.Timedelta(x).total_seconds() * 1000) for x in (lateness, idle)]
+    feats = stream.withWatermark(s.order[0], lateness).groupBy(*s.keys).applyInPandasWithState(
+        _lag_state(s, columns, cols, lags, means, *ms), schema, "held binary", "update", GroupStateTimeout.EventTimeTimeout)
+    run_updates(feats, out, checkpoint)
