@@ -47,6 +47,7 @@ def zero_div(a, b) -> Column:
 # values lying exactly on a .5 tie (frequent for means of rounded inputs) never
 # straddle it because of last-bit differences in summation order.
 ROUND_OFFSET = 0.4142135623730951
+WIDE = 40  # doubles that ``normalize`` quantises one by one at most
 
 
 def r6(c) -> Column:
@@ -77,11 +78,20 @@ def r6_sql(x: str) -> str:
 
 def normalize(df: DataFrame) -> DataFrame:
     """Comparable output: doubles quantised by ``r6``, integers and booleans as BIGINT,
-    timestamps as 'yyyy-MM-dd HH:mm:ss' text.  Built as one ``selectExpr``."""
+    timestamps as 'yyyy-MM-dd HH:mm:ss' text.  Built as one ``selectExpr``; beyond ``WIDE`` doubles they are
+    quantised as one array, so that the generated class of a wide table stays small enough to be compiled."""
     out = []
+    real = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType))]
+    wide = {c: i for i, c in enumerate(real)} if len(real) > WIDE else {}
+    if wide:
+        values = ", ".join(f"CAST({_q(c)} AS DOUBLE)" for c in real)
+        df = df.selectExpr(*[_q(c) for c in df.columns if c not in wide], f"transform(array({values}), x -> {r6_sql('x')}) AS __real"
+                           ).select(*[F.col("__real")[wide[c]].alias(c) if c in wide else F.col(_q(c)) for c in df.columns])
     for f in df.schema.fields:
         c, t = _q(f.name), f.dataType
-        if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
+        if f.name in wide:
+            out.append(c)
+        elif isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
             out.append(f"{r6_sql(c)} AS {c}")
         elif isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             out.append(f"CAST({c} AS BIGINT) AS {c}")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..session import cut_lineage
 from .series import key_window
 
-ACCURACY = 4000          # of the sketches: ranks are off by rows / ACCURACY at most
+ACCURACY = 1000          # of the sketches: ranks are off by rows / ACCURACY at most
 BROADCAST_ROWS = 100_000  # offset rows that are sent to every task
 
 
@@ -108,17 +108,6 @@ def running_totals(df: DataFrame, keys: Sequence[str], order_col: str, sum_cols:
     return out.select(*df.columns, *[f"_before_{c}" for c in sum_cols], *[f"_total_{c}" for c in sum_cols])
 
 
-def _pick(rows: DataFrame, by: Sequence[str], total: Column, below: Column) -> DataFrame:
-    """Values at the ranks around ``_p * (total - 1)``: one row per ``by`` with ``_q``.  ``rows`` are ranked (value, count)."""
-    pos = (total - 1) * F.col("_p")
-    lo, hi = F.floor(pos), F.ceil(pos)
-    start, stop = below + F.col("_before__n"), below + F.col("_before__n") + F.col("_n")
-    got = rows.groupBy(*by).agg(F.max(F.when((start <= lo) & (lo < stop), F.col("_v"))).alias("_lo"),
-                                F.max(F.when((start <= hi) & (hi < stop), F.col("_v"))).alias("_hi"),
-                                F.max(pos - lo).alias("_f"))
-    return got.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"))
-
-
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (),
                     n_buckets: int | None = None, accuracy: int = ACCURACY) -> DataFrame:
     """Exact, linearly interpolated quantiles (as ``percentile`` / numpy), distributed.
@@ -126,46 +115,56 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     Returns one row per key with columns ``<col>_q<i>`` for the i-th probability.  Three passes over the rows: bounds
     around each rank from sketches (partial aggregates), counts of the values below and between the bounds (one row per
     key, which also proves that the ranks lie between), and the values between, reduced to (value, count), so that a
-    hot value is one row.  Only these are shuffled: a share of ``4 / accuracy`` of the rows per quantile.  Where a
-    sketch missed its rank, all values are ranked.
+    hot value is one row.  Only these are shuffled: a share of about ``4 / accuracy`` of the rows per quantile, none where
+    both bounds are one value.  Where a sketch missed its rank, all values are ranked.
     """
     keys, cols, probs = list(keys), list(cols), [float(p) for p in probs]
     slots = [(j, i) for j in range(len(cols)) for i in range(len(probs))]
-    d = df.select(*keys, *[F.col(c).cast("double").alias(f"_c{j}") for j, c in enumerate(cols)])
-    ends = [min(1.0, max(0.0, p + side * 2 / accuracy)) for side in (-1, 1) for p in probs]
-    bounds = cut_lineage(d.groupBy(*keys).agg(
-        *[F.count(f"_c{j}").alias(f"_t{j}") for j in range(len(cols))],
-        *[F.percentile_approx(f"_c{j}", ends, accuracy).alias(f"_b{j}") for j in range(len(cols))]))
-    b = attach_stats(d, bounds, keys) if keys else _with_one_row(d, bounds)
-    lo = {(j, i): F.col(f"_b{j}")[i] for j, i in slots}
-    hi = {(j, i): F.col(f"_b{j}")[i + len(probs)] for j, i in slots}
-    inside = {s: (F.col(f"_c{s[0]}") >= lo[s]) & (F.col(f"_c{s[0]}") <= hi[s]) for s in slots}
-    below = cut_lineage(b.groupBy(*keys).agg(
-        *[F.max(f"_t{j}").alias(f"_t{j}") for j in range(len(cols))],
-        *[F.count(F.when(F.col(f"_c{j}") < lo[j, i], 1)).alias(f"_l{j}_{i}") for j, i in slots],
-        *[F.count(F.when(inside[j, i], 1)).alias(f"_m{j}_{i}") for j, i in slots]))
-
-    def missed(j, i):
-        pos = (F.col(f"_t{j}") - 1) * F.lit(probs[i])
-        got = (F.col(f"_l{j}_{i}") <= F.floor(pos)) & (F.ceil(pos) < F.col(f"_l{j}_{i}") + F.col(f"_m{j}_{i}"))
-        return ~got & (F.col(f"_t{j}") > 0)
-    if not below.where(reduce(Column.__or__, [missed(j, i) for j, i in slots])).isEmpty():
-        inside = {(j, i): F.col(f"_c{j}").isNotNull() for j, i in slots}
-        below = below.withColumns({f"_l{j}_{i}": F.lit(0).cast("long") for j, i in slots})
-    cells = F.array(*[F.when(inside[j, i], F.struct(F.lit(j).alias("_j"), F.lit(i).alias("_i"), F.col(f"_c{j}").alias("_v")))
-                      for j, i in slots])
-    long = b.select(*keys, F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("_x")).select(*keys, "_x.*")
-    counts = long.groupBy(*keys, "_j", "_i", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_totals(counts, [*keys, "_j", "_i"], "_v", ["_n"], n_buckets)
-    facts = below.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(j).alias("_j"), F.lit(i).alias("_i"), F.lit(probs[i]).alias("_p"), F.col(f"_t{j}").alias("_t"),
-                 F.col(f"_l{j}_{i}").alias("_l")) for j, i in slots])).alias("_x")).select(*keys, "_x.*")
-    facts = facts.withColumnsRenamed({k: f"_k_{k}" for k in keys} | {"_j": "_fj", "_i": "_fi"})
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys],
-                  (F.col("_j") == F.col("_fj")) & (F.col("_i") == F.col("_fi")))
-    found = _pick(ranked.join(facts, same), [*keys, "_j", "_i"], F.col("_t"), F.col("_l"))
-    return found.groupBy(*keys).agg(*[F.max(F.when((F.col("_j") == j) & (F.col("_i") == i), F.col("_q"))).alias(f"{cols[j]}_q{i}")
-                                      for j, i in slots])
+    names = [f"`{k}`" for k in keys]
+    # expressions are SQL text: one call to the JVM each, however many columns there are
+    d = df.selectExpr(*names, *[f"CAST(`{c}` AS DOUBLE) AS _c{j}" for j, c in enumerate(cols)])
+    ends = ", ".join(f"{min(1.0, max(0.0, p + side * 2 / accuracy))!r}D" for side in (-1, 1) for p in probs)
+    bounds = _aggregate(d, names, *[f"count(_c{j}) AS _t{j}" for j in range(len(cols))],
+                        *[f"percentile_approx(_c{j}, array({ends}), {accuracy}) AS _b{j}" for j in range(len(cols))])
+    # without keys the bounds are one row and become literals, with keys they are joined
+    b = attach_stats(d, cut_lineage(bounds), keys) if keys else _with_one_row(d, bounds)
+    lo = {(j, i): f"_b{j}[{i}]" for j, i in slots}
+    hi = {(j, i): f"_b{j}[{i + len(probs)}]" for j, i in slots}
+    inside = {s: f"(_c{s[0]} >= {lo[s]} AND _c{s[0]} <= {hi[s]})" for s in slots}
+    facts = ", ".join(f"struct({j} AS _j, {i} AS _i, {probs[i]!r}D AS _p, max(_t{j}) AS _t, max({lo[j, i]}) AS _a, max({hi[j, i]}) AS _z, "
+                      f"count(CASE WHEN _c{j} < {lo[j, i]} THEN 1 END) AS _l, count(CASE WHEN {inside[j, i]} THEN 1 END) AS _m)"
+                      for j, i in slots)
+    below = cut_lineage(_aggregate(b, names, f"array({facts}) AS _x").selectExpr(*names, "inline(_x)"))
+    rank = "(_t - 1) * _p"
+    missed = f"_t > 0 AND NOT (_l <= floor({rank}) AND ceil({rank}) < _l + _m)"
+    state = below.groupBy("_j", "_i").agg(F.expr(f"max({missed})").alias("missed"), F.expr("max(_a < _z)").alias("open")).collect()
+    if any(r["missed"] for r in state):
+        inside, live = {(j, i): f"_c{j} IS NOT NULL" for j, i in slots}, slots
+        below = below.withColumn("_l", F.lit(0).cast("long"))
+    else:  # where both bounds are one value, that is the quantile
+        inside = {s: f"({inside[s]} AND {lo[s]} < {hi[s]})" for s in slots}
+        live = sorted((r["_j"], r["_i"]) for r in state if r["open"])
+    found = below.selectExpr(*names, "_j", "_i", "_a AS _q")
+    if live:
+        cells = ", ".join(f"CASE WHEN {inside[j, i]} THEN struct({j} AS _j, {i} AS _i, _c{j} AS _v) END" for j, i in live)
+        long = (b.where(" OR ".join(inside[s] for s in live)).selectExpr(*names, f"explode(array({cells})) AS _x")
+                .where("_x IS NOT NULL").selectExpr(*names, "_x.*"))
+        counts = _aggregate(long, [*names, "_j", "_i", "_v"], "count(1) AS _n")
+        ranked = running_totals(counts, [*keys, "_j", "_i"], "_v", ["_n"], n_buckets)
+        other = below.selectExpr(*[f"{k} AS `_k_{c}`" for k, c in zip(names, keys)], "_j AS _fj", "_i AS _fi", "_p", "_t", "_l")
+        same = " AND ".join([*[f"{k} <=> `_k_{c}`" for k, c in zip(names, keys)], "_j = _fj", "_i = _fi"])
+        start, stop = "_l + _before__n", "_l + _before__n + _n"
+        picked = _aggregate(ranked.join(other, F.expr(same)), [*names, "_j", "_i"],
+                            f"max(CASE WHEN {start} <= floor({rank}) AND floor({rank}) < {stop} THEN _v END) AS _lo",
+                            f"max(CASE WHEN {start} <= ceil({rank}) AND ceil({rank}) < {stop} THEN _v END) AS _hi",
+                            f"max({rank} - floor({rank})) AS _f")
+        picked = picked.selectExpr(*names, "_j", "_i", "_lo + (_hi - _lo) * _f AS _q", "1 AS _r")
+        found = _aggregate(found.withColumn("_r", F.lit(0)).unionByName(picked), [*names, "_j", "_i"], "max_by(_q, _r) AS _q")
+    return _aggregate(found, names, *[f"max(CASE WHEN _j = {j} AND _i = {i} THEN _q END) AS `{cols[j]}_q{i}`" for j, i in slots])
+
+
+def _aggregate(df: DataFrame, keys: Sequence[str], *exprs: str) -> DataFrame:
+    return df.groupBy(*[F.expr(k) for k in keys]).agg(*[F.expr(e) for e in exprs])
 
 
 def _with_one_row(d: DataFrame, stats: DataFrame) -> DataFrame:

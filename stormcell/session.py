@@ -23,6 +23,7 @@ def build_session(app: str = "stormcell", cpus: int | str = "*", shuffle_partiti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call sites: plans of many columns build faster
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # checkpoints go with the frames that hold them
     )
     spark = builder.getOrCreate()
