@@ -132,3 +132,4 @@ register("flagship_split_summary", _FLAGSHIP_SQL)(flagship)
 from . import catalog_eval  # noqa: E402,F401
 from . import catalog_series  # noqa: E402,F401
 from . import catalog_models  # noqa: E402,F401
+from . import catalog_extra  # noqa: E402,F401

@@ -1,4 +1,4 @@
-"""Registered model and streaming queries.  Model fits have no SQL oracle (rows-only check);
+"""Registered model and streaming queries.  Fitted scores have no SQL oracle (rows-only check; facts that any right fit meets have one);
 streams compare with SQL over the same rows."""
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from ..operators import labels as LB
 from ..operators import models as MD
 from ..operators import quality as Q
 from ..operators import scale as N
-from ..operators.series import Series, reuse
+from ..operators.series import Series
 from ..streaming import streams as X
 from . import fixtures as FX
 from . import oracle as O
 from .catalog import DEMO_BLOCK_ROWS, cleaned, panel_series, register
 from .catalog_eval import LEVELS_SQL, W as SVW
+from .catalog_series import P, SPLIT_SQL
 
 # The 13 raw inputs of the production blend (Year, Day, Hour and ten channels)
 MODEL_FEATURES = ["Year", "Day", "Hour", "IMF_Magnitude", "IMF_Bz", "IMF_By", "IMF_Bx", "Proton_Temp",
@@ -32,28 +33,90 @@ def prepared(spark, sf_dir):
     return scaled, feats, weights
 
 
-@register("n4_prepare")
+def _prepare_sql() -> str:
+    """N4 in SQL: fills per split, quartiles of the filled train rows, class weights of the train rows."""
+    def fill(c):
+        return (f"coalesce(CAST({c} AS DOUBLE), last_value(CAST({c} AS DOUBLE) IGNORE NULLS) OVER (PARTITION BY split ORDER BY ts "
+                f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_value(CAST({c} AS DOUBLE) IGNORE NULLS) OVER "
+                f"(PARTITION BY split ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0.0) AS {c}")
+    feats = [f'"{c}"' for c in MODEL_FEATURES]
+    q = ", ".join(f"quantile_cont({c}, 0.5) AS m{i}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS r{i}"
+                  for i, c in enumerate(feats))
+    out = ", ".join(f"({c} - m{i}) / (CASE WHEN r{i} = 0 THEN 1.0 ELSE r{i} END) AS {c}" for i, c in enumerate(feats))
+    body = (P(f"lab AS (SELECT ts, {SPLIT_SQL} AS split, CASE WHEN Kp_index / 10.0 >= 5 THEN 1 ELSE 0 END AS Storm, "
+              f"{', '.join(feats)} FROM cleaned)", f"fl AS (SELECT ts, split, Storm, {', '.join(fill(c) for c in feats)} FROM lab)",
+              f"st AS (SELECT {q} FROM fl WHERE split = 'train')",
+              "wt AS (SELECT Storm AS class, least(CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)), 10.0) AS weight "
+              "FROM fl WHERE split = 'train' GROUP BY Storm)", clean=True)
+            + f"SELECT ts, split, {out}, Storm, weight FROM fl CROSS JOIN st LEFT JOIN wt ON fl.Storm = wt.class")
+    return O.norm(body, "ts:t split:s " + " ".join(f"{c}:d" for c in MODEL_FEATURES) + " Storm:i weight:d")
+
+
+@register("n4_prepare", _prepare_sql())
 def q_prepare(spark, sf_dir):
-    """Filled, scaled, weighted training table (rows-only check)."""
+    """Filled, scaled, weighted training table."""
     scaled, feats, weights = prepared(spark, sf_dir)
     return normalize(N.with_weights(scaled, weights, "Storm").select("ts", "split", *feats, "Storm", "weight"))
 
 
-@register("m1_m2_m4_gbt_blend")
-def q_gbt(spark, sf_dir):
-    """M1 + M2 + M4 + A2: three weighted boosted-tree members (Spark's own early stopping on the validation split),
-    blended scores on all rows."""
+def held():
+    return F.col("split") == "validation"
+
+
+BLEND = {"model_precision": 0.408, "model_recall": 0.402, "model_balanced": 0.190}
+
+
+def member_scores(spark, sf_dir, **params):
+    """(scored rows, members): the three members fitted with patience on train rows, judged on validation rows."""
     scaled, feats, weights = prepared(spark, sf_dir)
-    data = reuse(N.with_weights(scaled, weights, "Storm"))
-    fit_rows = data.where(F.col("split") != "test").withColumn("is_val", F.col("split") == "validation")
-    members = MD.fit_members(fit_rows, feats, "Storm", weight="weight", validation="is_val")
+    data = MD.cut_lineage(N.with_weights(scaled, weights, "Storm"))
+    members = MD.fit_members(data.where(F.col("split") != "test"), feats, "Storm", held(), weight="weight", **params)
     out = data
     for name, m in members.items():
-        out = MD.score(out, m, name)
-    out = MD.blend(out, {"model_precision": 0.408, "model_recall": 0.402, "model_balanced": 0.190}, "p")
+        out = MD.score(out, m.model, name)
+    return MD.blend(out, BLEND, "p"), members
+
+
+@register("m1_m2_m4_gbt_blend")
+def q_gbt(spark, sf_dir):
+    """M1 + M2 + M4 + A2: three weighted boosted-tree members that stop 50 rounds after their best validation round (up to
+    1000 rounds), blended scores on all rows."""
+    out, members = member_scores(spark, sf_dir)
     return normalize(out.select("ts", "split", "Storm", *members, "p"))
 
 
+@register("m2_m9_m12_invariants", O.norm(
+    P("s AS (SELECT " + SPLIT_SQL + " AS split, count(*) AS n FROM cleaned GROUP BY 1)", clean=True)
+    + "SELECT split AS subject, 'rows scored' AS fact, n AS value FROM s UNION ALL SELECT * FROM (VALUES "
+      "('members', 'scores outside 0 and 1', 0), ('members', 'blends outside their members', 0), "
+      "('members', 'stopped later than patience after the best round', 0), ('importance', 'features', 13), "
+      "('importance', 'per mille in all', 1000), ('stacking', 'scores outside 0 and 1', 0), "
+      "('stacking', 'inputs missing', 0)) AS t(subject, fact, value)", "subject:s fact:s value:i"))
+def q_invariants(spark, sf_dir):
+    """M2, M4, M9, M11 and M12 on short fits: facts that hold for any right fit, counted over all rows."""
+    out, members = member_scores(spark, sf_dir, maxIter=20, patience=5)
+    out = MD.cut_lineage(out)
+    names = list(members)
+    outside = F.greatest(*names) > 1, F.least(*names) < 0
+    late = sum(m.ended > m.best + 5 or len(m.losses) > 20 for m in members.values())
+    facts = out.agg(F.count(F.when(outside[0] | outside[1], 1)).alias("a"),
+                    F.count(F.when((F.col("p") > F.greatest(*names) + 1e-9) | (F.col("p") < F.least(*names) - 1e-9), 1)).alias("b")).first()
+    imp = MD.importance(members["model_balanced"].model, MODEL_FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("importance").alias("s")).first()
+    s = Series(keys=("split",), order=("ts", "seq"), block_rows=DEMO_BLOCK_ROWS)
+    meta = MD.meta_features(out.select("ts", "seq", "split", "Storm", "weight", "p", *MODEL_FEATURES[:2]), s, "p", MODEL_FEATURES[:2])
+    cols = ["meta_p", "meta_conf", *[f"{c}_roll24" for c in MODEL_FEATURES[:2]]]
+    meta = MD.cut_lineage(meta)
+    lr = MD.fit_logistic(meta.where(F.col("split") == "train"), cols, "Storm", 1.0, "weight")
+    stacked = MD.score(meta, lr, "pm").agg(F.count(F.when(~F.col("pm").between(0, 1), 1)).alias("a"),
+                                           F.count(F.when(F.greatest(*[F.col(c).isNull() for c in cols]), 1)).alias("b")).first()
+    rows = [("members", "scores outside 0 and 1", facts["a"]), ("members", "blends outside their members", facts["b"]),
+            ("members", "stopped later than patience after the best round", late), ("importance", "features", imp["n"]),
+            ("importance", "per mille in all", round(1000 * imp["s"])), ("stacking", "scores outside 0 and 1", stacked["a"]),
+            ("stacking", "inputs missing", stacked["b"])]
+    counted = out.groupBy(F.col("split").alias("subject")).agg(F.lit("rows scored").alias("fact"), F.count(F.lit(1)).alias("value"))
+    return normalize(counted.unionByName(spark.createDataFrame(rows, "subject string, fact string, value long")))
+
+
 @register("m9_importance")
 def q_importance(spark, sf_dir):
     """M9: normalised feature importances of one boosted-tree model."""
@@ -65,11 +128,10 @@ def q_importance(spark, sf_dir):
 
 @register("m8_param_search")
 def q_param_search(spark, sf_dir):
-    """M8: validation AUC of a small parameter grid."""
-    scaled, feats, _w = prepared(spark, sf_dir)
-    tr, va = scaled.where(F.col("split") == "train"), scaled.where(F.col("split") == "validation")
-    grid = [{"maxIter": 5, "maxDepth": 3}, {"maxIter": 8, "maxDepth": 4}]
-    return normalize(MD.search_params(tr, va, feats, "Storm", grid))
+    """M8: 20 settings by successive halving over boosting rounds, the last one to its early stop."""
+    scaled, feats, weights = prepared(spark, sf_dir)
+    data = N.with_weights(scaled, weights, "Storm").where(F.col("split") != "test")
+    return normalize(MD.search_params(data, feats, "Storm", held(), MD.search_settings(), "weight"))
 
 
 @register("m11_m12_stacking")

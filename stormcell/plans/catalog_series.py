@@ -11,7 +11,7 @@ from ..operators import labels as LB
 from ..operators import quality as Q
 from ..operators import splits as T
 from ..operators import windows as WN
-from ..operators.series import Series, hourly_spine, window_apply
+from ..operators.series import Series, hourly_spine, window_apply, with_positions
 from ..sources import files as SRC
 from . import fixtures as FX
 from . import oracle as O
@@ -339,12 +339,13 @@ def q_sample(spark, sf_dir):
 
 
 @register("t8_shuffle", O.norm(
-    f"SELECT event_id, ((event_id + 7) * {MULT}) % 4294967296 AS shuffle_key FROM events",
-    "event_id:i shuffle_key:i"))
+    f"SELECT event_id, ((event_id + 7) * {MULT}) % 4294967296 AS shuffle_key, row_number() OVER (ORDER BY "
+    f"((event_id + 7) * {MULT}) % 4294967296, event_id) - 1 AS position FROM events", "event_id:i shuffle_key:i position:i"))
 def q_shuffle(spark, sf_dir):
-    """Seeded shuffle order key."""
-    d = T.shuffle(FX.table(spark, sf_dir, "events"), 7, "event_id", method="mult")
-    return normalize(d.select("event_id", "shuffle_key"))
+    """Seeded shuffle order key, and the place that it gives to each row."""
+    d = T.shuffle(FX.table(spark, sf_dir, "events").select("event_id"), 7, "event_id", method="mult")
+    d = with_positions(d, Series(order=("shuffle_key", "event_id")), "position")
+    return normalize(d.select("event_id", "shuffle_key", "position"))
 
 
 @register("t10_consecutive_breach", O.norm(
@@ -443,6 +444,9 @@ def q_backfill(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ sources over the driver tables
+from ..streaming.streams import scratch  # noqa: E402
+
+
 @register("s8_profile", O.norm(
     P() + f"SELECT count(*) AS rows, {len(PANEL_COLS)} AS columns, min(ts) AS first_ts, max(ts) AS last_ts, "
           f"sum({_nulls(PANEL_COLS)}) AS missing FROM panel", "rows:i columns:i first_ts:t last_ts:t missing:i"))
@@ -455,18 +459,22 @@ def q_profile(spark, sf_dir):
     "SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate, year(l_shipdate) AS ship_year FROM lineitem",
     "l_orderkey:i l_linenumber:i l_quantity:d l_shipdate:t ship_year:i"))
 def q_union(spark, sf_dir):
-    """Per-year parts tagged, bag union, fixed column subset, dropped columns."""
-    li = FX.table(spark, sf_dir, "lineitem").withColumn("ship_year", F.year("l_shipdate"))
-    years = [r["ship_year"] for r in li.select("ship_year").distinct().collect()]  # one row per year (and NULL)
-    parts = [SRC.tag(li.where(F.col("ship_year").eqNullSafe(F.lit(y))), "ship_year", F.lit(y).cast("int")) for y in years]
-    u = SRC.union_all(parts)
+    """S11-S14 + S9: lineitem written as one folder per year, the folders read as one tagged bag by one scan, fixed column
+    subset, dropped columns."""
+    li = FX.table(spark, sf_dir, "lineitem").withColumn("part", F.year("l_shipdate"))
+    path = scratch(spark, "years")
+    SRC.write_parquet(li, path, partition_by=["part"])
+    years = [r["y"] for r in li.groupBy(F.col("part").alias("y")).count().select("y").collect()]  # one row per year (and NULL)
+    parts = [f"{path}/part={'__HIVE_DEFAULT_PARTITION__' if y is None else y}" for y in years]
+    if not parts:
+        return normalize(li.selectExpr("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "part AS ship_year"))
+    u = SRC.read_tagged(spark, parts, "ship_year", years)
     u = SRC.drop_if_present(u, ["l_comment", "l_tax", "l_discount"])
-    return normalize(u.select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "ship_year"))
+    return normalize(SRC.select_columns(u, ["l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "ship_year"]))
 
 
 # ------------------------------------------------------------------ text ingest over Spark-written text
 from ..sources import text as TX  # noqa: E402
-from ..streaming.streams import scratch  # noqa: E402
 
 MISSING_CODE = "99999.9"
 
@@ -483,11 +491,15 @@ def _sentinel_sql(c: str) -> str:
 def q_text_ingest(spark, sf_dir):
     """The raw series written by Spark as whitespace text (missing -> sentinel code,
     repeated hours with a corrupt field), read back: parse, reject, sentinels, time parts, timestamp."""
-    r = raw(spark, sf_dir)
+    rows, _rejects = TX.ingest(spark, write_text(spark, raw(spark, sf_dir)))
+    return normalize(rows.select("ts", *TX.RAW_NAMES))
+
+
+def write_text(spark, r) -> str:
+    """The raw series as whitespace text below a fresh folder; repeated hours have a field that does not parse."""
     hour = F.when(F.col("seq") == 1, F.lit("n/a")).otherwise(F.col("Hour").cast("string"))
     fields = [F.col("Year").cast("string"), F.col("Day").cast("string"), hour]
     fields += [F.coalesce(F.col(c).cast("string"), F.lit(MISSING_CODE)) for c in TX.RAW_NAMES[3:]]
     path = scratch(spark, "text")
     r.select(F.concat_ws("   ", *fields).alias("value")).write.text(path)
-    rows, _rejects = TX.ingest(spark, path)
-    return normalize(rows.select("ts", *TX.RAW_NAMES))
+    return path

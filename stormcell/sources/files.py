@@ -9,9 +9,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 
-def read_tagged(spark: SparkSession, paths: Sequence[str], tag_col: str, tags: Sequence[str]) -> DataFrame:
-    """One Parquet input per part, rows tagged with the part's name; S12 bag union."""
-    return union_all([tag(spark.read.parquet(p), tag_col, t) for p, t in zip(paths, tags)])
+def _plain(path: Column) -> Column:
+    """A file's path without scheme and authority, decoded."""
+    return F.url_decode(F.regexp_replace(F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), r"\+", "%2B"))
+
+
+def read_tagged(spark: SparkSession, paths: Sequence[str], tag_col: str, tags: Sequence) -> DataFrame:
+    """S11 + S12: Parquet files or folders, one per part, read as one bag by one scan; every row is tagged with the tag of its
+    part, found by its file's path (the file itself or the folder it lies in).  Columns that a part lacks are null."""
+    import re
+    known = {re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", p).rstrip("/"): t for p, t in zip(paths, tags)}
+    if len(known) != len(paths):
+        raise ValueError("parts repeat a path")
+    by_path = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    file = _plain(F.col("_metadata.file_path"))
+    df = spark.read.option("mergeSchema", "true").parquet(*paths)
+    found = F.coalesce(F.try_element_at(by_path, file), F.try_element_at(by_path, F.regexp_replace(file, "/[^/]*$", "")))
+    return df.withColumn(tag_col, found)
 
 
 def tag(df: DataFrame, tag_col: str, value) -> DataFrame:

@@ -26,6 +26,13 @@ def read_whitespace(spark: SparkSession, path: str, names: Sequence[str] = RAW_N
                     types: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """S1 + S7: (rows, rejects).  A line is rejected when it has too few fields or a field
     that does not parse; other lines in the same file go on."""
+    d = parse_whitespace(spark, path, names, types)
+    return d.where(~F.col("rejected")).select(*names), d.where("rejected").select("file", "line")
+
+
+def parse_whitespace(spark: SparkSession, path: str, names: Sequence[str] = RAW_NAMES,
+                     types: Mapping[str, str] | None = None) -> DataFrame:
+    """Every line with its fields by name, its file, and whether it is rejected."""
     types = dict(types or {})
     lines = spark.read.text(path).withColumn("_file", F.input_file_name())
     parts = F.split(F.trim(F.col("value")), r"\s+")
@@ -38,10 +45,7 @@ def read_whitespace(spark: SparkSession, path: str, names: Sequence[str] = RAW_N
         val = F.expr(f"try_cast(_parts[{i}] AS {typ})")
         bad = bad | (raw.isNotNull() & val.isNull())
         cols.append(val.alias(n))
-    d = d.withColumn("_bad", bad)
-    rows = d.where(~F.col("_bad")).select(*cols)
-    rejects = d.where(F.col("_bad")).select(F.col("_file").alias("file"), F.col("value").alias("line"))
-    return rows, rejects
+    return d.select(*cols, F.coalesce(bad, F.lit(True)).alias("rejected"), F.col("_file").alias("file"), F.col("value").alias("line"))
 
 
 def null_sentinels(df: DataFrame, sentinels: Mapping[str, Sequence[float]] | Sequence[float] = SENTINELS,
@@ -76,6 +80,24 @@ def to_ts(year="Year", doy="Day", hour="Hour") -> Column:
     return F.when(ok, jan1 + F.make_dt_interval(d - 1, h))
 
 
+def ingest_written(spark: SparkSession, path: str, out: str, names: Sequence[str] = RAW_NAMES) -> tuple[DataFrame, DataFrame, dict]:
+    """S1-S7 with a report, in one pass over the text: rows and rejected lines are written side by side below ``out``, and the
+    counts (lines, rejected lines, missing cells after the sentinels) are observed while they are written.
+    Returns (rows, rejects, counts)."""
+    from pyspark.sql import Observation
+    spec, seen = parse_whitespace(spark, path, names, NARROW_TYPES), Observation("ingest")
+    d = null_sentinels(spec, cols=[n for n in names if n not in TIME_PARTS])
+    values = [n for n in names if n not in TIME_PARTS]
+    cells = sum((F.when(~F.col("rejected") & F.col(n).isNull(), 1).otherwise(0) for n in values), F.lit(0))
+    d = d.observe(seen, F.count(F.lit(1)).alias("lines"), F.sum(F.col("rejected").cast("long")).alias("rejects"),
+                  F.sum(cells).alias("missing"))
+    d.write.mode("overwrite").partitionBy("rejected").parquet(out)
+    counts = {k: v or 0 for k, v in seen.get.items()}
+    back = spark.read.schema(d.schema).parquet(out)
+    rows = narrow_time_parts(drop_missing_time(back.where(~F.col("rejected")).select(*names))).withColumn("ts", to_ts())
+    return rows, back.where("rejected").select("file", "line"), counts
+
+
 def ingest(spark: SparkSession, path: str, names: Sequence[str] = RAW_NAMES) -> tuple[DataFrame, DataFrame]:
     """S1-S7 composed: parse, sentinels -> NULL, drop rows without time parts, narrow, timestamp."""
     rows, rejects = read_whitespace(spark, path, names, NARROW_TYPES)  # a part out of its type's range is a reject
