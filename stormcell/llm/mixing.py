@@ -15,7 +15,8 @@ block at the row where the budget is met.  So a source is never sorted in one ta
 a window runs over blocks, and only the cutting block's rows are looked at one by one.  One row per source says where it is cut.
 
 A null source is a source of its own.  Empty documents have no tokens and go where their block goes.  Rows that share a
-doc_id share a place.  Empty table: no rows.  All columns are kept; the output adds ``mix_epoch``, ``mix_block``, ``mix_place``.
+doc_id share a place.  Empty table: no rows.  All columns are kept; the output adds ``mix_epoch``, ``mix_block``, ``mix_place``,
+which replace columns of these names.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut, ship
+from ..operators.running import running_totals
+from .common import cut, join_hot_keys, ship
 
 BLOCK_TOKENS = 200_000
+BROADCAST_SOURCES = 200_000  # rows of a plan (one per source, some 60 bytes) that are sent to every task
 STEPS = 4      # sections of the search, each with POINTS candidates
 POINTS = 32
 REPEAT_LIMIT = 1.5
@@ -45,9 +48,9 @@ def bpe_tokens(spark: SparkSession, tokenizer: str, text: str = "text") -> Colum
     def count(texts):
         import pandas as pd
 
-        from .packing import id_counts
-        counts = id_counts(tokenizer)
-        return pd.Series([counts.of((x or b"").decode("utf-8", "replace")) for x in texts], dtype="int64")
+        from .packing import encoder
+        count = encoder(tokenizer).count
+        return pd.Series([count((x or b"").decode("utf-8", "replace")) for x in texts], dtype="int64")
     return count(F.col(text).cast("binary"))
 
 
@@ -88,6 +91,14 @@ def exponent(shares: DataFrame, target_entropy: float | None = None, repeat_limi
     return max(found, default=1.0)
 
 
+def _with_plan(rows: DataFrame, plan: DataFrame, key: str) -> DataFrame:
+    """Rows with their source's plan: rows are not moved, the plan is broadcast after its rows are counted; with more sources only
+    those of less than a thousandth of the rows are joined by key."""
+    if plan.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(plan), key)
+    return join_hot_keys(rows, plan, key)
+
+
 def plan(docs: DataFrame, tokens: Column, source: str = "source", target_entropy: float | None = None,
          repeat_limit: float | None = REPEAT_LIMIT, budget: int | None = None, seed: int = 1) -> DataFrame:
     """(key, epochs, blocks, cut_block, cut_place): per source its whole epochs and where the partial one ends."""
@@ -109,15 +120,16 @@ def plan(docs: DataFrame, tokens: Column, source: str = "source", target_entropy
     per_source = cut(w.select("key", "t", F.floor(ratio).cast("long").alias("epochs"),
                               F.floor((ratio - F.floor(ratio)) * F.col("t")).cast("long").alias("rest"),
                               F.greatest(F.lit(1), F.ceil(F.col("t") / BLOCK_TOKENS)).cast("long").alias("blocks")))
-    placed = _placed(small.join(per_source.where("rest > 0"), "key"), F.col("epochs"), seed)
-    sums = placed.groupBy("key", "mix_block", "rest").agg(F.sum("tokens").alias("n"))
-    ahead = Window.partitionBy("key").orderBy("mix_block").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("upto", F.sum("n").over(ahead))
+    placed = _placed(_with_plan(small, per_source.where("rest > 0"), "key"), F.col("epochs"), seed)
+    # a source's blocks are summed up over ranges of (source, block), however many blocks it has
+    sums = running_totals(placed.groupBy("key", "mix_block").agg(F.max("rest").alias("rest"), F.sum("tokens").alias("n")),
+                          ["key"], "mix_block", ["n"]).withColumn("upto", F.col("_before_n") + F.col("n"))
     last = (sums.where("upto > rest").groupBy("key").agg(F.min_by(F.struct("mix_block", (F.col("upto") - F.col("n")).alias("before")),
                                                                   "mix_block").alias("c"))
             .select("key", F.col("c.mix_block").alias("cut_block"), F.col("c.before").alias("before")))
     inside = Window.partitionBy("key").orderBy("mix_place").rangeBetween(Window.unboundedPreceding, 0)
-    edge = (placed.join(last, "key").where("mix_block = cut_block").withColumn("upto", F.col("before") + F.sum("tokens").over(inside))
+    last = cut(last)
+    edge = (_with_plan(placed, last, "key").where("mix_block = cut_block").withColumn("upto", F.col("before") + F.sum("tokens").over(inside))
             .where("upto <= rest").groupBy("key").agg(F.max("mix_place").alias("cut_place")))
     known = per_source.join(last.select("key", "cut_block"), "key", "left").join(edge, "key", "left")
     empty = totals.where("t = 0").select("key", F.lit(1).cast("long"), F.lit(1).cast("long"), F.lit(None).cast("long"),
@@ -125,25 +137,32 @@ def plan(docs: DataFrame, tokens: Column, source: str = "source", target_entropy
     return known.select("key", "epochs", "blocks", "cut_block", "cut_place").union(empty)
 
 
-def _placed(df: DataFrame, epoch: Column, seed: int) -> DataFrame:
-    """Add the row's block and place in the permutation of an epoch (needs ``blocks``)."""
+def _placed(df: DataFrame, epoch: Column, seed: int, blocks: str = "blocks") -> DataFrame:
+    """Add the row's block and place in the permutation of an epoch; ``blocks`` names the number of blocks of its source."""
     h = F.xxhash64(F.col("doc_id").cast("long"), epoch, F.lit(seed))
-    return df.withColumn("mix_block", F.pmod(h, F.col("blocks"))).withColumn("mix_place", F.xxhash64(h, F.lit(seed)))
+    return df.withColumn("mix_block", F.pmod(h, F.col(blocks))).withColumn("mix_place", F.xxhash64(h, F.lit(seed)))
 
 
 def mix(docs: DataFrame, tokens: Column | None = None, source: str = "source", seed: int = 1, **targets) -> DataFrame:
     """The documents, each as often as its source's budget asks, with mix_epoch, mix_block and mix_place (sort by these three
     for the training order)."""
     tokens = word_count() if tokens is None else tokens
-    p = cut(plan(docs, tokens, source, seed=seed, **targets))
-    key = F.coalesce(F.col(source).cast("string"), F.lit("\u0000"))
-    p = p.withColumnRenamed("key", "__key")
-    rows = docs.withColumn("__k", key).join(p, F.col("__k") == F.col("__key"))
-    part = _placed(rows, F.col("epochs"), seed)
-    in_part = F.coalesce((F.col("mix_block") < F.col("cut_block"))
-                         | ((F.col("mix_block") == F.col("cut_block")) & (F.col("mix_place") <= F.col("cut_place"))), F.lit(False))
-    copies = (F.col("epochs") + in_part.cast("long")).cast("int")
+    names = {"key": "__key", "epochs": "__epochs", "blocks": "__blocks", "cut_block": "__cut_block", "cut_place": "__cut_place"}
+    p = cut(plan(docs, tokens, source, seed=seed, **targets).withColumnsRenamed(names))
+    kept = [c for c in docs.columns if c not in ("mix_epoch", "mix_block", "mix_place")]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("__key", F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("\u0000")))
+    part = _placed(_with_plan(rows, p, "__key"), F.col("__epochs"), seed, "__blocks")
+    in_part = F.coalesce((F.col("mix_block") < F.col("__cut_block"))
+                         | ((F.col("mix_block") == F.col("__cut_block")) & (F.col("mix_place") <= F.col("__cut_place"))), F.lit(False))
+    copies = F.col("__epochs") + in_part.cast("long")
     out = part.withColumn("__n", copies).where("__n > 0").drop("mix_block", "mix_place")
     out = out.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n").cast("long") - 1)))
-    out = _placed(out, F.col("mix_epoch"), seed)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_epoch", "mix_block", "mix_place")
+    out = _placed(out, F.col("mix_epoch"), seed, "__blocks")
+    return out.select(*[F.col(f"`{c}`") for c in kept], "mix_epoch", "mix_block", "mix_place")
+
+
+def in_order(mixed: DataFrame) -> DataFrame:
+    """The mixed rows in the order of the mix: ranges of (mix_epoch, mix_block, mix_place), each sorted, so that the files of a
+    table written from it are the training order."""
+    by = ["mix_epoch", "mix_block", "mix_place"]
+    return mixed.repartitionByRange(*by).sortWithinPartitions(*by)

@@ -26,11 +26,7 @@ from .common import cut, map_batches, release, text_bytes, to_batch
 CAPACITY = 2048
 END_ID = 0
 PIECES_PER_BLOCK = 200_000   # expected pieces per ranking block over all lengths
-_KNOWN_PARTS = 150_000
-_KNOWN_PRE_TOKENS = 250_000
-_KNOWN_COUNTS = 400_000
 _ENCODERS: dict[str, "Encoder"] = {}
-_COUNTS: dict[str, "IdCounts"] = {}
 
 
 def _byte_letters() -> list[str]:
@@ -41,103 +37,60 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def _ranked(path: str):
+    """The vocabulary of a byte-level BPE file as ranks, where its merges are in the order of their ids (else None): then
+    merging by rank gives the ids that merging by the list gives."""
+    import json
+
+    import public_tokenizers
+    import tiktoken
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, added = spec["model"], {t["content"] for t in spec.get("added_tokens", ())}
+    if model.get("type", "BPE") != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer"):
+        return None
+    of = {c: b for b, c in enumerate(_byte_letters())}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in added}
+    if not all(set(t) <= of.keys() for t in vocab):
+        return None
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if None in made or made != sorted(made) or spec["pre_tokenizer"].get("add_prefix_space"):
+        return None
+    ranks = {bytes(of[c] for c in t): i for t, i in vocab.items()}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes, through a byte-level BPE of the tokenizers library.
+    """Token ids of texts as little-endian 32-bit bytes, as the tokenizers library gives them for the file, special tokens'
+    strings in a text included.
 
-    A byte-level pre-token never crosses a space that a non-space follows, so such texts are cut at spaces; the ids of
-    the parts and of their pre-tokens are kept (bounded).  Other texts are encoded whole.
+    Texts of ordinary characters without such strings take a quicker encoder of the same ranks; others go through the
+    library itself.  Nothing is kept from text to text.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import re
 
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.letters = dict(enumerate(_byte_letters()))
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, bytes] = {}
-        self.pre_tokens: dict[str, bytes] = {}
-        self.uneven = re.compile(r" (?=\s)| \Z")
-        self.unusual = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u024f]")  # letter classes may differ between libraries
+        self.ranked = _ranked(path)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # letter classes may differ between libraries beyond these
+        self.unusual = re.compile("|".join(["[^\t\n\r\x20-\x7e\u00a1-\u024f]", *map(re.escape, added)]))
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def part(self, text: str) -> bytes:
-        """Ids of a short text by its pre-tokens."""
-        if self.unusual.search(text):
-            return self.raw(text)
-        out = []
-        for w in self.split(text):
-            ids = self.pre_tokens.get(w)
-            if ids is None:
-                if len(self.pre_tokens) > _KNOWN_PRE_TOKENS:
-                    self.pre_tokens.clear()
-                found = self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(self.letters))
-                ids = self.pre_tokens[w] = np.array([t.id for t in found], "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
-
     def __call__(self, text: str) -> bytes:
-        if not text or self.uneven.search(text):
-            return self.raw(text) if text else b""
-        known = self.known
-        if len(known) > _KNOWN_PARTS:
-            known.clear()
-        head, *parts = text.split(" ")
-        out = [self.raw(head)] if head else []
-        for p in parts:
-            ids = known.get(p)
-            if ids is None:
-                ids = known[p] = self.part(" " + p)
-            out.append(ids)
-        return b"".join(out)
-
-
-class IdCounts(dict):
-    """Part of a text -> number of its ids with the space before it; ``of`` counts a text as ``Encoder`` encodes it."""
+        if not text:
+            return b""
+        if self.ranked is None or self.unusual.search(text):
+            return self.raw(text)
+        return np.asarray(self.ranked.encode_ordinary(text), "<u4").tobytes()
 
-    def __init__(self, path: str):
-        self.encoder = encoder(path)
-        self.pre_tokens: dict[str, int] = {}
-
-    def raw(self, text: str) -> int:
-        return len(self.encoder.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def __missing__(self, part: str) -> int:
-        if len(self) > _KNOWN_COUNTS:
-            self.clear()
-        enc, text, n = self.encoder, " " + part, 0
-        if enc.unusual.search(text):
-            n = self.raw(text)
-        else:
-            for w in enc.split(text):
-                k = self.pre_tokens.get(w)
-                if k is None:
-                    if len(self.pre_tokens) > _KNOWN_COUNTS:
-                        self.pre_tokens.clear()
-                    k = len(enc.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(enc.letters)))
-                    self.pre_tokens[w] = k
-                n += k
-        self[part] = n
-        return n
-
-    def of(self, text: str) -> int:
-        if not text or self.encoder.uneven.search(text):
-            return self.raw(text) if text else 0
-        head, *parts = text.split(" ")
-        return (self.raw(head) if head else 0) + sum(map(self.__getitem__, parts))
-
-
-def id_counts(path: str) -> IdCounts:
-    """One counter per Python worker and vocabulary file."""
-    if path not in _COUNTS:
-        _COUNTS[path] = IdCounts(path)
-    return _COUNTS[path]
+    def count(self, text: str) -> int:
+        return len(self(text)) // 4
 
 
 def encoder(path: str) -> Encoder:
@@ -227,7 +180,7 @@ def assign(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces (a table that was cut off from its lineage)."""
     total = cut_pieces.count()
     blocks = max(1, total // PIECES_PER_BLOCK)
-    keyed = cut_pieces.withColumn("__block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    keyed = cut_pieces.withColumn("__block", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(blocks)))
     counts = cut(keyed.groupBy("length", "__block").agg(F.count(F.lit(1)).alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = plan_slots(best_two_fit(histogram, capacity))

@@ -19,7 +19,8 @@ as a window of a document with a smaller doc_id.
 
 Documents without a recurring anchor cannot hold a recurring window and need no streaming.  Nothing is capped: hot anchors
 only take another way to the same answer.  Null or blank texts have no window.  Rows without doc_id are never compared and
-keep all words.  Rows that repeat a doc_id are one document (equal ids are not smaller).  Other columns are kept.
+keep all words.  Rows that repeat a doc_id are not compared with each other (equal ids are not smaller); different texts of one
+id are told apart by their content.  Other columns are kept.
 """
 
 from __future__ import annotations
@@ -32,20 +33,39 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from .common import (U64, cut, groups, map_batches, ngram_hashes, release, sliding_min, text_bytes, to_batch, word_hashes,
-                     words_of)
+from .common import (U64, cut, groups, map_batches, ngram_hashes, release, ship, sliding_min, to_batch, word_hashes, words_of)
 
 WINDOW = 50
 PHRASE = 25
 HOT_OCCURRENCES = 4096
+BROADCAST_IDS = 1_000_000  # doc_ids with different texts that are sent to every task
 SHARD_WORDS = 400_000
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """Add ``__copy``: 0, or a hash of the text where other texts have the row's doc_id too.  Spans belong to a doc_id and such a hash,
+    so what is found in one text never cuts another one of the same id."""
+    here = F.xxhash64(F.col("text").cast("binary"))
+    ids = (docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__of")).agg(F.min(here).alias("a"), F.max(here).alias("b"))
+           .where("a <> b").select("__of"))
+    ids = cut(ids)
+    n = ids.count()
+    if not n:
+        return docs.withColumn("__copy", F.lit(0).cast("long"))
+    rows = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col("doc_id").cast("long") == F.col("__of"), "left")
+    return rows.withColumn("__copy", F.when(F.col("__of").isNotNull(), here).otherwise(0)).drop("__of")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text as bytes, __copy) of rows that are told apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "__copy")
+
+
 def window_runs(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """(anchor, doc_id, start, n, at): ``n`` windows from word ``start`` share the anchor; a phrase lies at word ``at``."""
+    """(anchor, doc_id, copy, start, n, at): ``n`` windows from word ``start`` share the anchor; a phrase lies at word ``at``."""
     def runs(b):
-        cols = [[], [], [], [], []]
-        for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        cols = [[], [], [], [], [], []]
+        for i, data, copy in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             words = words_of(data)
             if i is None or len(words) < window:
                 continue
@@ -55,12 +75,13 @@ def window_runs(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) ->
             n = np.diff(np.r_[start, len(least)])
             last = start + n - 1
             at = np.array([s + int(np.argmin(g[s:s + window - phrase + 1])) for s in last.tolist()], np.int64)
-            for c, x in zip(cols, (least[start].view(np.int64), np.full(len(start), i, np.int64), start, n, at)):
+            for c, x in zip(cols, (least[start].view(np.int64), np.full(len(start), i, np.int64),
+                                   np.full(len(start), copy, np.int64), start, n, at)):
                 c.append(x)
         if cols[0]:
             yield to_batch(schema, map(np.concatenate, cols))
-    schema = "anchor long, doc_id long, start int, n int, at int"
-    return map_batches(text_bytes(docs), runs, schema, text="text")
+    schema = "anchor long, doc_id long, copy long, start int, n int, at int"
+    return map_batches(_texts(docs), runs, schema, text="text")
 
 
 def recurring_runs(runs: DataFrame) -> DataFrame:
@@ -71,27 +92,25 @@ def recurring_runs(runs: DataFrame) -> DataFrame:
 
 
 def _segments(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
-    """(anchor, salt, salts, doc_id, start, at, seg): the words of each recurring run, joined by one space."""
-    per_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "salts", "start", "n", "at")).alias("runs"))
-    both = text_bytes(docs).where("doc_id is not null").join(per_doc, "doc_id")
+    """(anchor, salt, salts, doc_id, copy, start, at, seg): the words of each recurring run, joined by one space."""
+    per_doc = marks.groupBy("doc_id", F.col("copy").alias("__copy")).agg(
+        F.collect_list(F.struct("anchor", "salts", "start", "n", "at")).alias("runs"))
+    both = _texts(docs).where("doc_id is not null").join(per_doc, ["doc_id", "__copy"]).select("doc_id", "text", "__copy", "runs")
 
     def segments(b):
-        cols = [[] for _ in range(7)]
-        for i, data, marked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        cols = [[] for _ in range(8)]
+        for i, data, copy, marked in zip(*(b.column(k).to_pylist() for k in range(4))):
             words = words_of(data)
-            for r in marked:
-                s = r["start"]
-                if s + r["n"] + window - 1 > len(words):
-                    continue  # a mark of another row with this doc_id
-                for c, x in zip(cols, (r["anchor"], (i * 0x9E3779B1 >> 7) % r["salts"], r["salts"], i, s, r["at"] - s,
-                                       b" ".join(words[s:s + r["n"] + window - 1]))):
+            # rows that repeat an id and its text have their marks repeated too
+            for anchor, salts, s, n, at in dict.fromkeys((r["anchor"], r["salts"], r["start"], r["n"], r["at"]) for r in marked):
+                for c, x in zip(cols, (anchor, (i * 0x9E3779B1 >> 7) % salts, salts, i, copy, s, at - s, b" ".join(words[s:s + n + window - 1]))):
                     c.append(x)
                 if len(cols[0]) >= 20_000:
                     yield to_batch(schema, cols)
-                    cols = [[] for _ in range(7)]
+                    cols = [[] for _ in range(8)]
         if cols[0]:
             yield to_batch(schema, cols)
-    schema = "anchor long, salt int, salts int, doc_id long, start int, at int, seg binary"
+    schema = "anchor long, salt int, salts int, doc_id long, copy long, start int, at int, seg binary"
     return map_batches(both, segments, schema, text="text")
 
 
@@ -111,7 +130,7 @@ def _locate(segs: list[tuple], window: int, phrase: int):
     The segments are streamed as one sequence of word numbers with a 0 between them, which no phrase holds."""
     number: dict[bytes, int] = {b" ": 0}
     ids, start, phrases = [], [], {}
-    for anchor, doc, _, at, seg in segs:
+    for anchor, at, seg in segs:
         start.append(len(ids))
         ids += [number.setdefault(x, len(number)) for x in seg.split(b" ")]
         first = start[-1] + at
@@ -138,16 +157,16 @@ def _locate(segs: list[tuple], window: int, phrase: int):
     return anchor[k], h, k, at - start[k]
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, window: int):
-    """Merge window starts of (doc, start), sorted, into (doc, first word, end) spans."""
+def _spans(doc: np.ndarray, copy: np.ndarray, start: np.ndarray, window: int):
+    """Merge window starts of (doc, copy, start), sorted, into (doc, copy, first word, end) spans."""
     if not len(doc):
-        return doc, start, start
-    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)])
+        return doc, copy, start, start
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (start[1:] > start[:-1] + 1)])
     last = np.r_[new[1:], len(doc)] - 1
-    return doc[new], start[new], start[last] + window
+    return doc[new], copy[new], start[new], start[last] + window
 
 
-_FOUND = "doc_id long, start int, stop int, window long, least long"
+_FOUND = "doc_id long, copy long, start int, stop int, window long, least long"
 
 
 def _shards(segments: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -155,21 +174,20 @@ def _shards(segments: DataFrame, window: int, phrase: int) -> DataFrame:
     rows = segments.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
 
     def settle(segs, salted):
-        which, h, k, off = _locate([s[:5] for s in segs], window, phrase)
-        doc = np.array([s[1] for s in segs], np.int64)[k]
-        start = np.array([s[2] for s in segs], np.int64)[k] + off
+        which, h, k, off = _locate([(s[0], s[4], s[5]) for s in segs], window, phrase)
+        doc, copy = (np.array([s[j] for s in segs], np.int64)[k] for j in (1, 2))
+        start = np.array([s[3] for s in segs], np.int64)[k] + off
         order = np.lexsort((doc, h, which))
-        which, h, doc, start = which[order], h[order], doc[order], start[order]
+        which, h, doc, copy, start = which[order], h[order], doc[order], copy[order], start[order]
         first = np.r_[True, (which[1:] != which[:-1]) | (h[1:] != h[:-1])] if len(h) else np.empty(0, bool)
         least = doc[np.flatnonzero(first)][np.cumsum(first) - 1] if len(h) else doc
         if salted:
-            arrays = [doc, start, start + window, h.view(np.int64), least]
+            arrays = [doc, copy, start, start + window, h.view(np.int64), least]
         else:
             hit = least < doc
-            doc, start = doc[hit], start[hit]
-            order = np.lexsort((start, doc))
-            d, a, z = _spans(doc[order], start[order], window)
-            arrays = [d, a, z, None, None]
+            doc, copy, start = doc[hit], copy[hit], start[hit]
+            order = np.lexsort((start, copy, doc))
+            arrays = [*_spans(doc[order], copy[order], start[order], window), None, None]
         return to_batch(_FOUND, arrays)
 
     def run(batches):
@@ -177,13 +195,13 @@ def _shards(segments: DataFrame, window: int, phrase: int) -> DataFrame:
         for (anchor, _), part in groups(batches, ["anchor", "salt"]):
             segs, salted = [], False
             for r in part:
-                segs.append((anchor, r["doc_id"], r["start"], r["at"], r["seg"]))
+                segs.append((anchor, r["doc_id"], r["copy"], r["start"], r["at"], r["seg"]))
                 salted = r["salts"] > 1
             if salted:
                 yield settle(segs, True)
                 continue
             held += segs
-            size += sum(s[4].count(b" ") + 1 for s in segs)
+            size += sum(s[5].count(b" ") + 1 for s in segs)
             if size >= SHARD_WORDS:
                 yield settle(held, False)
                 held, size = [], 0
@@ -194,7 +212,8 @@ def _shards(segments: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """(doc_id, spans): word spans [start, stop) of each document that repeat a document with a smaller doc_id."""
+    """(doc_id, copy, spans): word spans [start, stop) of each document that repeat a document with a smaller doc_id; ``docs``
+    are told apart."""
     spark = docs.sparkSession
     runs = window_runs(docs, window, phrase).persist(StorageLevel.DISK_ONLY)
     marks = cut(recurring_runs(runs))
@@ -204,9 +223,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     release(spark)
     salted = found.where("window is not null")
     least = salted.groupBy("window").agg(F.min("least").alias("of_all"))
-    late = salted.join(least, "window").where("of_all < doc_id").select("doc_id", "start", "stop")
-    spans = found.where("window is null").select("doc_id", "start", "stop").union(late)
-    return cut(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
+    late = salted.join(least, "window").where("of_all < doc_id").select("doc_id", "copy", "start", "stop")
+    spans = found.where("window is null").select("doc_id", "copy", "start", "stop").union(late)
+    return cut(spans.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
 
 
 def removed_words(n: int, spans) -> np.ndarray:
@@ -220,8 +239,10 @@ def removed_words(n: int, spans) -> np.ndarray:
 
 def passage_digest(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
-    spans = repeated_spans(docs, window, phrase)
-    both = text_bytes(docs).join(spans, "doc_id", "left")
+    docs = told_apart(docs)
+    ship(docs.sparkSession)
+    spans = repeated_spans(docs, window, phrase).withColumnRenamed("copy", "__copy")
+    both = _texts(docs).join(spans, ["doc_id", "__copy"], "left").select("doc_id", "text", "spans")
 
     def digest(b):
         n, gone, sha = [], [], []
@@ -263,8 +284,10 @@ def cut_text(text: str | None, spans) -> str | None:
 
 def without_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """The documents with repeated passages cut from ``text`` (and ``n_chars``, where there is one, counted anew)."""
-    spans = repeated_spans(docs, window, phrase).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    both = docs.join(spans, docs["doc_id"] == spans["__id"], "left").drop("__id")
+    schema, apart = docs.schema, told_apart(docs)
+    spans = repeated_spans(apart, window, phrase).select(F.col("doc_id").alias("__id"), F.col("copy").alias("__of"), F.col("spans").alias("__spans"))
+    both = (apart.join(spans, (F.col("doc_id") == F.col("__id")) & (F.col("__copy") == F.col("__of")), "left")
+            .drop("__id", "__of", "__copy"))
     where = both.columns.index("text")
     n_at = both.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -277,4 +300,4 @@ def without_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
                                    zip(texts, cut_here, cols[n_at].to_pylist())], cols[n_at].type)
         cols[where] = pa.array(texts, cols[where].type)
         return pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
-    return map_batches(both, rewrite, docs.schema, text="text")
+    return map_batches(both, rewrite, schema, text="text")

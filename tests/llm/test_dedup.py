@@ -93,6 +93,20 @@ def test_passages_hot_anchor(docs, rows, monkeypatch):
     assert as_dict(passages.passage_digest(docs)) == brute_passages(rows)
 
 
+def test_different_texts_of_one_id(spark):
+    """What repeats in one text of an id does not cut another text of that id; repeated rows are cut alike."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    clean = " ".join(f"c{k}" for k in range(100))
+    rows = [(1, passage), (2, f"x {passage} y"), (2, clean), (2, clean), (2, f"x {passage} y"), (2, None), (3, clean), (None, clean)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, copy int")
+    got = sorted(tuple(r)[:3] for r in passages.passage_digest(docs).where("doc_id is not null").collect())
+    assert got == sorted([(1, 60, 0), (2, 62, 60), (2, 62, 60), (2, 100, 0), (2, 100, 0), (2, 0, 0), (3, 100, 100)])
+    after = passages.without_passages(docs)
+    assert after.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in after.where("doc_id is not null").collect()) == sorted(
+        [(1, passage), (2, "x y"), (2, "x y"), (2, clean), (2, clean), (2, ""), (3, "")])
+
+
 def test_cut_text(docs, empty, odd, rows):
     cut = {r["doc_id"]: r for r in passages.without_passages(docs).collect()}
     words = brute_passages(rows)

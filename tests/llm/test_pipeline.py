@@ -40,5 +40,5 @@ def test_stages(spark, tmp_path):
 
 
 def test_registered():
-    assert {int(n[2:].split("_")[0]) for n in catalog.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in catalog.QUERIES} == set(range(1, 14))
     assert set(catalog.SQL) <= set(catalog.QUERIES)

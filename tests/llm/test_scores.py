@@ -272,6 +272,37 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mix(docs).select(*docs.columns).columns == docs.columns
 
 
+def test_mixing_with_clashing_names(spark, monkeypatch):
+    """Columns named as the plan's and the output's; more sources than are broadcast."""
+    data = [(i, "w " * (i % 9), f"s{i % 5}", i, 7) for i in range(300)]
+    names = "doc_id long, text string, source string, epochs long, mix_epoch int"
+    table = spark.createDataFrame(data, names).selectExpr("*", "1 AS blocks", "2 AS cut_block", "3 AS cut_place", "4 AS rest", "5 AS tokens", "6 AS key")
+    got = mixing.mix(table)
+    assert sorted(got.columns) == sorted([*table.columns, "mix_block", "mix_place"])
+    want = sorted(map(tuple, got.select("doc_id", "epochs", "mix_epoch", "mix_block", "mix_place").collect()))
+    assert {w[0] for w in want} == set(range(300))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    assert sorted(map(tuple, mixing.mix(table).select("doc_id", "epochs", "mix_epoch", "mix_block", "mix_place").collect())) == want
+
+
+def test_plan_is_broadcast(spark):
+    """Texts are not dealt by source."""
+    table = spark.createDataFrame([(i, "w w", f"s{i % 5}") for i in range(100)], "doc_id long, text string, source string")
+    plan = mixing.mix(table)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "BuildLeft" not in plan
+
+
+def test_mixed_order(spark, tmp_path):
+    table = spark.createDataFrame([(i, "w " * (i % 7 + 1), f"s{i % 3}") for i in range(200)], "doc_id long, text string, source string")
+    mixed = mixing.mix(table)
+    mixing.in_order(mixed).write.parquet(f"{tmp_path}/out")
+    import glob
+    import pyarrow.parquet as pq
+    seen = [tuple(r.values()) for f in sorted(glob.glob(f"{tmp_path}/out/part-*"))
+            for r in pq.read_table(f, columns=["mix_epoch", "mix_block", "mix_place"]).to_pylist()]
+    assert seen == sorted(seen) and len(seen) == mixed.count()
+
+
 def test_mixing_counts_the_tokenizers_tokens(spark, docs, rows, tmp_path):
     import corpus_pipeline
     from stormcell.llm import catalog, token_counts

@@ -20,7 +20,16 @@ def tokenizer():
     return t
 
 
-def test_packing_round_trip(docs, rows, tokenizer):
+@pytest.fixture(scope="module")
+def plain():
+    """The file's tokenizer as it is: a special token's string is that token."""
+    return Tokenizer.from_file(PATH)
+
+
+def test_packing_round_trip(spark, docs, rows, plain):
+    more = [(9000, "a <|endoftext|> b"), (9001, "<|endoftext|>"), (9002, "日本 語 <|endoftext|>x")]
+    rows, tokenizer = rows + more, plain
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
     got = packing.pack(docs, PATH, keep_ids=True).cache()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in got.collect():
@@ -59,8 +68,9 @@ def test_best_two_fit_uses_all_pieces():
     assert plan[0] == (1, [(1200, 1), (500, 1), (348, 1)])
 
 
-def test_encoder_equals_tokenizer(tokenizer, rows):
-    e = packing.Encoder(PATH)
+def test_encoder_equals_tokenizer(plain, rows):
+    e, tokenizer = packing.Encoder(PATH), plain
+    assert e.ranked is not None
     texts = [t for _, t in rows if t] + ["a  b", " x", "tail ", "x \n y", "don't we've", "a_b 1²½ x٣y", "日本 語", "\x1c a\x1d b",
                                          "<|endoftext|> hi", "tab\t b\r\n c", "a\n b", "e\u0301 x"]
     for t in texts:
