@@ -25,8 +25,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once at least; documents of small sources again, as their source's budget asks."""
-    return mixing.mix(docs, mixing.bpe_tokens(spark, tokenizer_path())).select(*docs.columns)
+    """Every document once at least; documents of small sources again, as their source's budget asks; the stage's files are
+    the mixed order (packing then places pieces by their lengths)."""
+    mixed = mixing.mix(docs, mixing.bpe_tokens(spark, tokenizer_path()))
+    return mixing.in_order(mixed).select(*docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
