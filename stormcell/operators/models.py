@@ -72,6 +72,24 @@ def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
     return best + 1, False
 
 
+def fit_gbt_patient(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, weight: str | None = None,
+                    patience: int = PATIENCE, **params) -> PipelineModel:
+    """M1 with early stopping around Spark's own classifier: training ends after ``patience`` rounds without a lower validation
+    log-loss, and the best round is kept.  A boosted model's first n trees are those of a fit of n rounds with the same seed,
+    so fits of 2, 4, 8 ... times ``patience`` rounds are judged round by round until the stop is seen (or ``maxIter`` is
+    reached), and one fit of the best number of rounds is the result.  ``fit_patient`` does not refit."""
+    p = {**GBT_DEFAULTS, **params}
+    most = p.pop("maxIter")
+    held = assembler(features).transform(val).select("features", F.col(label).cast("double").alias(label))
+    rounds = min(most, 2 * patience)
+    while True:
+        model = fit_gbt(train, features, label, weight, maxIter=rounds, **p)
+        keep, stopped = best_round(model.stages[-1].evaluateEachIteration(held), patience)
+        if stopped or rounds == most:
+            return model if keep == rounds else fit_gbt(train, features, label, weight, maxIter=keep, **p)
+        rounds = min(most, 2 * rounds)
+
+
 @dataclass
 class Boosting:
     """A boosted fit that can be continued.  ``rows`` is a checkpointed table (features, label, weight, held, margin): the

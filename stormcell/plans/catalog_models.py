@@ -159,10 +159,9 @@ def q_stream_hourly(spark, sf_dir):
     ev = FX.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     src, out, ck = X.scratch(spark, "x1-in"), X.scratch(spark, "x1-out"), X.scratch(spark, "x1-ck")
     part = arrival(ev, 4)
-    for k in range(4):
+    for k in range(4):  # each arrival is a batch, and a restart from the checkpoint
         X.arrive(ev, part, src, k)
-    stream = X.read_stream(spark, src, X.EVENTS_SCHEMA, files_per_trigger=1)
-    X.run_updates(X.hourly_means(stream, "2 hours"), out, ck)
+        X.run_updates(X.hourly_means(X.read_stream(spark, src, X.EVENTS_SCHEMA), "2 hours"), out, ck)
     return normalize(X.latest(spark.read.parquet(out), ["hour", "event_type"]))
 
 
@@ -189,17 +188,15 @@ def q_stream_alerts(spark, sf_dir):
     "event_id:i user_id:i ts:t value:d value_lag_1:d value_lag_3:d value_mean_3:d"))
 def q_stream_lags(spark, sf_dir):
     """Per-user lag and rolling features on an event stream of three arrivals; some rows of an arrival's last hour come with
-    the next one (late rows), and the stream is restarted after the first arrival."""
+    the next one (late rows), and the stream is restarted after each arrival."""
     ev = FX.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     src, out, ck = X.scratch(spark, "x3-in"), X.scratch(spark, "x3-out"), X.scratch(spark, "x3-ck")
     soon = arrival(ev, 3, "ts")
     part = F.when((F.col("event_id") % 2 == 0) & (soon < arrival(ev, 3, F.col("ts") + F.expr("interval 1 hour"))), soon + 1).otherwise(soon)
     s = Series(keys=("user_id",), order=("ts", "event_id"))
-    for arrivals in ([0], [1, 2]):
-        for k in arrivals:
-            X.arrive(ev, part, src, k)
-        stream = X.read_stream(spark, src, ev.schema, files_per_trigger=1)
-        X.stream_lag_features(stream, s, ["value"], [1, 3], [3], out, None, ck)
+    for k in range(3):
+        X.arrive(ev, part, src, k)
+        X.stream_lag_features(X.read_stream(spark, src, ev.schema), s, ["value"], [1, 3], [3], out, None, ck)
     return normalize(X.latest(spark.read.parquet(out), ["event_id"]))
 
 

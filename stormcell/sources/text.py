@@ -40,9 +40,9 @@ def parse_whitespace(spark: SparkSession, path: str, names: Sequence[str] = RAW_
     cols = []
     bad = F.size("_parts") < len(names)
     for i, n in enumerate(names):
-        raw = F.element_at("_parts", i + 1)
+        raw = F.get("_parts", F.lit(i))
         typ = types.get(n, "double")
-        val = F.expr(f"try_cast(_parts[{i}] AS {typ})")
+        val = F.expr(f"try_cast(get(_parts, {i}) AS {typ})")
         bad = bad | (raw.isNotNull() & val.isNull())
         cols.append(val.alias(n))
     return d.select(*cols, F.coalesce(bad, F.lit(True)).alias("rejected"), F.col("_file").alias("file"), F.col("value").alias("line"))
