@@ -399,3 +399,10 @@ def latest(spark, path: str, prefix: str) -> str | None:
         .select(F.element_at(F.split("path", "/"), -1).alias("name"))
     row = files.agg(F.max("name")).first()
     return row[0] if row else None
+
+
+def latest_folder(spark, path: str) -> str | None:
+    """M14 for results that are folders: newest folder by sorted name under ``path`` (from the paths of its files)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    row = files.select(F.max(F.element_at(F.split("path", "/"), -2))).first()
+    return row[0] if row else None

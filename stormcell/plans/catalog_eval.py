@@ -151,7 +151,7 @@ def q_pr(spark, sf_dir):
     return normalize(M.pr_curve(sv(spark, sf_dir), Y, P, BY))
 
 
-def _choose_sql() -> str:
+def _choose_sql(label: str = "y2") -> str:
     cur = "cur AS (SELECT * FROM prf WHERE threshold IS NOT NULL)"
 
     def top(src, order, name, ach):
@@ -167,7 +167,7 @@ def _choose_sql() -> str:
         top("SELECT * FROM cur WHERE recall >= 0.7", "precision DESC, threshold", "recall_target", "NULL"),
         top("SELECT * FROM cur WHERE precision >= 0.7", "recall DESC, threshold", "precision_target", "NULL"),
     ]
-    return O.norm(W(CURVE, PR, cur) + " UNION ALL ".join(parts),
+    return O.norm(W(CURVE.replace("y2", label), PR, cur) + " UNION ALL ".join(parts),
                   "split:s strategy:s threshold:d precision:d recall:d f1:d achievable:s")
 
 
@@ -178,6 +178,13 @@ def q_choose(spark, sf_dir):
     return normalize(out.withColumn("achievable", F.col("achievable").cast("string")))
 
 
+@register("e14_closest_threshold", _choose_sql("y"))
+def q_closest(spark, sf_dir):
+    """E12-E16 where no threshold reaches both targets: the closest point, marked as not achievable."""
+    out = M.choose_thresholds(M.pr_curve(sv(spark, sf_dir), "y", P, BY), BY)
+    return normalize(out.withColumn("achievable", F.col("achievable").cast("string")))
+
+
 def _compare_sql() -> str:
     def conf(name, t):
         return (f"SELECT split, '{name}' AS name, {num(t)} AS threshold, "

@@ -9,19 +9,21 @@ from ..functions.columns import normalize
 from ..operators import alerts as A
 from ..operators import labels as LB
 from ..operators import metrics as M
+from ..operators import models as MD
 from ..operators import quality as Q
 from ..operators import scale as N
 from ..operators import splits as T
-from ..operators.series import Series
+from ..operators import windows as WN
+from ..operators.series import Series, with_positions
 from ..sources import files as SRC
 from ..sources import text as TX
 from ..streaming.streams import scratch
 from . import fixtures as FX
 from . import oracle as O
-from .catalog import PANEL_SPEC, QUERIES, SQL, cleaned, raw, register
+from .catalog import PANEL_SPEC, QUERIES, SQL, cleaned, features, raw, register
 from .catalog_eval import LEVELS_SQL, W
 from .catalog_eval import sv
-from .catalog_series import P, SPLIT_SQL, _sentinel_sql, write_text
+from .catalog_series import P, SEQ_COLS, SPLIT_SQL, _sentinel_sql, _seq_sql, _seq_summary, write_text
 
 num = O.num
 CHANNELS = TX.RAW_NAMES[3:]
@@ -165,3 +167,37 @@ def q_split_features(spark, sf_dir):
     d, feats = LB.split_features(c)
     LB.assert_no_leakage(feats, allow=["Dst_index"])
     return normalize(d)
+
+
+@register("c10_sorted", O.norm(
+    "SELECT event_id, row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS position FROM events", "event_id:i position:i"))
+def q_sorted(spark, sf_dir):
+    """Total sort by keys and order; a row's place is read off the sorted partitions."""
+    ev = FX.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    done = Q.sort_series(ev, Series(keys=("user_id",), order=("ts", "event_id"))).select("event_id", F.monotonically_increasing_id().alias("_at"))
+    return normalize(with_positions(done, Series(order=("_at",)), "position").select("event_id", "position"))
+
+
+@register("w8_fallback_sequences", _seq_sql(24, 1, False).replace("Storm_Binary, IMF_Bz, ", "Storm_Binary, CAST(NULL AS DOUBLE) AS IMF_Bz, ", 1))
+def q_fallback(spark, sf_dir):
+    """No window is complete (one input is missing throughout), so all windows come unchecked."""
+    f = features(spark, sf_dir).withColumn("IMF_Bz", F.lit(None).cast("double"))
+    return normalize(_seq_summary(WN.sequences_with_fallback(f, Series(order=("ts",)), SEQ_COLS, "Storm_Binary", 24, 3)))
+
+
+@register("m10_m14_bundle", O.norm(
+    W() + " SELECT split, count(*) AS rows, 0 AS differing, 'b.json' AS latest_meta FROM sv GROUP BY split",
+    "split:s rows:i differing:i latest_meta:s"))
+def q_bundle(spark, sf_dir):
+    """M10 + M12 + M14 + A2: a fitted model saved with its metadata, loaded and found by name again, scores as before."""
+    d, feats, path = sv(spark, sf_dir), ["p1", "p2", "p3"], scratch(spark, "bundle")
+    model = MD.fit_logistic(d.where(F.col("split") == "train"), feats, "y2")
+    MD.save_bundle(path, {"logistic": model}, {"features": feats})
+    models, meta = MD.load_bundle(path, ["logistic"])
+    for name in ("a.json", "b.json"):
+        SRC.write_json(spark.createDataFrame([(name,)], "name string").coalesce(1), f"{path}/runs/{name}")
+    both = MD.score(MD.score(d, model, "before"), models["logistic"], "after")
+    newest = MD.latest_folder(spark, f"{path}/runs") if meta["features"] == feats else None
+    return normalize(both.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("before") != F.col("after"), 1)).alias("differing"),
+        F.lit(newest).alias("latest_meta")))

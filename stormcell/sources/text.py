@@ -85,7 +85,9 @@ def ingest_written(spark: SparkSession, path: str, out: str, names: Sequence[str
     counts (lines, rejected lines, missing cells after the sentinels) are observed while they are written.
     Returns (rows, rejects, counts)."""
     from pyspark.sql import Observation
-    spec, seen = parse_whitespace(spark, path, names, NARROW_TYPES), Observation("ingest")
+    # an observation marks its session for good (fitted models of that session can no longer be sent to tasks), so the pass
+    # has a session of its own
+    spec, seen = parse_whitespace(spark.newSession(), path, names, NARROW_TYPES), Observation("ingest")
     d = null_sentinels(spec, cols=[n for n in names if n not in TIME_PARTS])
     values = [n for n in names if n not in TIME_PARTS]
     cells = sum((F.when(~F.col("rejected") & F.col(n).isNull(), 1).otherwise(0) for n in values), F.lit(0))

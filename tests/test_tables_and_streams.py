@@ -49,6 +49,9 @@ def test_observed_ingest_writes_rows_and_rejects(spark):
     assert sorted(r["line"].strip()[:7] for r in rejects.collect()) == ["", "1996  1", "1996  1", "garbage"]
     again, rejected = TX.ingest(spark, f"{base}/in")
     assert again.count() == 1 and rejected.count() == 4
+    from stormcell.operators import models as MD
+    d = spark.createDataFrame([(float(i), i % 2) for i in range(20)], "x double, y int")
+    assert MD.score(d, MD.fit_logistic(d, ["x"], "y"), "p").count() == 20  # the session still fits and scores
 
 
 @pytest.mark.parametrize("method, key", [("xxhash64", "id"), ("xxhash64", None), ("mult", "id")])
