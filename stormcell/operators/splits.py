@@ -131,15 +131,15 @@ def _uniform(df: DataFrame, key: str | None, seed: int, stream: int, method: str
         first = sample_key(key, seed + stream, "mult")
         twice = F.pmod((F.pmod(first, F.lit(1 << 31)) + F.lit(seed + 7 * stream + 1)) * F.lit(SAMPLE_MULTIPLIER), F.lit(HASH_MOD))
         return (twice + F.lit(0.5)) / F.lit(float(HASH_MOD))
-    names = [key] if key else [f.name for f in df.schema.fields]
-    h = F.xxhash64(*[F.col(f"`{n}`") for n in names], F.lit(seed), F.lit(stream))
+    h = F.xxhash64(F.col(f"`{key}`") if key else F.monotonically_increasing_id(), F.lit(seed), F.lit(stream))
     return (F.shiftrightunsigned(h, 11) + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
 def add_noise(df: DataFrame, cols: Sequence[str], sigma: float = 0.01, seed: int = 0, key: str | None = None,
               method: str = "xxhash64") -> DataFrame:
     """Gaussian noise on features, counter-based: Box-Muller over hashes of (key, seed, column), so a row's noise does not
-    depend on partitions or on a task being run again.  Without ``key`` the whole row is the key (equal rows, equal noise)."""
+    depend on partitions or on a task being run again.  Without ``key`` the row's place in its partition stands in: then the
+    noise is tied to the table's layout."""
     def normal(i):
         radius = F.sqrt(F.lit(-2.0) * F.log(_uniform(df, key, seed, 2 * i, method)))
         return radius * F.cos(F.lit(2.0 * math.pi) * _uniform(df, key, seed, 2 * i + 1, method))
