@@ -155,6 +155,7 @@ def stream_lag_features(stream: DataFrame, s: Series, cols: Sequence[str], lags:
                            *[T.StructField(f"{c}_lag_{n}", T.DoubleType()) for c in cols for n in lags],
                            *[T.StructField(f"{c}_mean_{n}", T.DoubleType()) for c in cols for n in means]])
     ms = [int(pd.Timedelta(x).total_seconds() * 1000) for x in (lateness, idle)]
-    feats = stream.withWatermark(s.order[0], lateness).groupBy(*s.keys).applyInPandasWithState(
+    timed = stream.withColumn("_event_time", F.col(s.order[0]).cast("timestamp"))  # a TIMESTAMP_NTZ bears no watermark
+    feats = timed.withWatermark("_event_time", lateness).groupBy(*s.keys).applyInPandasWithState(
         _lag_state(s, columns, cols, lags, means, *ms), schema, "held binary", "update", GroupStateTimeout.EventTimeTimeout)
     run_updates(feats, out, checkpoint)
