@@ -38,6 +38,7 @@ from .common import (U64, cut, groups, map_batches, ngram_hashes, release, ship,
 WINDOW = 50
 PHRASE = 25
 HOT_OCCURRENCES = 4096
+BROADCAST_SPANS = 4_000_000  # spans that are sent to every task, some 32 MB
 BROADCAST_IDS = 1_000_000  # doc_ids with different texts that are sent to every task
 SHARD_WORDS = 400_000
 
@@ -228,6 +229,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     return cut(spans.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
 
 
+def _to_rows(spans: DataFrame) -> DataFrame:
+    """The spans as the small side of a join with the texts: broadcast where they are at most ``BROADCAST_SPANS`` (of 8 bytes, and
+    their documents' ids), so that texts are not moved; more of them are joined by key."""
+    n = spans.agg(F.coalesce(F.sum(F.size("spans") + 4), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(spans) if n <= BROADCAST_SPANS else spans
+
+
 def removed_words(n: int, spans) -> np.ndarray:
     """Mask of the words inside the spans."""
     edge = np.zeros(n + 1, np.int64)
@@ -242,7 +250,7 @@ def passage_digest(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     docs = told_apart(docs)
     ship(docs.sparkSession)
     spans = repeated_spans(docs, window, phrase).withColumnRenamed("copy", "__copy")
-    both = _texts(docs).join(spans, ["doc_id", "__copy"], "left").select("doc_id", "text", "spans")
+    both = _texts(docs).join(_to_rows(spans), ["doc_id", "__copy"], "left").select("doc_id", "text", "spans")
 
     def digest(b):
         n, gone, sha = [], [], []
@@ -285,7 +293,8 @@ def cut_text(text: str | None, spans) -> str | None:
 def without_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """The documents with repeated passages cut from ``text`` (and ``n_chars``, where there is one, counted anew)."""
     schema, apart = docs.schema, told_apart(docs)
-    spans = repeated_spans(apart, window, phrase).select(F.col("doc_id").alias("__id"), F.col("copy").alias("__of"), F.col("spans").alias("__spans"))
+    spans = _to_rows(repeated_spans(apart, window, phrase)).select(
+        F.col("doc_id").alias("__id"), F.col("copy").alias("__of"), F.col("spans").alias("__spans"))
     both = (apart.join(spans, (F.col("doc_id") == F.col("__id")) & (F.col("__copy") == F.col("__of")), "left")
             .drop("__id", "__of", "__copy"))
     where = both.columns.index("text")

@@ -87,7 +87,8 @@ def test_passages(docs, rows):
 
 
 def test_passages_hot_anchor(docs, rows, monkeypatch):
-    """Anchors with more than two occurrences take the salted way."""
+    """Anchors with more than two occurrences take the salted way; spans are joined by key."""
+    monkeypatch.setattr(passages, "BROADCAST_SPANS", 0)
     monkeypatch.setattr(passages, "HOT_OCCURRENCES", 2)
     monkeypatch.setattr(passages, "SHARD_WORDS", 200)
     assert as_dict(passages.passage_digest(docs)) == brute_passages(rows)
