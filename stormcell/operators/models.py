@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import safe_div, zero_div
+from ..functions.columns import zero_div
 from ..session import cut_lineage
 from . import metrics as M
 from .alerts import require_columns

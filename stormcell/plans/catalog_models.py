@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.columns import normalize
 from ..operators import labels as LB
 from ..operators import models as MD
-from ..operators import quality as Q
 from ..operators import scale as N
 from ..operators.series import Series
 from ..streaming import streams as X
 from . import fixtures as FX
 from . import oracle as O
-from .catalog import DEMO_BLOCK_ROWS, cleaned, panel_series, register
+from .catalog import DEMO_BLOCK_ROWS, cleaned, register
 from .catalog_eval import LEVELS_SQL, W as SVW
 from .catalog_series import P, SPLIT_SQL
 

@@ -15,7 +15,7 @@ from ..operators.series import Series, hourly_spine, window_apply, with_position
 from ..sources import files as SRC
 from . import fixtures as FX
 from . import oracle as O
-from .catalog import DEMO_BLOCK_ROWS, PANEL_SPEC, cleaned, features, panel_series, raw, register
+from .catalog import DEMO_BLOCK_ROWS, PANEL_SPEC, cleaned, features, raw, register
 
 num = O.num
 CH = list(Q.RANGE_LIMITS)
