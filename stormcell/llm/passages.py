@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from .common import (U64, cut, groups, map_batches, ngram_hashes, release, ship, sliding_min, to_batch, word_hashes, words_of)
+from .common import (cut, groups, map_batches, ngram_hashes, release, ship, sliding_min, to_batch, word_hashes, words_of)
 
 WINDOW = 50
 PHRASE = 25
