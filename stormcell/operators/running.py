@@ -21,20 +21,28 @@ from ..session import cut_lineage
 from .series import key_window
 
 ACCURACY = 1000          # of the sketches: ranks are off by rows / ACCURACY at most
-BROADCAST_ROWS = 100_000  # offset rows that are sent to every task
+BROADCAST_ROWS = 100_000  # offset rows, and rows of statistics, that are sent to every task
+BROADCAST_CELLS = 1_000_000  # values in these statistics
 
 
-def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Add per-key statistics to every row.
+def sent(stats: DataFrame, rows: int, width: int = 1) -> DataFrame:
+    """Statistics for a join with the rows they were made from: while they are few, they go to every task, so that the rows stay
+    where they are.  Joined by a shuffle, all rows of a key would be sorted in one task."""
+    return F.broadcast(stats) if rows <= BROADCAST_ROWS and rows * width <= BROADCAST_CELLS else stats
 
-    With keys: an equi-join on the keys (Spark broadcasts the side when its
-    measured size is under the threshold, else shuffles).  Without keys the
+
+def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str] = (), width: int | None = None) -> DataFrame:
+    """Add per-key statistics (``width`` values in a row, where these are arrays) to every row.
+
+    With keys: an equi-join on the keys.  The statistics are made first and counted: few go to
+    every task, more are joined by a shuffle.  Without keys the
     statistics are one row: it is collected (a handful of scalars) and added
     as literals, so no join is needed.
     """
     keys = list(keys)
     if keys:
-        return df.join(stats, on=keys, how="left")
+        stats = cut_lineage(stats)
+        return df.join(sent(stats, stats.count(), width or len(stats.columns)), on=keys, how="left")
     rows = stats.collect()
     if len(rows) != 1:
         raise ValueError(f"expected one row of statistics, got {len(rows)}")
@@ -127,7 +135,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     bounds = _aggregate(d, names, *[f"count(_c{j}) AS _t{j}" for j in range(len(cols))],
                         *[f"percentile_approx(_c{j}, array({ends}), {accuracy}) AS _b{j}" for j in range(len(cols))])
     # without keys the bounds are one row and become literals, with keys they are joined
-    b = attach_stats(d, cut_lineage(bounds), keys) if keys else _with_one_row(d, bounds)
+    b = attach_stats(d, bounds, keys, len(keys) + len(cols) * (1 + 2 * len(probs))) if keys else _with_one_row(d, bounds)
     lo = {(j, i): f"_b{j}[{i}]" for j, i in slots}
     hi = {(j, i): f"_b{j}[{i + len(probs)}]" for j, i in slots}
     inside = {s: f"(_c{s[0]} >= {lo[s]} AND _c{s[0]} <= {hi[s]})" for s in slots}
@@ -137,7 +145,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     below = cut_lineage(_aggregate(b, names, f"array({facts}) AS _x").selectExpr(*names, "inline(_x)"))
     rank = "(_t - 1) * _p"
     missed = f"_t > 0 AND NOT (_l <= floor({rank}) AND ceil({rank}) < _l + _m)"
-    state = below.groupBy("_j", "_i").agg(F.expr(f"max({missed})").alias("missed"), F.expr("max(_a < _z)").alias("open")).collect()
+    state = below.groupBy("_j", "_i").agg(F.expr(f"max({missed})").alias("missed"), F.expr("max(_a < _z)").alias("open"),
+                                            F.count(F.lit(1)).alias("rows")).collect()
     if any(r["missed"] for r in state):
         inside, live = {(j, i): f"_c{j} IS NOT NULL" for j, i in slots}, slots
         below = below.withColumn("_l", F.lit(0).cast("long"))
@@ -152,6 +161,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         counts = _aggregate(long, [*names, "_j", "_i", "_v"], "count(1) AS _n")
         ranked = running_totals(counts, [*keys, "_j", "_i"], "_v", ["_n"], n_buckets)
         other = below.selectExpr(*[f"{k} AS `_k_{c}`" for k, c in zip(names, keys)], "_j AS _fj", "_i AS _fi", "_p", "_t", "_l")
+        other = sent(other, sum(r["rows"] for r in state), len(other.columns))
         same = " AND ".join([*[f"{k} <=> `_k_{c}`" for k, c in zip(names, keys)], "_j = _fj", "_i = _fi"])
         start, stop = "_l + _before__n", "_l + _before__n + _n"
         picked = _aggregate(ranked.join(other, F.expr(same)), [*names, "_j", "_i"],

@@ -75,6 +75,22 @@ def test_only_the_bracket_is_shuffled(spark):
     assert 3 <= seen[0] < 0.05 * 40000
 
 
+@pytest.mark.parametrize("rows, join", [(100_000, "BroadcastHashJoin"), (2, "SortMergeJoin")])
+def test_rows_of_a_key_stay_where_they_are(spark, monkeypatch, rows, join):
+    """Few statistics go to every task, whatever Spark thinks of their size; more than that are joined by a shuffle."""
+    monkeypatch.setattr(R, "BROADCAST_ROWS", rows)
+    df = spark.range(0, 300, 1, 4).selectExpr("id % 3 k", "cast(id as double) v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = R.attach_stats(df, df.groupBy("k").agg({"v": "max"}).toDF("k", "m"), ["k"])
+        assert join in out._jdf.queryExecution().executedPlan().toString()
+        assert {(r["k"], r["m"]) for r in out.collect()} == {(0, 297.0), (1, 298.0), (2, 299.0)}
+        got = R.exact_quantiles(df, ["v"], [0.5], keys=["k"]).collect()
+        assert {(r["k"], r["v_q0"]) for r in got} == {(0, 148.5), (1, 149.5), (2, 150.5)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_empty_quantiles(spark):
     df = spark.createDataFrame([], "k int, a double")
     assert R.exact_quantiles(df, ["a"], [0.5]).first()["a_q0"] is None
