@@ -4,9 +4,9 @@
   every changed window of a batch under its epoch and ``latest`` merges them by key, so the hours that are still open
   when the input ends are there too, from the stream itself.
 * X2 ``score_stream``: stateless rules (range flags, alert level, confidence) on a stream.
-* X3 ``stream_lag_features``: per-key lag / rolling features across micro-batches.  Each key's state holds its rows of
-  the last ``lateness`` and the ``tail`` rows before them; only keys with new rows are touched.  A late row within the bound
-  is put in its place, and the rows after it whose features change are emitted again.  A retried epoch overwrites
+* X3 ``stream_lag_features``: per-key lag / rolling features across micro-batches.  Of each key the state holds its rows of
+  the last ``lateness`` and the ``tail`` rows before them, one state for a bucket of keys; only buckets with new rows are
+  touched, only keys with new rows are written.  A late row within the bound is put in its place, and the rows after it whose features change are emitted again.  A retried epoch overwrites
   its own output, so the sink is idempotent.
 """
 
@@ -24,6 +24,8 @@ from ..operators.quality import RANGE_LIMITS, flag_ranges
 from ..operators.series import Series
 from ..session import ensure_checkpoint_dir
 
+LAG_BUCKETS = 1024  # states of X3
+
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
     T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
@@ -96,11 +98,16 @@ def arrive(df: DataFrame, part: Column, path: str, number: int) -> None:
 
 
 def _lag_state(s: Series, columns: Sequence[str], cols: Sequence[str], lags: Sequence[int], means: Sequence[int],
-               lateness_ms: int, idle_ms: int):
-    """The function of one key and batch.  The state is the key's held rows as Arrow bytes; made inside a function, so that it
-    travels to the executors by value."""
-    order, columns, tail = list(s.order), list(columns), max(max(lags, default=0), max(means, default=1) - 1)
+               lateness_ms: int, idle_ms: int, flagged: Sequence[str] = (), whole: Sequence[str] = ()):
+    """The function of one bucket of keys and batch.  The state is the held rows of the bucket's keys as Arrow bytes; all keys are
+    worked on at once, as arrays.  ``flagged`` columns have their nulls in ``_null_<c>``, ``_us`` is the event time in
+    microseconds.  Made inside a function, so that it travels to the executors by value."""
+    keys, order, columns, tail = list(s.keys), list(s.order), list(columns), max(max(lags, default=0), max(means, default=1) - 1)
+    flagged, whole = list(flagged), list(whole)
     made = [*[f"{c}_lag_{n}" for c in cols for n in lags], *[f"{c}_mean_{n}" for c in cols for n in means]]
+    kept = [*columns, *[f"_null_{c}" for c in flagged], "_us"]
+    groups = [x for c in keys for x in ([f"_null_{c}", c] if c in flagged else [c])]
+    ordered = [x for c in order for x in ([f"_null_{c}", c] if c in flagged else [c])]
 
     def load(state):
         import pyarrow as pa
@@ -115,35 +122,61 @@ def _lag_state(s: Series, columns: Sequence[str], cols: Sequence[str], lags: Seq
         state.update((sink.getvalue().to_pybytes(),))
 
     def run(key, rows, state):
+        import numpy as np
         import pandas as pd
-        if state.hasTimedOut:  # a key without rows for a while keeps its tail only
-            store(state, load(state).iloc[-max(1, tail):])
-            return
-        new = pd.concat(list(rows), ignore_index=True)[columns]
-        held, bound = load(state), pd.Timedelta(milliseconds=lateness_ms)
-        both = new.assign(_new=True) if held is None else pd.concat([held.assign(_new=False), new.assign(_new=True)])
-        both = both.sort_values(order, kind="stable", ignore_index=True)
-        fresh = both["_new"].to_numpy(bool)
+        held, parts = load(state), [] if state.hasTimedOut else [r[kept].assign(_new=True) for r in rows]
+        both = pd.concat([*([] if held is None else [held.assign(_new=False)]), *parts], ignore_index=True)
+        both["_g"] = both.groupby(groups, sort=False, dropna=False).ngroup()
+        both = both.sort_values(["_g", *ordered], kind="stable", ignore_index=True)
+        g, fresh, us = both["_g"].to_numpy(), both["_new"].to_numpy(bool), both["_us"].to_numpy(np.int64)
+        at = np.arange(len(g))
+        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        sizes = np.diff(np.r_[starts, len(g)])
+        place = at - np.repeat(starts, sizes)  # of a row among its key's
         changed = fresh.copy()
         for k in range(1, tail + 1):  # a new row changes the features of the rows up to ``tail`` after it
-            changed[k:] |= fresh[:-k]
-        full = both[columns]
-        got = full
-        for c in cols:
-            got = got.assign(**{f"{c}_lag_{n}": full[c].shift(n).astype(float) for n in lags},
-                             **{f"{c}_mean_{n}": full[c].rolling(n, min_periods=1).mean() for n in means})
-        yield got[changed][[*columns, *made]]
-        old = int((full[order[0]] < full[order[0]].max() - bound).sum())
-        store(state, full.iloc[max(0, old - tail):])
-        newest = int(full[order[0]].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() or 0) + idle_ms)
+            changed[k:] |= fresh[:-k] & (place[k:] >= k)
+        if changed.any():
+            got, add = both.loc[changed, columns], {}
+            mine, where = at[changed], place[changed]
+            for c in cols:
+                v = both[c].astype(float).to_numpy()
+                v = np.where(both[f"_null_{c}"].to_numpy(bool), np.nan, v) if c in flagged else v
+                back = lambda n: np.where(where >= n, v[np.maximum(mine - n, 0)], np.nan)
+                for n in lags:
+                    add[f"{c}_lag_{n}"] = back(n)
+                for n in means:
+                    total, number = np.zeros(len(mine)), np.zeros(len(mine))
+                    for k in range(n):
+                        x = back(k)
+                        there = np.isfinite(x)
+                        total, number = total + np.where(there, x, 0.0), number + there
+                    add[f"{c}_mean_{n}"] = np.where(number > 0, total / np.maximum(number, 1), np.nan)
+            for c in whole:
+                null = both.loc[changed, f"_null_{c}"].to_numpy(bool)
+                if null.any():
+                    add[c] = got[c].astype("Int64").mask(null)
+            yield got.assign(**add)[[*columns, *made]]
+        # held: the last ``lateness`` of each key and ``tail`` rows before; the tail only of keys without rows for a while
+        timed, now = us > np.iinfo(np.int64).min, state.getCurrentWatermarkMs() or 0
+        newest = np.maximum.reduceat(us, starts)
+        old = np.add.reduceat((timed & (us < np.repeat(np.maximum(newest, 0 - 2**62) - lateness_ms * 1000, sizes))).astype(np.int64), starts)
+        due = newest // 1000 + idle_ms
+        idle = due <= now
+        first = np.maximum(old - tail, 0)
+        first = np.where(idle, np.maximum(first, sizes - max(1, tail)), first)
+        store(state, both.loc[place >= np.repeat(first, sizes), kept])
+        wait = due[~idle & (sizes - first > max(1, tail))]
+        if len(wait):
+            state.setTimeoutTimestamp(int(wait.min()))
     return run
 
 
 def stream_lag_features(stream: DataFrame, s: Series, cols: Sequence[str], lags: Sequence[int],
                         means: Sequence[int], out: str, state: str | None, checkpoint: str,
-                        lateness: str = "2 hours", idle: str = "1 day") -> None:
-    """Lag and rolling-mean features per key across micro-batches, by one state per key.
+                        lateness: str = "2 hours", idle: str = "1 day", buckets: int = LAG_BUCKETS) -> None:
+    """Lag and rolling-mean features per key across micro-batches, by one state per bucket of keys (a call and a state of Spark
+    cost milliseconds, however few rows they hold; ``buckets`` is fixed for the life of a checkpoint).
 
     Rows are written under ``epoch=<n>`` below ``out``; ``latest`` by the row's identity gives the final features where late rows
     changed some.  ``lateness`` is the watermark's delay on the first order column: a row behind it is dropped by the stream.
@@ -155,7 +188,12 @@ def stream_lag_features(stream: DataFrame, s: Series, cols: Sequence[str], lags:
                            *[T.StructField(f"{c}_lag_{n}", T.DoubleType()) for c in cols for n in lags],
                            *[T.StructField(f"{c}_mean_{n}", T.DoubleType()) for c in cols for n in means]])
     ms = [int(pd.Timedelta(x).total_seconds() * 1000) for x in (lateness, idle)]
+    whole = [f.name for f in stream.schema.fields if isinstance(f.dataType, T.IntegralType)]  # pandas has no nulls in them
+    flagged = [c for c in columns if c in whole or c in s.keys]
     timed = stream.withColumn("_event_time", F.col(s.order[0]).cast("timestamp"))  # a TIMESTAMP_NTZ bears no watermark
-    feats = timed.withWatermark("_event_time", lateness).groupBy(*s.keys).applyInPandasWithState(
-        _lag_state(s, columns, cols, lags, means, *ms), schema, "held binary", "update", GroupStateTimeout.EventTimeTimeout)
+    rows = timed.withColumns({"_us": F.coalesce(F.unix_micros("_event_time"), F.lit(-2**63)), "_bucket": F.pmod(F.xxhash64(*s.keys), F.lit(buckets)),
+                              **{f"_null_{c}": F.col(c).isNull() for c in flagged}})
+    rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(stream.schema[c].dataType)) for c in whole})
+    feats = rows.withWatermark("_event_time", lateness).groupBy("_bucket").applyInPandasWithState(
+        _lag_state(s, columns, cols, lags, means, *ms, flagged, whole), schema, "held binary", "update", GroupStateTimeout.EventTimeTimeout)
     run_updates(feats, out, checkpoint)

@@ -105,6 +105,29 @@ def test_late_rows_and_a_restart(spark):
     assert sum(2 in r["u"] for r in touched) == 1  # the key without new rows is not written again
 
 
+def test_many_keys_share_a_state(spark):
+    """A state and a call hold a bucket of keys; null keys and large whole numbers beside nulls stay as they are, idle keys keep their tail."""
+    base = folder()
+    src, out, ck = (f"{base}/{x}" for x in ("src", "out", "ck"))
+    t = lambda minute: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
+    big, schema = 2**60 + 1, "event_id long, user_id long, ts timestamp, value double"
+    batches = [[(big + k, k if k else None, t(10 + k), float(k)) for k in range(40)] + [(None, 0, t(9), 5.0)],
+               [(big + 100 + k, k if k else None, t(20 + k), None if k == 3 else 1.0) for k in range(0, 40, 3)] + [(None, 0, t(200), None)],
+               [(big + 200, 1, t(9000), 1.0)], [(big + 300, 1, t(9001), 3.0), (big + 301, 2, t(9001), 7.0)]]
+    s = Series(keys=("user_id",), order=("ts", "event_id"))
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        X.stream_lag_features(X.read_stream(spark, src, spark.createDataFrame([], schema).schema), s, ["value"], [1], [2], out, None, ck, buckets=2)
+    got = {(r["event_id"], r["user_id"], r["ts"]): (r["value_lag_1"], r["value_mean_2"]) for r in spark.read.parquet(out).collect()}
+    want, last = {}, {}
+    for e, u, at, v in [r for rows in batches for r in rows]:
+        seen = [x for x in (last.get(u), v) if x is not None]
+        want[e, u, at] = (last.get(u), sum(seen) / len(seen) if seen else None)
+        last[u] = v
+    assert got == want
+    assert spark.read.format("statestore").load(ck).count() == 2
+
+
 def test_open_hours_come_from_the_stream(spark):
     base = folder()
     src, out, ck = (f"{base}/{x}" for x in ("src", "out", "ck"))
