@@ -21,7 +21,8 @@ into fixed-size blocks of ``block_rows`` rows:
    back.  Exact for gaps of any length.
 
 ``method='plain'`` evaluates the same builders with one window per key;
-tests assert both layouts agree.
+tests assert both layouts agree.  ``fitted`` takes it where no key has more
+rows than a block.
 """
 
 from __future__ import annotations
@@ -35,6 +36,12 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 
 POS = "_pos"
+TASK_ROWS = 1 << 16  # rows of small series that are dealt to one task
+
+
+def sql_window(keys: Iterable[str]) -> str:
+    """``key_window(keys).orderBy(POS)`` as SQL text."""
+    return f"(PARTITION BY {', '.join(f'`{k}`' for k in keys) or '0'} ORDER BY `{POS}`)"
 
 
 @dataclass(frozen=True)
@@ -52,6 +59,20 @@ class Series:
         return replace(self, keys=tuple(self.keys) + tuple(k for k in extra if k not in self.keys))
 
 
+def fitted(df: DataFrame, s: Series) -> tuple[DataFrame, Series]:
+    """The layout for a table of many series, and for what is made of it row by row: where the rows of every key fit into one
+    block, one window per key holds no more rows than a block does, and the rows need no numbers, halos and carries made
+    beforehand.  The rows are dealt by key once, ``TASK_ROWS`` a task or the rows of its largest key, so that a task's memory does
+    not grow with the table.  Rows without a key or a time take no part, as in the numbering of blocks."""
+    if s.method != "blocked" or not s.keys:
+        return df, s
+    facts = df.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
+    if (facts["most"] or 0) > s.block_rows:
+        return df, s
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-(facts["rows"] or 0) // TASK_ROWS))
+    return df.dropna(subset=[*s.keys, s.order[0]]).repartition(tasks, *s.keys), replace(s, method="plain")
+
+
 def hourly_spine(df: DataFrame, keys: Iterable[str] = (), ts: str = "ts") -> DataFrame:
     """Every hour of a series from its first to its last: rows of missing hours hold the keys and the hour only, so that
     lags, rolling windows and fills, which count rows, count hours.  ``ts`` becomes the hour of the row; rows without a
@@ -150,6 +171,8 @@ def window_apply(df: DataFrame, s: Series, builder: Callable[[Window], Mapping[s
     ``w`` is ordered by position; frames may reach ``before`` rows back and
     ``after`` rows ahead.
     """
+    if s.method == "plain" and POS not in df.columns and not keep_pos:  # the order of the positions, without making them
+        return df.withColumns(dict(builder(key_window(s.keys).orderBy(*s.order, _tie_break(df)))))
     dfp = ensure_positions(df, s)
     if s.method == "plain":
         out = dfp.withColumns(dict(builder(key_window(s.keys).orderBy(POS))))
@@ -169,6 +192,10 @@ def with_neighbours(df: DataFrame, s: Series, cols: Iterable[str], prev: bool =
     dfp = ensure_positions(df, s)
     pv = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(POS).alias("p"), F.col(c).cast("double").alias("v")))
           for c in cols}
+
+    def following(c, keys):  # a running frame, where an unbounded following one reads the rest of its partition for every row
+        return F.expr(f"lead(CASE WHEN `{c}` IS NOT NULL THEN struct(`{POS}` AS p, CAST(`{c}` AS DOUBLE) AS v) END, 1) IGNORE NULLS "
+                      f"OVER {sql_window(keys)}")
     if s.method == "plain":
         w = key_window(s.keys).orderBy(POS)
         new = {}
@@ -176,7 +203,7 @@ def with_neighbours(df: DataFrame, s: Series, cols: Iterable[str], prev: bool =
             if prev:
                 new[f"_prev_{c}"] = F.last(pv[c], True).over(w.rowsBetween(Window.unboundedPreceding, -1))
             if c in ahead:
-                new[f"_next_{c}"] = F.first(pv[c], True).over(w.rowsBetween(1, Window.unboundedFollowing))
+                new[f"_next_{c}"] = following(c, s.keys)
         out = dfp.withColumns(new)
         return out if keep_pos else out.drop(POS)
 
@@ -208,8 +235,7 @@ def with_neighbours(df: DataFrame, s: Series, cols: Iterable[str], prev: bool =
             new[f"_prev_{c}"] = F.coalesce(
                 F.last(pv[c], True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col(f"_ci_{c}"))
         if c in ahead:
-            new[f"_next_{c}"] = F.coalesce(
-                F.first(pv[c], True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.col(f"_co_{c}"))
+            new[f"_next_{c}"] = F.coalesce(following(c, [*s.keys, "_blk"]), F.col(f"_co_{c}"))
     drop = [f"_ci_{c}" for c in cols if prev] + [f"_co_{c}" for c in cols if nxt] + ["_blk"]
     out = d.withColumns(new).drop(*drop)
     return out if keep_pos else out.drop(POS)

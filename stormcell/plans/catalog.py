@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.columns import normalize
 from ..operators import features as FE
 from ..operators import quality as Q
-from ..operators.series import Series
+from ..operators.series import Series, fitted
 from . import fixtures as FX
 from . import oracle as O
 
@@ -41,11 +41,16 @@ def raw(spark, sf_dir, keyed=False) -> DataFrame:
 
 
 def cleaned(spark, sf_dir, keyed=False) -> DataFrame:
-    return Q.clean(raw(spark, sf_dir, keyed), panel_series(keyed))
+    return _cleaned(spark, sf_dir, keyed)[0]
 
 
 def features(spark, sf_dir, keyed=False) -> DataFrame:
-    return FE.build_features(cleaned(spark, sf_dir, keyed), panel_series(keyed))
+    return FE.build_features(*_cleaned(spark, sf_dir, keyed))
+
+
+def _cleaned(spark, sf_dir, keyed) -> tuple[DataFrame, Series]:
+    d, s = fitted(raw(spark, sf_dir, keyed), panel_series(keyed))
+    return Q.clean(d, s), s
 
 
 PANEL_SPEC = ("ts:t seq:i Year:i Day:i Hour:i IMF_Magnitude:d IMF_Bz:d IMF_By:d IMF_Bx:d Proton_Temp:d "

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stormcell.operators import quality as Q
 from stormcell.operators import windows as WN
-from stormcell.operators.series import Series, with_positions
+from stormcell.operators.series import Series, fitted, with_neighbours, with_positions
 
 
 def _series(spark, values, key=None):
@@ -142,3 +142,24 @@ def test_hot_key_spans_many_blocks_and_matches_plain(spark):
     assert blocks == 15
     filled = Q.fill_all(df.withColumn("v", F.when(F.col("i") % 5 == 0, F.col("v"))), blocked, ["v"])
     assert filled.where(F.col("v").isNull()).count() == 0
+
+
+def test_small_series_need_no_blocks(spark):
+    """Keys of no more rows than a block: one exchange by key, the same rows as in blocks; larger keys stay in blocks."""
+    rng = np.random.default_rng(3)
+    rows = [(None if k == 0 else k, int(t) // 2, None if rng.random() < 0.5 else float(rng.normal())) for k in range(8) for t in range(30)]
+    df = spark.createDataFrame(rows, "k long, i long, v double").cache()
+    blocked = Series(keys=("k",), order=("i",), block_rows=30, bucket_width=5)
+    dealt, plain = fitted(df, blocked)
+    assert plain.method == "plain" and fitted(df, Series(keys=("k",), order=("i",), block_rows=29))[1].method == "blocked"
+    out = WN.rolling(Q.interpolate(dealt, plain, ["v"]), plain, ["v"], [3])
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("repartition") == 1 and "join" not in plan and "unboundedfollowing" not in plan
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    cut = Series(keys=("k",), order=("i",), block_rows=7, bucket_width=5)
+    want = WN.rolling(Q.interpolate(df, cut, ["v"]), cut, ["v"], [3])
+    as_rows = lambda d: sorted((r["k"], r["i"], repr(r["v"]), repr(r["v_mean_3h"])) for r in d.collect())
+    assert as_rows(out) == as_rows(want) and out.count() == 210
+    nxt = with_neighbours(df.where("k is not null"), cut, ["v"])._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert nxt.count("unboundedfollowing") == 1  # over the blocks' summary only, not over rows
+    df.unpersist()
