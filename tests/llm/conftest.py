@@ -12,6 +12,13 @@ def spark():
     return build_session("llm-tests", cpus=4, shuffle_partitions=4, driver_memory="4g")
 
 
+@pytest.fixture(autouse=True)
+def nothing_cached(spark):
+    """What a test caches goes with it: the session is shared by all tests of a run."""
+    yield
+    spark.catalog.clearCache()
+
+
 def make_rows(seed=1, n=60):
     rng = random.Random(seed)
     vocabulary = [rng.choice("bcdfg") + rng.choice("aeiou") + rng.choice("lmnrst") + str(k % 7) for k in range(400)]
