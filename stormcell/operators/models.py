@@ -13,14 +13,16 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import zero_div
 from ..session import cut_lineage
+from . import local_trees as LT
 from . import metrics as M
 from .alerts import require_columns
+from .local_trees import LEAST_CURVE, MOST_STEP, best_round
 from .quality import nan_to_num
 from .series import Series
 from .windows import rolling_fill_median
@@ -39,7 +41,6 @@ SETTING_RANGES = {"stepSize": (0.03, 0.3), "maxDepth": [3, 4, 5, 6, 7], "minInst
                   "subsamplingRate": [0.6, 0.8, 1.0], "featureSubsetStrategy": ["0.6", "0.8", "1.0"]}
 FIRST_ROUNDS = 5         # rounds that every setting of a search gets
 CHUNK = 10               # boosting rounds between two checkpoints of the margin
-MOST_STEP = 4.0          # bound of a row's Newton step
 ROWS_PER_TASK = 50_000   # rows of a boosted fit per task
 PARALLEL_FITS = 4        # fits that the driver has running side by side
 
@@ -61,17 +62,6 @@ def fit_gbt(train: DataFrame, features: Sequence[str], label: str, weight: str |
     return Pipeline(stages=[assembler(features), gbt]).fit(train)
 
 
-def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
-    """(rounds to keep, whether ``patience`` rounds without gain follow): the first point at which training would stop."""
-    best = 0
-    for i, x in enumerate(losses):
-        if x < losses[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
 def fit_gbt_patient(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, weight: str | None = None,
                     patience: int = PATIENCE, **params) -> PipelineModel:
     """M1 with early stopping around Spark's own classifier: training ends after ``patience`` rounds without a lower validation
@@ -93,11 +83,13 @@ def fit_gbt_patient(train: DataFrame, val: DataFrame, features: Sequence[str], l
 @dataclass
 class Boosting:
     """A boosted fit that can be continued.  ``rows`` is a checkpointed table (features, label, weight, held, margin): the
-    margin holds what the trees so far say, so more rounds never refit earlier ones.  ``losses`` are the validation log-losses."""
+    margin holds what the trees so far say, so more rounds never refit earlier ones.  ``losses`` are the validation log-losses.
+    ``one_task``: the rows are one partition, whose rounds run in one task; ``trees`` are then the nodes as JSON."""
 
     rows: DataFrame
     features: list
     params: dict
+    one_task: bool = False
     trees: list = field(default_factory=list)
     losses: list = field(default_factory=list)
 
@@ -110,12 +102,56 @@ def start_boosting(data: DataFrame, features: Sequence[str], label: str, held: C
         "features", F.col(label).cast("double").alias("label"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"),
         F.coalesce(held, F.lit(False)).alias("held"), F.lit(0.0).alias("margin"))
     rows = cut_lineage(rows.where("label is not null and weight is not null"))
-    rows = cut_lineage(rows.repartition(max(1, -(-rows.count() // ROWS_PER_TASK))))
-    return Boosting(rows, list(features), {**GBT_DEFAULTS, **params})
+    tasks = max(1, -(-rows.count() // ROWS_PER_TASK))
+    kinds = rows.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
+    rows = cut_lineage(rows.repartition(tasks))
+    return Boosting(rows, list(features), {**GBT_DEFAULTS, **params}, tasks == 1 and not set(kinds) - {"numeric"})
+
+
+def add_rounds(fit: Boosting, rounds: int, patience: int | None = None) -> None:
+    """Fit ``rounds`` more trees, or fewer if ``patience`` rounds without a lower validation loss come before (looked for
+    every ``CHUNK`` rounds)."""
+    if fit.one_task:
+        return _rounds_in_task(fit, rounds, patience)
+    most = len(fit.trees) + rounds
+    while len(fit.trees) < most and not (patience is not None and best_round(fit.losses, patience)[1]):
+        _rounds_by_jobs(fit, min(CHUNK, most - len(fit.trees)))
 
 
-def add_rounds(fit: Boosting, rounds: int) -> None:
-    """Fit ``rounds`` more trees, ``CHUNK`` at a time between checkpoints of the margin.
+_ROUNDS = "features array<double>, label double, weight double, held boolean, margin double, tree string, loss double"
+
+
+def _rounds_in_task(fit: Boosting, rounds: int, patience: int | None) -> None:
+    """``add_rounds`` on one partition: the rounds of ``_rounds_by_jobs``, tree by tree, without a job for each.  The task
+    gives its rows with their new margin, then a row for each tree."""
+    done, losses, p, boost, wide, chunk = len(fit.trees), list(fit.losses), dict(fit.params), LT.boost, len(fit.features), CHUNK
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            raise ValueError("no rows to fit trees on")
+        t = pa.Table.from_batches(batches).combine_chunks()
+        x = np.ascontiguousarray(t.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, wide)
+        label, weight, held, margin = (t.column(k).to_numpy() for k in range(1, 5))
+        trees, new, margin = boost(x, label, weight, held, margin, done, losses, rounds, patience, chunk, p)
+        schema = pa.schema([*t.schema, pa.field("tree", pa.string()), pa.field("loss", pa.float64())])
+        for b in t.set_column(4, t.schema.field(4), pa.array(margin)).to_batches(max_chunksize=10_000):
+            none = [pa.nulls(b.num_rows, pa.string()), pa.nulls(b.num_rows, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *none], schema=schema)
+        for tree, loss in zip(trees, new):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in t.schema), pa.array([tree]), pa.array([loss])], schema=schema)
+    inputs = fit.rows.select(vector_to_array("features").alias("features"), *fit.rows.columns[1:])
+    out = cut_lineage(inputs.mapInArrow(run, _ROUNDS))
+    for r in out.where("tree is not null").select("tree", "loss").collect():
+        fit.trees.append(r["tree"])
+        fit.losses.append(r["loss"])
+    fit.rows = out.where("tree is null").select(array_to_vector("features").alias("features"), *fit.rows.columns[1:])
+
+
+def _rounds_by_jobs(fit: Boosting, rounds: int) -> None:
+    """``add_rounds`` on many partitions, without patience: ``CHUNK`` rounds at a time between checkpoints of the margin.
 
     A round is a Newton step of the logistic loss: one regression tree on ``(y - p) / (p (1 - p))`` with the row weights
     times ``p (1 - p)``, so a leaf's mean is its step.  Validation losses of a chunk's rounds come from one aggregate."""
@@ -125,7 +161,7 @@ def add_rounds(fit: Boosting, rounds: int) -> None:
         d, new = fit.rows.withColumn("_m0", F.col("margin")), []
         for k in range(min(CHUNK, rounds - done)):
             chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(f"_m{k}")))
-            curve = F.greatest(chance * (1 - chance), F.lit(1e-6))
+            curve = F.greatest(chance * (1 - chance), F.lit(LEAST_CURVE))
             step = F.least(F.greatest((F.col("label") - chance) / curve, F.lit(-MOST_STEP)), F.lit(MOST_STEP))
             tree = RandomForestRegressor(
                 featuresCol="features", labelCol="_z", weightCol="_w", numTrees=1, bootstrap=False, maxDepth=p["maxDepth"],
@@ -144,6 +180,22 @@ def add_rounds(fit: Boosting, rounds: int) -> None:
         done += len(new)
 
 
+def _node_reader(jvm):
+    """Makes Spark ML's regression tree of its nodes as JSON (one call for a tree, not one for each node)."""
+    jackson = jvm.com.fasterxml.jackson
+    mapper = jackson.databind.json.JsonMapper()
+    mapper.registerModule(getattr(getattr(jackson.module.scala, "DefaultScalaModule$"), "MODULE$"))
+    mapper.configure(jackson.core.json.JsonReadFeature.ALLOW_NON_NUMERIC_NUMBERS.mappedFeature(), True)
+    saved = getattr(getattr(jvm.org.apache.spark.ml.tree, "DecisionTreeModelReadWrite$"), "MODULE$")
+    nodes = jvm.java.lang.Class.forName("[Lorg.apache.spark.ml.tree.DecisionTreeModelReadWrite$NodeData;", True,
+                                        jvm.java.lang.Thread.currentThread().getContextClassLoader())
+
+    def read(tree: str, width: int):
+        return jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel(
+            f"dtr_{uuid4().hex[:12]}", saved.buildTreeFromNodes(mapper.readValue(tree, nodes), "variance"), width)
+    return read
+
+
 def boosted_model(fit: Boosting, keep: int | None = None) -> PipelineModel:
     """The first ``keep`` trees as an ordinary Spark ML pipeline (assembler, boosted-tree classifier)."""
     trees = fit.trees[:keep]
@@ -151,8 +203,9 @@ def boosted_model(fit: Boosting, keep: int | None = None) -> PipelineModel:
     jvm = sc._jvm
     kind = jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
     found, weights = sc._gateway.new_array(kind, len(trees)), sc._gateway.new_array(jvm.double, len(trees))
+    read = _node_reader(jvm)
     for i, t in enumerate(trees):
-        found[i] = t._java_obj
+        found[i] = read(t, len(fit.features)) if fit.one_task else t._java_obj
         weights[i] = float(fit.params["stepSize"]) / 2  # the classifier's probability is 1 / (1 + exp(-2 margin))
     java = jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"boosted_{uuid4().hex[:12]}", found, weights,
                                                                          len(fit.features), 2)
@@ -174,12 +227,9 @@ def fit_patient(data: DataFrame, features: Sequence[str], label: str, held: Colu
     """M1 with early stopping: boosting ends once ``patience`` rounds bring no lower validation log-loss (or at ``maxIter``
     rounds), and the trees up to the best round are the model.  No tree is fitted twice."""
     fit = start_boosting(data, features, label, held, weight, **params)
-    most = fit.params["maxIter"]
-    while True:
-        add_rounds(fit, min(CHUNK, most - len(fit.trees)))
-        keep, stopped = best_round(fit.losses, patience)
-        if stopped or len(fit.trees) >= most:
-            return PatientFit(boosted_model(fit, keep), keep, min(keep + patience, len(fit.trees)), fit.losses)
+    add_rounds(fit, fit.params["maxIter"], patience)
+    keep = best_round(fit.losses, patience)[0]
+    return PatientFit(boosted_model(fit, keep), keep, min(keep + patience, len(fit.trees)), fit.losses)
 
 
 def fit_members(data: DataFrame, features: Sequence[str], label: str, held: Column, members: Mapping[str, int] = MEMBERS,
@@ -330,8 +380,7 @@ def search_params(data: DataFrame, features: Sequence[str], label: str, held: Co
             rounds, step = 2 * rounds, step + 1
     for i in live:
         fit = fits[i]
-        while not best_round(fit.losses, patience)[1] and len(fit.trees) < fit.params["maxIter"]:
-            add_rounds(fit, min(CHUNK, fit.params["maxIter"] - len(fit.trees)))
+        add_rounds(fit, fit.params["maxIter"] - len(fit.trees), patience)
         auc[i] = _held_auc(fit)
     rows = [(i, json.dumps(dict(p), sort_keys=True), auc[i], len(fits[i].trees), dropped.get(i), best_round(fits[i].losses, patience)[0])
             for i, p in enumerate(settings)]

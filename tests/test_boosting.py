@@ -4,8 +4,10 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
+from stormcell.operators import local_trees as LT
 from stormcell.operators import metrics as M
 from stormcell.operators import models as MD
 
@@ -100,3 +102,82 @@ def test_weight_search_counts_nulls_nowhere(spark):
     d = spark.createDataFrame([(1, 0.9, 0.2), (0, 0.8, 0.1), (1, None, 0.9), (None, 0.9, 0.9), (1, 0.1, 0.1)], "y int, a double, b double")
     got = {r["trial"]: r for r in MD.search_weights(d, ["a", "b"], "y", [[1.0, 0.0], [0.0, 1.0], [0.0, 0.0]]).collect()}
     assert [tuple(got[k][c] for c in ("tp", "fp", "fn")) for k in (0, 1, 2)] == [(1, 1, 1), (0, 0, 2), (0, 0, 0)]
+
+
+def test_a_small_fit_is_one_job_for_all_rounds(rows):
+    """More rounds are not more jobs: the rounds of a fit whose rows fit into a task run in that task."""
+    sc, jobs = rows.sparkSession.sparkContext, []
+    for k, rounds in enumerate((2, 9)):
+        fit = MD.start_boosting(rows, FEATS, "y", held(), "w", **SMALL)
+        sc.setJobGroup(f"rounds-{k}", "")
+        MD.add_rounds(fit, rounds)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"rounds-{k}")))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert len(fit.trees) == rounds == len(fit.losses)
+    assert jobs[0] == jobs[1] <= 4
+
+
+@pytest.mark.parametrize("params", [
+    {"maxDepth": 5, "minInstancesPerNode": 10, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
+    {"maxDepth": 3, "minInstancesPerNode": 1, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}])
+def test_rounds_in_a_task_are_those_by_jobs(rows, params):
+    """Both ways draw the same rows and columns and find the same trees, to the last bit; columns that say the same included."""
+    d = rows.withColumns({"c": F.when(F.col("c") > 0.5, 0.0).otherwise(F.round("c", 1)), "a2": 2 * F.col("a") + 1, "k": F.lit(7.0)})
+    feats = [*FEATS, "a2", "k"]
+    one, many = (MD.start_boosting(d, feats, "y", held(), "w", **{**params, "stepSize": 0.3}) for _ in range(2))
+    assert one.one_task
+    many.one_task = False
+    for fit in (one, many):
+        MD.add_rounds(fit, 3)
+    assert one.losses == pytest.approx(many.losses, rel=1e-13)
+    assert [list(r) for r in one.rows.collect()] == [list(r) for r in many.rows.collect()]
+    a, b = (MD.boosted_model(fit) for fit in (one, many))
+    assert a.stages[-1].toDebugString.split("\n")[1:] == b.stages[-1].toDebugString.split("\n")[1:]
+    assert a.stages[-1].featureImportances == b.stages[-1].featureImportances
+
+
+def test_a_large_sample_gives_the_same_tree(spark):
+    """Beyond 10,000 rows the split candidates come from a draw of the rows: the same one, by gaps or row by row."""
+    r = np.random.default_rng(5)
+    for n in (14_000, 30_000):
+        x, w = r.normal(size=(n, 2)).round(3), r.uniform(0.1, 2.0, n)
+        y = x[:, 0] - x[:, 1] ** 2 + r.normal(size=n)
+        d = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(zip(x[:, 0], x[:, 1], y, w))], "i int, a double, b double, y double, w double")
+        d = MD.cut_lineage(MD.assembler(["a", "b"]).transform(d.coalesce(1).sortWithinPartitions("i")).select("features", "y", "w"))
+        want = RandomForestRegressor(labelCol="y", weightCol="w", numTrees=1, bootstrap=False, maxDepth=4, subsamplingRate=0.8,
+                                     featureSubsetStrategy="all", seed=7).fit(d)
+        got = LT.grow(LT.columns_of(x), y, w, 7, 4, 1, 0.8, "all")
+        assert [t[0] for t in want.transform(d).select("prediction").collect()] == LT.predicted(got, x).tolist()
+
+
+def test_rows_of_many_tasks(rows, monkeypatch):
+    """Rows that do not fit into one task go through Spark's own trees, with the same stop."""
+    monkeypatch.setattr(MD, "ROWS_PER_TASK", 250)
+    monkeypatch.setattr(MD, "CHUNK", 3)
+    fit = MD.start_boosting(rows, FEATS, "y", held(), "w", **SMALL)
+    assert not fit.one_task and fit.rows.rdd.getNumPartitions() == 3
+    MD.add_rounds(fit, 40, 4)
+    best, stopped = MD.best_round(fit.losses, 4)
+    assert stopped and len(fit.trees) == len(fit.losses) < best + 4 + 3
+    assert MD.boosted_model(fit, best).stages[-1].getNumTrees == best
+
+
+def test_values_that_trees_cannot_take_are_named(rows):
+    for bad, said in (({"a": F.when(F.col("id") == 4, F.lit(float("nan"))).otherwise(F.col("a"))}, "NaN or Infinity"),
+                      ({"w": F.when(F.col("id") == 4, -1.0).otherwise(F.col("w"))}, "MUST NOT be Negative"),
+                      ({"split": F.lit("validation")}, "no rows")):
+        fit = MD.start_boosting(rows.withColumns(bad), FEATS, "y", held(), "w", **SMALL)
+        with pytest.raises(Exception, match=said):
+            MD.add_rounds(fit, 1)
+
+
+def test_java_numbers(spark):
+    x = np.concatenate([np.random.default_rng(2).normal(size=3000) * 9, [0.0, -0.0, 1e-10, -708.9, -745.0, 709.7, 710.0, np.inf, -np.inf]])
+    got = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").select("i", F.exp("x")).orderBy("i").collect()
+    assert [r[1] for r in got] == LT.java_exp(x).tolist()
+    jvm = spark.sparkContext._jvm
+    for seed in (42, -7, 2 ** 40 + 3):
+        rng, draws = jvm.org.apache.spark.util.random.XORShiftRandom(seed), LT.XorShift(seed)
+        assert [rng.nextDouble() for _ in range(5)] == [draws.double() for _ in range(5)]
+        assert rng.nextInt() == draws.integer()
+        assert jvm.java.util.Random(seed).nextLong() & (2 ** 64 - 1) == LT.JavaRandom(seed).long()
