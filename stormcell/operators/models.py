@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Mapping, Sequence
 from uuid import uuid4
 
@@ -108,6 +108,11 @@ def start_boosting(data: DataFrame, features: Sequence[str], label: str, held: C
     return Boosting(rows, list(features), {**GBT_DEFAULTS, **params}, tasks == 1 and not set(kinds) - {"numeric"})
 
 
+def fresh(fit: Boosting, **params) -> Boosting:
+    """A fit that begins with the rows of ``fit``, which has no rounds yet, and other parameters."""
+    return replace(fit, params={**fit.params, **params}, trees=[], losses=[])
+
+
 def add_rounds(fit: Boosting, rounds: int, patience: int | None = None) -> None:
     """Fit ``rounds`` more trees, or fewer if ``patience`` rounds without a lower validation loss come before (looked for
     every ``CHUNK`` rounds)."""
@@ -226,7 +231,10 @@ def fit_patient(data: DataFrame, features: Sequence[str], label: str, held: Colu
                 patience: int = PATIENCE, **params) -> PatientFit:
     """M1 with early stopping: boosting ends once ``patience`` rounds bring no lower validation log-loss (or at ``maxIter``
     rounds), and the trees up to the best round are the model.  No tree is fitted twice."""
-    fit = start_boosting(data, features, label, held, weight, **params)
+    return _patient(start_boosting(data, features, label, held, weight, **params), patience)
+
+
+def _patient(fit: Boosting, patience: int) -> PatientFit:
     add_rounds(fit, fit.params["maxIter"], patience)
     keep = best_round(fit.losses, patience)[0]
     return PatientFit(boosted_model(fit, keep), keep, min(keep + patience, len(fit.trees)), fit.losses)
@@ -234,11 +242,11 @@ def fit_patient(data: DataFrame, features: Sequence[str], label: str, held: Colu
 
 def fit_members(data: DataFrame, features: Sequence[str], label: str, held: Column, members: Mapping[str, int] = MEMBERS,
                 weight: str | None = None, patience: int = PATIENCE, **params) -> dict[str, PatientFit]:
-    """M2: the members differ in minimum rows per leaf; each stops early on the held rows.  They are fitted side by side."""
-    data = cut_lineage(data)
+    """M2: the members differ in minimum rows per leaf; each stops early on the held rows.  They are fitted side by side
+    from one prepared checkpoint."""
+    start = start_boosting(data, features, label, held, weight, **params)
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        jobs = {k: pool.submit(fit_patient, data, features, label, held, weight, patience, minInstancesPerNode=m, **params)
-                for k, m in members.items()}
+        jobs = {k: pool.submit(_patient, fresh(start, minInstancesPerNode=m), patience) for k, m in members.items()}
         return {k: j.result() for k, j in jobs.items()}
 
 
@@ -367,8 +375,8 @@ def search_params(data: DataFrame, features: Sequence[str], label: str, held: Co
     one is left, which is trained to its early stop (or ``maxIter``).  All read one prepared checkpoint, and those of a
     step are fitted side by side.  One row per setting: its parameters, AUC, the rounds it was given, the step in which
     it was dropped (null: the last one), and its best round by log-loss."""
-    data = cut_lineage(data)
-    fits = {i: start_boosting(data, features, label, held, weight, **p) for i, p in enumerate(settings)}
+    start = start_boosting(data, features, label, held, weight)
+    fits = {i: fresh(start, **p) for i, p in enumerate(settings)}
     auc, dropped, live, rounds, step = {}, {}, list(fits), first_rounds, 1
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         while len(live) > 1:
