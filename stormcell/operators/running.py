@@ -156,7 +156,10 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     found = below.selectExpr(*names, "_j", "_i", "_a AS _q")
     if live:
         cells = ", ".join(f"CASE WHEN {inside[j, i]} THEN struct({j} AS _j, {i} AS _i, _c{j} AS _v) END" for j, i in live)
-        long = (b.where(" OR ".join(inside[s] for s in live)).selectExpr(*names, f"explode(array({cells})) AS _x")
+        # The last part never holds.  With it the condition is no fact that Spark's planner carries on: it would write the others
+        # anew for every set of renamed columns.
+        some = " OR ".join([*(inside[s] for s in live), "spark_partition_id() < 0"])
+        long = (b.where(some).selectExpr(*names, f"explode(array({cells})) AS _x")
                 .where("_x IS NOT NULL").selectExpr(*names, "_x.*"))
         counts = _aggregate(long, [*names, "_j", "_i", "_v"], "count(1) AS _n")
         ranked = running_totals(counts, [*keys, "_j", "_i"], "_v", ["_n"], n_buckets)

