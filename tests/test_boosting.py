@@ -136,6 +136,23 @@ def test_rounds_in_a_task_are_those_by_jobs(rows, params):
     assert a.stages[-1].featureImportances == b.stages[-1].featureImportances
 
 
+def test_joined_leaves_say_what_they_said(spark):
+    """Leaves of one prediction under a node become one leaf with that prediction, not with the mean of its own sums."""
+    r = np.random.default_rng(11)
+    x, w = r.normal(size=(400, 3)).round(2), r.choice([0.1980574, 3.3], 400)
+    y = np.where(x[:, 0] + x[:, 1] > 0.3, 2.0, -2.0)
+    joined = 0
+    for seed in range(3):
+        d = spark.createDataFrame([tuple(map(float, v)) for v in np.c_[x, y, w]], "a double, b double, c double, y double, w double").coalesce(1)
+        d = MD.cut_lineage(MD.assembler(FEATS).transform(d).select("features", "y", "w"))
+        want = RandomForestRegressor(labelCol="y", weightCol="w", numTrees=1, bootstrap=False, maxDepth=6, subsamplingRate=1.0,
+                                     featureSubsetStrategy="0.6", seed=seed).fit(d)
+        got = LT.grow(LT.columns_of(x), y, w, seed, 6, 1, 1.0, "0.6")
+        assert [t[0] for t in want.transform(d).select("prediction").collect()] == LT.predicted(got, x).tolist()
+        joined += sum(n["leftChild"] < 0 and n["prediction"] != n["impurityStats"][1] / n["impurityStats"][0] for n in got)
+    assert joined  # the case is there
+
+
 def test_a_large_sample_gives_the_same_tree(spark):
     """Beyond 10,000 rows the split candidates come from a draw of the rows: the same one, by gaps or row by row."""
     r = np.random.default_rng(5)
