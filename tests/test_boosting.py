@@ -198,3 +198,14 @@ def test_java_numbers(spark):
         assert [rng.nextDouble() for _ in range(5)] == [draws.double() for _ in range(5)]
         assert rng.nextInt() == draws.integer()
         assert jvm.java.util.Random(seed).nextLong() & (2 ** 64 - 1) == LT.JavaRandom(seed).long()
+
+
+def test_order_of_a_scala_map(spark):
+    """The weights of a column's values are added in the order of a Scala map, which tells equal gaps apart."""
+    r = np.random.default_rng(4)
+    v = np.unique(np.concatenate([r.normal(size=600), r.integers(-400, 400, 200), r.integers(1, 9, 20) * 2.0 ** -3, [3e9, -7e12, 1e17, 1e300, 0.1, 2.0 ** 40]]))
+    found = getattr(getattr(spark.sparkContext._jvm.scala.collection.immutable, "HashMap$"), "MODULE$").empty()
+    for x in r.permutation(v).tolist():
+        found = found.updated(x, x)
+    keys = found.keysIterator()
+    assert [keys.next() for _ in range(len(v))] == v[LT.map_order(v)].tolist()
